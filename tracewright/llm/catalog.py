@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op8_packing
 from .quality_rules import op4_quality_rules
+from .url_filters import OP7_SQL, op7_url_filters
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing}
+ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL}
