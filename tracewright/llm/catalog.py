@@ -5,6 +5,7 @@ from __future__ import annotations
 from .packing import op8_packing
 from .quality_rules import op4_quality_rules
 from .url_filters import OP7_SQL, op7_url_filters
+from .warc import OP1_SQL, op1_warc
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing}
-ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL}
+QUERIES = {"op1_warc": op1_warc, "op4_quality_rules": op4_quality_rules, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op7_url_filters": OP7_SQL}
