@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id, op10_language_id_pages
+from .mixing import op2_mixing
 from .packing import op8_packing
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op4_quality_rules
 from .url_filters import OP7_SQL, op7_url_filters
 from .warc import OP1_SQL, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op4_quality_rules": op4_quality_rules, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_url_filters": op7_url_filters,
+    "op8_packing": op8_packing,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
+    "op10_language_id_pages": op10_language_id_pages,
+}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op7_url_filters": OP7_SQL}
