@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
+from .hmm_scoring import op5_hmm_scoring
 from .language_id import op10_language_id, op10_language_id_pages
 from .mixing import op2_mixing
 from .packing import op8_packing
@@ -14,6 +16,8 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_hmm_scoring": op5_hmm_scoring,
+    "op6_ann": op6_ann,
     "op7_url_filters": op7_url_filters,
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
