@@ -66,7 +66,7 @@ class Forest:
             yield np.flatnonzero(hit)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, trees: int = 64, bits: int = 24, share: float = 0.5, shard_rows: int = 8192, query_block: int = 4096, sample_rows: int = 2000, seed: int = 6) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, trees: int = 64, bits: int = 24, share: float = 1.0, shard_rows: int = 8192, query_block: int = 4096, sample_rows: int = 2000, seed: int = 6) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's k nearest rows found."""
     spark = rows.sparkSession
     take = lambda df: df.filter(usable(F.col(vector))).select(F.col(vec_id).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
