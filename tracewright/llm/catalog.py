@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .hmm_scoring import op5_hmm_scoring
+from .jaccard_join import op3_jaccard_join
 from .language_id import op10_language_id, op10_language_id_pages
 from .mixing import op2_mixing
 from .packing import op8_packing
@@ -15,6 +16,7 @@ from .warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_hmm_scoring": op5_hmm_scoring,
     "op6_ann": op6_ann,
