@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import preprocess
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+PARTS = (preprocess,)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
