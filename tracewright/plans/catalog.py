@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import preprocess
+from . import metrics, preprocess
 
-PARTS = (preprocess,)
+PARTS = (preprocess, metrics)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
