@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metrics, preprocess
+from . import components, metrics, preprocess
 
-PARTS = (preprocess, metrics)
+PARTS = (preprocess, metrics, components)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
