@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import components, metrics, preprocess
+from . import components, evaluation, metrics, preprocess
 
-PARTS = (preprocess, metrics, components)
+PARTS = (preprocess, metrics, components, evaluation)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
