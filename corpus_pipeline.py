@@ -7,15 +7,12 @@ through; rows with null texts have no words and go in the first stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.jaccard_join import jaccard_join, text_keys
 from tracewright.llm.language_id import language_id
-from tracewright.llm.mixing import mixed
+from tracewright.llm.mixing import mixed, taken_texts
 from tracewright.llm.packing import packed
 from tracewright.llm.quality_rules import quality_rules
 from tracewright.scratch import saved, ship
@@ -44,30 +41,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return docs.withColumns({"_h1": h1, "_h2": h2, "_id": name}).join(stays, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
-@F.pandas_udf("array<string>")
-def _taken_texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Each copy's text: the whole document, or its taken runs of words, one to a line."""
-    import re
-
-    word = re.compile(r"[^\x20\x09-\x0D]+")
-    for texts, mixes in batches:
-        out = []
-        for text, runs in zip(texts, mixes, strict=True):
-            copies: dict[int, list[str]] = {}
-            spans = None
-            for run in runs if runs is not None else []:
-                if spans is None:
-                    spans = [m.span() for m in word.finditer(text)]
-                first, words = run["first"], run["words"]
-                whole = words == len(spans)
-                copies.setdefault(run["copy"], []).append(text if whole else text[spans[first][0] : spans[first + words - 1][1]])
-            out.append(["\n".join(copies[c]) for c in sorted(copies)])
-        yield pd.Series(out, dtype=object)
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each copy of a document that it takes, with the words taken in that copy as its text."""
-    texts = mixed(docs).filter("mix.taken > 0").withColumn("_copies", _taken_texts("text", "mix.runs"))
+    texts = mixed(docs).filter("mix.taken > 0").withColumn("_copies", taken_texts("text", "mix.runs"))
     rows = texts.withColumn("_taken", F.explode("_copies"))
     new = {"text": F.col("_taken"), "n_chars": F.length("_taken").cast("long")}
     return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
