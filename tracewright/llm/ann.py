@@ -3,7 +3,7 @@
 Rows are dealt by a hash of their id into shards of about shard_rows. In a shard each of `trees` trees gives every vector a long hash
 string, a bit for the side of each of its hyperplanes, and sorts the strings. A query descends to the longest prefix that it shares with
 any row of each tree; then all trees ascend in step, one bit shorter at a time, until their ranges hold `share` of the shard's rows (with
-repeats), and all rows in the ranges are measured exactly in double precision. Queries meet every shard in blocks of query_block rows;
+repeats) and k different ones, and all rows in the ranges are measured exactly in double precision. Queries meet every shard in blocks of query_block rows;
 the nearest of all shards are merged. Hyperplanes are seeded and pass through the mean of a sample of sample_rows vectors.
 
 share trades recall for work; it needs to be large where distances hardly differ, as among random directions. Vectors that are null, zero,
@@ -48,8 +48,10 @@ class Forest:
                 out[i] = (out[i] << 1) | side[:, b]
         return out
 
-    def candidates(self, q: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-        """For each query the rows in the ranges of the longest prefixes that together hold at least `wanted` rows."""
+    def candidates(self, q: np.ndarray, wanted: int, least: int, own: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """For each query the rows in the ranges of the longest prefixes that together hold at least `wanted` rows (with repeats) and at
+        least `least` different ones besides its own rows, if there are as many.
+        """
         codes = self.codes(q)
         low, high = (np.zeros((self.bits + 1, *codes.shape), np.int64) for _ in range(2))
         for depth in range(self.bits + 1):
@@ -61,8 +63,13 @@ class Forest:
         for k in range(len(q)):
             depth = int(np.flatnonzero(held[:, k] >= min(wanted, held[0, k]))[-1])  # descend to the longest, ascend until enough
             hit = np.zeros(len(self.x), bool)
-            for i in range(len(codes)):
-                hit[self.order[i, low[depth, i, k] : high[depth, i, k]]] = True
+            while True:
+                for i in range(len(codes)):
+                    hit[self.order[i, low[depth, i, k] : high[depth, i, k]]] = True
+                hit[own[k]] = False
+                if hit.sum() >= least or not depth:
+                    break
+                depth -= 1
             yield np.flatnonzero(hit)
 
 
@@ -96,8 +103,9 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
             x, ids, q = np.stack(own["v"].to_list()), own["id"].to_numpy(), np.stack(asked["v"].to_list())
             forest = Forest(x, center, trees, bits, seed)
             for at in range(0, len(q), 64):
-                for i, hits in zip(range(at, at + 64), forest.candidates(q[at : at + 64], max(k + 1, int(share * len(x)))), strict=False):
-                    hits = hits[ids[hits] != asked["id"].iloc[i]]
+                part = asked["id"].iloc[at : at + 64]
+                own_rows = [np.flatnonzero(ids == i) for i in part]
+                for i, hits in enumerate(forest.candidates(q[at : at + 64], int(share * len(x)), k, own_rows), at):
                     far = np.sqrt(((x[hits] - q[i]) ** 2).sum(axis=1))
                     best = np.lexsort((ids[hits], far))[:k]
                     out.append(pd.DataFrame({"query_id": asked["id"].iloc[i], "vec_id": ids[hits][best], "score": far[best]}))
