@@ -124,3 +124,34 @@ def test_configuration_coerces_and_refuses():
     assert c.decoder_lags == (0, 2) and c.latent.window == 5 and c.latent.transition_models == ("linear",)
     with pytest.raises(TypeError):
         EvaluationConfig.from_dict({"nope": 1})
+
+
+def test_user_methods_are_registered_and_checked(spark):
+    from tracewright.operators import reports
+
+    reports.register_method("lag_one", lambda x, depth: np.abs(np.corrcoef(x.T)) > 0)
+    reports.register_method("wrong", lambda x, depth: np.zeros((2, 3)))
+    df, _ = wide(spark)
+    assert reports.user_edges(df, "lag_one", [1]).filter("source = target").count() == 0
+    assert reports.user_edges(df, "lag_one", [1]).count() == 6
+    with pytest.raises(ValueError):
+        reports.register_method("wrong", lambda x, depth: x)
+    with pytest.raises(KeyError):
+        reports.user_edges(df, "nothing", [1])
+    with pytest.raises(Exception, match="shape"):
+        reports.user_edges(df, "wrong", [1]).collect()
+
+
+def test_probes_keep_apart(spark):
+    from tracewright.operators import reports
+
+    rows = [(0, t, s) for t, s in enumerate([0.0, 9.0, 8.0, 1.0, 7.0, 2.0, 7.0, 0.0])]
+    df = spark.createDataFrame(rows, "recording int, time_index int, score double")
+    assert sorted(r["time_index"] for r in reports.separated_top(df, 3, 3, 1).collect()) == [1, 4]
+
+
+def test_report_escapes(spark):
+    from tracewright.operators import reports
+
+    text = reports.html_report(spark.createDataFrame([("<b>", "drop")], "name string, recommendation string"), "t")
+    assert "&lt;b&gt;" in text and 'class="drop"' in text
