@@ -147,7 +147,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
 
     own_id = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     of_text = members.withColumn("_id", F.xxhash64(F.coalesce(F.col("first_id").cast("string"), F.lit("null")))).drop("first_id")
-    found = rows.withColumn("_id", own_id).select("_id", "h1", "h2", "text").join(of_text, ["_id", "h1", "h2"]).dropDuplicates(["_id", "h1", "h2"])
+    # members grow with the documents: never broadcast, however small they are here
+    found = rows.withColumn("_id", own_id).select("_id", "h1", "h2", "text").join(of_text.hint("merge"), ["_id", "h1", "h2"]).dropDuplicates(["_id", "h1", "h2"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
