@@ -137,13 +137,17 @@ def scored(features: DataFrame, config: ScoringConfig = ScoringConfig(), keys: S
     a, p = F.col("artifact_score"), F.col("protect_score")
     label = F.when((a >= config.artifact_drop) & (p <= config.protect_drop_max), "drop").when((p >= config.protect_keep) & (a < config.artifact_drop), "keep")
     label = label.when((a >= config.artifact_review) | (p >= config.protect_keep), "review").otherwise("keep")
-    return out.withColumns(
-        {
-            "artifact_flags": flags([("high_frequency", "high_freq_power_ratio", config.high_freq_ratio), ("bursty", "robust_peak_density", config.robust_peak_density), ("heavy_tailed", "abs_excess_kurtosis", config.abs_kurtosis), ("nonstationary", "window_variance_ratio", config.variance_ratio), ("concentrated_loading", "max_median_loading_ratio", config.loading_ratio)]),
-            "protect_flags": flags([("behavior_link", "max_abs_behavior_corr", config.behavior_corr), ("slow_calcium_band", "low_freq_power_ratio", config.low_freq_ratio), ("autocorrelated", "lag1_autocorr", config.lag1_autocorr), ("stable_across_runs", "stability_score", config.protect_keep)]),
-            "recommendation": label,
-        }
-    )
+    c = config
+    # Names of the flags.
+    artifact = [
+        ("high_frequency", "high_freq_power_ratio", c.high_freq_ratio), ("bursty", "robust_peak_density", c.robust_peak_density), ("heavy_tailed", "abs_excess_kurtosis", c.abs_kurtosis),
+        ("nonstationary", "window_variance_ratio", c.variance_ratio), ("concentrated_loading", "max_median_loading_ratio", c.loading_ratio),
+    ]
+    protect = [
+        ("behavior_link", "max_abs_behavior_corr", c.behavior_corr), ("slow_calcium_band", "low_freq_power_ratio", c.low_freq_ratio), ("autocorrelated", "lag1_autocorr", c.lag1_autocorr),
+        ("stable_across_runs", "stability_score", c.protect_keep),
+    ]
+    return out.withColumns({"artifact_flags": flags(artifact), "protect_flags": flags(protect), "recommendation": label})
 
 
 def ordered(table: DataFrame) -> DataFrame:

@@ -69,7 +69,11 @@ def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFram
     return files.mapInPandas(rows, "path string, time_index int, x array<double>")
 
 
-def frame_rates(spark: SparkSession, path: str, default_hz: float, key: str = "frameRateSCAPE") -> DataFrame:
+#: Fixed value: the key under which analysis-info files hold their sample rate.
+RATE_KEY = "frameRateSCAPE"
+
+
+def frame_rates(spark: SparkSession, path: str, default_hz: float, key: str = RATE_KEY) -> DataFrame:
     """Sample rate of each analysis-info JSON file; the default where it is missing, unreadable or not positive."""
     text = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
     rate = F.get_json_object(F.col("content").cast("string"), f"$.{key}").try_cast("double")
