@@ -12,15 +12,15 @@ from .metrics import _rounded
 from .preprocess import LONG, WIDE
 
 _MIX = "CAST((neuron * 7 + component * 3) % 11 - 5 AS DOUBLE) / 10"
-MIXED = f"""{LONG}, comps AS (SELECT recording, neuron AS component, time_index, value FROM traces WHERE neuron < 8), mixing AS (SELECT recording, component, neuron, {_MIX} AS weight FROM (SELECT DISTINCT recording FROM wide), (SELECT CAST(unnest(range(8)) AS INTEGER) AS component), (SELECT CAST(unnest(range(64)) AS INTEGER) AS neuron))"""
+MIXED = f"""{LONG}, comps AS (SELECT recording, neuron AS component, time_index, value FROM traces), mixing AS (SELECT recording, component, neuron, {_MIX} AS weight FROM (SELECT DISTINCT recording FROM wide), (SELECT CAST(unnest(range(64)) AS INTEGER) AS component), (SELECT CAST(unnest(range(64)) AS INTEGER) AS neuron))"""
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The first eight neurons as components, a fixed mixing and means."""
+    """Every neuron as a component, a fixed mixing and means."""
     long = traces(spark, sf_dir)
-    comps = long.filter("neuron < 8").select("recording", F.col("neuron").alias("component"), "time_index", "value")
+    comps = long.select("recording", F.col("neuron").alias("component"), "time_index", "value")
     weight = ((F.col("neuron") * 7 + F.col("component") * 3) % 11 - 5).cast("double") / 10
-    grid = long.select("recording").distinct().withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("neuron", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    grid = long.select("recording").distinct().withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("neuron", F.explode(F.sequence(F.lit(0), F.lit(63))))
     means = long.groupBy("recording", "neuron").agg(F.avg("value").alias("mean"))
     return comps, grid.withColumn("weight", weight), means
 
