@@ -5,10 +5,12 @@ A word is a run of bytes other than space and 0x09-0x0D; in UTF-8 these never li
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -43,7 +45,21 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long: keeps the Arrow batches between the JVM and Python at a few MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its task and would hold the peak of all its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of the batch with about `most` bytes of text each, one row at least."""
     if not batch.num_rows:
         return
@@ -53,6 +69,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         stop = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 def offsets_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:

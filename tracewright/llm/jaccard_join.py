@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 from ._components import components
 from ._skew import lookup
-from ._text import Texts, slices
+from ._text import Texts, slices, small_batches
 
 
 def shingles(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +119,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     others), n_links (other rows that it links to, copies included), n_copies (rows with its text), first_h1 and first_h2 (the text that
     stands for the class; of several with the id class_id, that with the smallest hash).
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     h1, h2 = text_keys(F.col("text"))
     rows = rows.withColumns({"h1": h1, "h2": h2})

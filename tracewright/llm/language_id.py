@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import saved
 from ._skew import lookup, never_null
-from ._text import Texts, mix64, slices
+from ._text import Texts, mix64, slices, small_batches
 
 
 def _buckets_of(t: Texts, buckets: int) -> np.ndarray:
@@ -62,6 +62,7 @@ def language_id(
 ) -> DataFrame:
     """All columns of docs but text, with language, posterior and kept (replacing columns of those names)."""
     spark, names = docs.sparkSession, ["language", "posterior", "kept"]
+    small_batches(spark)
     rest = docs.drop(*names)
     columns = [c for c in rest.columns if c != text]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)

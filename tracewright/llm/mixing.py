@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._skew import never_null
+from ._text import small_batches
 
 WEIGHTS = (1, 2, 3)
 
@@ -124,6 +125,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     A run is (copy, first, words): in copy 0 .. most_repeats - 1 of the document, these words from word `first` on are taken.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.withColumns({"_size": word_count(F.col(text)), "_stream": never_null(F.col(source)), "_doc": F.xxhash64(F.col(doc_id)), "_text": F.xxhash64(F.col(text))})
     shards = max(1, int(np.ceil(np.sqrt(docs.count()))))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_doc", "_text", F.lit(seed)), F.lit(shards)).cast("int"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import offsets_of, slices
+from ._text import offsets_of, slices, small_batches
 
 PIECES = "doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -104,6 +104,7 @@ def pack(lengths: np.ndarray, window: int = 1024, deep_bins: int = 64) -> tuple[
 
 def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 1024, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, lot_tokens: int = 3_000_000) -> DataFrame:
     """One row for each piece, with its ids as unsigned little-endian 32-bit integers."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = PIECES.format(id_type=docs.schema["doc_id"].dataType.simpleString())
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from ._text import Texts, slices
+from ._text import Texts, slices, small_batches
 from .quality_rules import statistics
 
 FEATURES = ("log_words", "mean_word", "symbols", "uppercase", "digits", "exclamations", "bars", "stops", "commas", "wide", "dup_lines", "repeats", "distinct", "words_a_line", "urls")
@@ -46,6 +46,7 @@ def features(t: Texts) -> dict[str, np.ndarray]:
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with a double column for each of FEATURES (replacing columns of those names)."""
+    small_batches(docs.sparkSession)
     rest = docs.drop(*FEATURES)
     kept = [c for c in rest.columns if c != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text), *(f"{n} double" for n in FEATURES)])

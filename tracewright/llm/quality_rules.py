@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Texts, slices
+from ._text import Texts, slices, small_batches
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -147,6 +147,7 @@ def judged(column: pa.Array, min_words: int, max_covered: float, max_longest: in
 
 def quality_rules(docs: DataFrame, text: str = "text", verdict: str = "quality_verdict", min_words: int = 6, max_covered: float = 0.3, max_longest: int = 200) -> DataFrame:
     """docs with one struct column more (named by `verdict`, replacing one of that name) with the fields of VERDICT."""
+    small_batches(docs.sparkSession)
     rest = docs.drop(verdict)
     schema = T.StructType([*rest.schema.fields, T.StructField(verdict, VERDICT)])
 

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..scratch import new_path
 from ._skew import lookup
+from ._text import small_batches
 
 CRLF = b"\r\n"
 _HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -116,6 +117,7 @@ def _header(**fields: object) -> bytes:
 def write_warc(rows: DataFrame, path: str, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, file_bytes: int = 32 << 20, compression: str = "gzip") -> None:
     """Archives under path with a record, or its segments, for each row of with_revisits()."""
     schema = "record binary"
+    small_batches(rows.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
