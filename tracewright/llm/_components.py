@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import saved
+from ._skew import lookup
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,8 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # large star: u, larger than its neighbour v, moves to the smallest neighbour of v; a v with many neighbours is a heavy key
+        large = lookup(pairs.withColumn("_v", F.col("v").cast("string")), least.select(F.col("u").cast("string").alias("_v"), "m", "n"), "_v", "n", "u")
+        large = large.select("u", F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(smallest, "u")
         small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v")))
