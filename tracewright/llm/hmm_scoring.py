@@ -5,7 +5,7 @@ commonest words and the end are classes of their own; other words are classed by
 one place for unknown words, so the probabilities of all continuations sum to one. As a word's share of its class doesn't depend on the state,
 the exact likelihood is the scaled forward recursion over classes times the shares of all words.
 
-Words are known by 64-bit hashes. Counts are summed over all training rows. The dictionary of the `near_words` commonest words is broadcast,
+Words are known by 64-bit hashes. Counts are summed over all training rows. The dictionary of the commonest words, `near_words` at most, is broadcast,
 a bound that doesn't depend on the data; counts of all other words are joined by shuffle, where no word is common any more. Null and
 empty texts are scored as their end alone; rows repeat as often as they come in; without training rows nothing is known and the model is
 that of its start. Sequences are never cut.
@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from ._text import Texts, mix64, slices
+from ._text import Texts, mix64, slices, small_batches
 
 END = np.uint64(0x5D1E7A3C9B2F4861)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,7 +83,7 @@ def word_counts(docs: DataFrame, tail_classes: int) -> DataFrame:
 class Vocabulary:
     """Dictionary of the commonest words (sorted hashes, counts, classes) and the smoothed probability of each class.
 
-    last: count and hash of the dictionary's last word, in the order of falling counts, then hashes.
+    level: least count level (see least_level) of its words; it holds all words of that level and above.
     """
 
     hashes: np.ndarray
@@ -95,16 +95,35 @@ class Vocabulary:
     words: int
     end_count: int
     first_tail: int
-    last: tuple[int, int]
+    level: int
 
     def log_p(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
 
 
+def _level() -> Column:
+    return F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+
+
+def least_level(words: DataFrame, most: int) -> int:
+    """Words are put into levels of their count, 16 to each doubling; the least level from which on there are `most` words at most."""
+    sizes = sorted(((r["level"], r["count"]) for r in words.groupBy(_level().alias("level")).count().collect()), reverse=True)  # 16 * 63 at most
+    held, least = 0, (sizes[0][0] + 1 if sizes else 0)
+    for level, n in sizes:
+        held += n
+        if held > most:
+            break
+        least = level
+    return least
+
+
 def vocabulary_of(counts: DataFrame, near_words: int, top_classes: int, tail_classes: int) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     end = counts.filter(F.col("tail") == -1).first()
-    near = counts.filter(F.col("tail") >= 0).orderBy(F.desc("n"), "h").limit(near_words).toPandas()  # near_words at most
+    words = counts.filter(F.col("tail") >= 0)
+    level = least_level(words, near_words)
+    found = words.filter(_level() >= level).toArrow().to_pandas()  # near_words at most
+    near = found.sort_values(["n", "h"], ascending=[False, True], kind="stable")
     tails = {r["tail"]: (r["n"], r["v"]) for r in counts.filter(F.col("tail") >= 0).groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # tail_classes at most
     mass, kinds = np.zeros(tail_classes), np.zeros(tail_classes)
     for tail, (n, v) in tails.items():
@@ -117,9 +136,8 @@ def vocabulary_of(counts: DataFrame, near_words: int, top_classes: int, tail_cla
     class_p = np.concatenate([(n[:top] + 0.1) / below, (mass + 0.1 * (kinds + 1)) / below, [((end["n"] if end else 0) + 0.1) / below]])
     classes = np.where(np.arange(len(near)) < top, np.arange(len(near)), top + tail)
     order = np.argsort(near["h"].to_numpy(np.int64).view(np.uint64))
-    last = (int(n[-1]), int(near["h"].iloc[-1])) if len(near) else (0, 0)
     hashes = near["h"].to_numpy(np.int64).view(np.uint64)[order]
-    return Vocabulary(hashes, n[order], classes[order].astype(np.int64), class_p, len(class_p) - 1, int(total["n"]), int(total["v"]), int(end["n"]) if end else 0, top, last)
+    return Vocabulary(hashes, n[order], classes[order].astype(np.int64), class_p, len(class_p) - 1, int(total["n"]), int(total["v"]), int(end["n"]) if end else 0, top, level)
 
 
 def encoded(docs: DataFrame, v: Vocabulary, tail_classes: int) -> DataFrame:
@@ -258,7 +276,7 @@ def trained(train: DataFrame, m: Hmm, class_p: np.ndarray, rounds: int, smooth:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "x"])
 
-        rows = train.select("classes").mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()  # a row for each parameter
+        rows = train.select("classes").mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow().to_pandas()  # a row for each parameter
         total = np.zeros(states + states * states + states * classes)
         total[rows["cell"].to_numpy()] = rows["x"].to_numpy()
         start, move, emit = total[:states] + 1, total[states : states + states**2].reshape(states, states) + 1, total[states + states**2 :].reshape(states, classes)
@@ -267,17 +285,17 @@ def trained(train: DataFrame, m: Hmm, class_p: np.ndarray, rounds: int, smooth:
     return m
 
 
-def hmm_scores(docs: DataFrame, states: int = 8, rounds: int = 4, top_classes: int = 8192, tail_classes: int = 1024, near_words: int = 1 << 18, seed: int = 5) -> DataFrame:
+def hmm_scores(docs: DataFrame, states: int = 8, rounds: int = 4, top_classes: int = 8192, tail_classes: int = 1024, near_words: int = 1 << 17, seed: int = 5) -> DataFrame:
     """Scores of docs (doc_id, text, held_out): learns from rows that aren't held out."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     counts = saved(word_counts(rows, tail_classes), "word-counts")
     v = vocabulary_of(counts, near_words, top_classes, tail_classes)
     table = saved(encoded(rows, v, tail_classes), "classes")
     m = trained(table.filter(~F.col("held_out")), first_guess(v.class_p, states, seed), v.class_p, rounds)
 
-    n_last, h_last = v.last
-    rare_counts = counts.filter((F.col("tail") >= 0) & ((F.col("n") < n_last) | ((F.col("n") == n_last) & (F.col("h") > h_last)))).select("h", "n")
+    rare_counts = counts.filter((F.col("tail") >= 0) & (_level() < v.level)).select("h", "n")
     below = float(v.tokens + 0.1 * (v.words + 1))
     rare = table.select("row", F.explode("rare").alias("h")).join(rare_counts, "h", "left")
     n = F.coalesce("n", F.lit(0))
