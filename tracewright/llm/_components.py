@@ -9,6 +9,10 @@ from ..scratch import saved
 from ._skew import lookup
 
 
+#: Rounds of few edges aren't written as many tiny files.
+ROWS_A_FILE = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of the edges (u, v: longs); edges from a node to itself are fine."""
     pairs = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -26,5 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(smallest, "u")
         small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v")))
-        pairs = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+        files = max(1, seen[0] // ROWS_A_FILE)  # no more edges than before
+        pairs = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().coalesce(files), "edges")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
