@@ -1,7 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty
-from tracewright.llm.language_id import language_id, op10_language_id, op10_language_id_pages
+from tracewright.llm.language_id import ending_counts, language_id, op10_language_id, op10_language_id_pages
 
 
 def test_agrees_with_declared_languages(spark):
@@ -35,3 +36,22 @@ def test_awkward_rows(spark):
 def test_without_declarations_nothing_is_known(spark):
     docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert language_id(docs).filter("kept").count() == 0
+
+
+def test_no_language_is_dropped_by_rank(spark):
+    """A hundred languages, the later ones rarer: each keeps its text, declaration, host and suffix evidence."""
+    text = lambda k: f"w{k:03d} x{k:03d} y{k:03d} " * 6
+    rows = [(100 * k + i, text(k), f"l{k:03d}", f"h{k}.t{k}") for k in range(100) for i in range(2 + (k < 50))]
+    rows += [(20_000 + k, text(k), None, None) for k in range(100)] + [(30_000 + k, "zzzz", None, f"h{k}.t{k}") for k in range(100)] + [(40_000 + k, "zzzz", f"l{k:03d}", None) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in language_id(docs).collect()}
+    for k in range(100):
+        ids = [*(100 * k + i for i in range(2 + (k < 50))), 20_000 + k, 30_000 + k, 40_000 + k]
+        assert {out[i]["language"] for i in ids} == {f"l{k:03d}"}
+        assert all(out[i]["kept"] for i in ids[:-2])
+
+
+def test_cells_add_up_in_small_lots(spark):
+    docs = documents(spark).selectExpr("text AS _text", "lang AS _lang")
+    whole, lots = (ending_counts(docs, ["en", "de", "fr"], 1 << 10, most) for most in (1 << 20, 50))
+    assert all((a == b).all() for a, b in zip(whole, lots, strict=True)) and (np.diff(whole[0]) > 0).all()

@@ -5,7 +5,7 @@ counted over all rows. Declared language: right with probability `reliability`.
 towards those of its address suffix, which are smoothed towards those of all rows; a row's own declaration is taken out of both. All counts are
 grouped aggregations; hosts that hold many rows are joined by a join that deals out their rows.
 
-The languages are the `most_languages` most often declared. A row is rejected (kept is false) if it has no word or if its best language has
+The languages are all that are declared: their counts are kept only where they aren't zero, a row's likelihood is one number for each. A row is rejected (kept is false) if it has no word or if its best language has
 a posterior under `least_posterior`; without any declared language at all, every row is. Null texts have no words, null declarations and hosts are no evidence for a
 language (null hosts form one host). Ties go to the language declared more often. Repeated rows get equal results.
 """
@@ -28,37 +28,55 @@ def _buckets_of(t: Texts, buckets: int) -> np.ndarray:
     return (mix64(t.tail_hash(4)) % np.uint64(buckets)).astype(np.int64)
 
 
-def ending_counts(docs: DataFrame, languages: list[str], buckets: int) -> np.ndarray:
-    """Words of each bucket in the documents that declare each language."""
+def ending_counts(docs: DataFrame, languages: list[str], buckets: int, most_cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (place of the language * buckets + bucket) that occur, in order, and the words of each. Tasks hold most_cells or so at a time."""
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * buckets, np.int64)
+        cells, n, new = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            at, inverse = np.unique(np.concatenate([cells, *(c for c, _ in new)]), return_inverse=True)
+            total = np.zeros(len(at), np.int64)
+            np.add.at(total, inverse, np.concatenate([n, *(k for _, k in new)]))
+            return at, total
+
         for whole in batches:
             for batch in slices(whole, "_text"):
                 t = Texts(batch.column("_text"))
                 lang = np.array([place.get(x, -1) for x in batch.column("_lang").to_pylist()], np.int64)[t.doc]
                 known = lang >= 0
-                total += np.bincount(lang[known] * buckets + _buckets_of(t, buckets)[known], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+                new.append(np.unique(lang[known] * buckets + _buckets_of(t, buckets)[known], return_counts=True))
+                if sum(len(c) for c, _ in new) > most_cells:
+                    (cells, n), new = merged(), []
+                    if len(cells) > most_cells:
+                        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+                        cells, n = cells[:0], n[:0]
+        cells, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+
+    out = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # pairs of language and bucket that occur
+    cells, n = (out.column(c).to_numpy() for c in ("cell", "n"))
+    order = np.argsort(cells)
+    return cells[order], n[order]
+
+
+def _suffix_of(host: str, suffix: Column | None) -> Column:
+    return F.coalesce(suffix, F.lit("")) if suffix is not None else F.regexp_extract(F.coalesce(F.col(host), F.lit("")), r"\.([^.]*)$", 1)
+
 
-    out = np.zeros(len(languages) * buckets)
-    for r in docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # languages x buckets at most
-        out[r["cell"]] = r["n"]
-    return out.reshape(len(languages), buckets)
+def _dense(of: str, n: int) -> Column:
+    """The counts of entries (at, n) as an array over all n languages."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(F.col(f"{of}.n"), F.array_position(F.col(f"{of}.at"), i).cast("int") - 1), F.lit(0)).cast("double"))
 
 
-def _smoothed(own: Column, prior: Column, strength: float) -> Column:
-    """(counts + strength * prior) / (their sum), counts never under 0."""
-    counts = F.transform(own, lambda n: F.greatest(n, F.lit(0.0)))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n)
-    return F.zip_with(counts, prior, lambda n, p: (n + F.lit(strength) * p) / (total + F.lit(strength)))
+def _total(of: str) -> Column:
+    return F.aggregate(f"{of}.n", F.lit(0.0), lambda a, n: a + n)
 
 
 def language_id(
     docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", suffix: Column | None = None, reliability: float = 0.9, strength: float = 20.0,
-    buckets: int = 1 << 15, most_languages: int = 64, least_posterior: float = 0.6,
+    buckets: int = 1 << 15, least_posterior: float = 0.6,
 ) -> DataFrame:
     """All columns of docs but text, with language, posterior and kept (replacing columns of those names)."""
     spark, names = docs.sparkSession, ["language", "posterior", "kept"]
@@ -66,45 +84,59 @@ def language_id(
     rest = docs.drop(*names)
     columns = [c for c in rest.columns if c != text]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
-    often = rest.filter(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    often = rest.filter(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("l")).count().orderBy(F.desc("count"), "l").collect()
     languages, total = [r["l"] for r in often], sum(r["count"] for r in often)
     if not languages:
         return rest.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
-    counts = ending_counts(rest.select(F.col(text).alias("_text"), F.col(declared).alias("_lang")), languages, buckets)
-    logs = np.log10((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets))
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(logs.T))  # buckets x languages
+    cells, n = ending_counts(rest.select(F.col(text).alias("_text"), F.col(declared).alias("_lang")), languages, buckets)
+    of = cells // buckets
+    words = np.bincount(of, weights=n, minlength=len(languages)) + 0.5 * buckets
+    # the buckets of each language with their logs, and the log of a bucket that it doesn't have
+    shared = spark.sparkContext.broadcast((np.searchsorted(of, np.arange(len(languages) + 1)), (cells % buckets).astype(np.int32), np.log10((n + 0.5) / words[of]), np.log10(0.5 / words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, bucket, logs, missing = shared.value
+        place = {x: i for i, x in enumerate(languages)}
         for whole in batches:
             for batch in slices(whole, text):
                 t = Texts(batch.column(text))
                 at = _buckets_of(t, buckets)
-                likelihood = np.stack([t.per_text(shared.value[at, k], t.word_at) for k in range(len(languages))], axis=1)
-                arrays = [*(batch.column(c) for c in columns), pa.array(t.n_words), pa.array(list(likelihood), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, "_words", "_likelihood"])
-
-    one = [F.when(F.col(declared) == x, 1.0).otherwise(0.0) for x in languages]
-    keyed = rest.withColumns({"_host": never_null(F.col(host)), "_suffix": F.coalesce(suffix, F.lit("")) if suffix is not None else F.regexp_extract(F.coalesce(F.col(host), F.lit("")), r"\.([^.]*)$", 1)})
-    by_host = keyed.groupBy("_host", "_suffix").agg(*(F.sum(c).alias(f"_n{i}") for i, c in enumerate(one)), F.count(F.lit(1)).alias("_rows"))
-    by_host = by_host.select(F.concat_ws("\x00", "_host", "_suffix").alias("_key"), "_suffix", F.array(*(f"_n{i}" for i in range(len(languages)))).alias("_of_host"), "_rows")
-    by_suffix = by_host.groupBy("_suffix").agg(F.array(*(F.sum(F.col("_of_host")[i]) for i in range(len(languages)))).alias("_of_suffix"), F.count(F.lit(1)).alias("_hosts"))
-    hosts = lookup(by_host, by_suffix, "_suffix", "_hosts", "_key").select("_key", "_of_host", "_of_suffix", "_rows")
-
-    scored = rest.mapInArrow(run, f"{types}, _words long, _likelihood array<double>")
-    scored = scored.withColumn("_suffix", F.coalesce(suffix, F.lit("")) if suffix is not None else F.regexp_extract(F.coalesce(F.col(host), F.lit("")), r"\.([^.]*)$", 1))
-    scored = scored.withColumn("_key", F.concat_ws("\x00", never_null(F.col(host)), "_suffix")).drop("_suffix")
+                likelihood = np.empty((batch.num_rows, len(languages)))
+                for k, none in enumerate(missing):
+                    of_bucket = np.full(buckets, none)
+                    of_bucket[bucket[starts[k] : starts[k + 1]]] = logs[starts[k] : starts[k + 1]]
+                    likelihood[:, k] = t.per_text(of_bucket[at], t.word_at)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(languages), pa.int32()), pa.array(likelihood.ravel()))
+                own = pa.array([place.get(x, -1) for x in batch.column(declared).to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(t.n_words), lists, own], [*columns, "_words", "_likelihood", "_own"])
+
+    said_languages = F.array(*map(F.lit, languages))
+    keyed = rest.select(never_null(F.col(host)).alias("_host"), _suffix_of(host, suffix).alias("_suffix"), F.col(declared).alias("_lang"))
+    counted = keyed.groupBy("_host", "_suffix", "_lang").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.array_position(said_languages, F.col("_lang")).cast("int") - 1)
+    entries = lambda n: F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.expr(n).alias("n"))))
+    by_host = counted.groupBy("_host", "_suffix").agg(entries("n").alias("_entries"), F.sum("n").alias("_rows"))
+    by_host = by_host.select(F.concat_ws("\x00", "_host", "_suffix").alias("_key"), "_suffix", "_entries", "_rows")
+    each = by_host.select("_suffix", F.posexplode_outer("_entries").alias("_nth", "_entry")).groupBy("_suffix", F.col("_entry.at").alias("at")).agg(F.sum("_entry.n").alias("n"), F.count_if(F.coalesce("_nth", F.lit(0)) == 0).alias("_hosts"))
+    by_suffix = each.groupBy("_suffix").agg(entries("n").alias("_entries"), F.sum("_hosts").alias("_hosts"))
+    by_suffix = by_suffix.select("_suffix", _dense("_entries", len(languages)).alias("_of_suffix"), _total("_entries").alias("_in_suffix"), "_hosts")
+    by_host = by_host.select("_key", "_suffix", _dense("_entries", len(languages)).alias("_of_host"), _total("_entries").alias("_in_host"), "_rows")
+    hosts = lookup(by_host, by_suffix, "_suffix", "_hosts", "_key").select("_key", "_of_host", "_in_host", "_of_suffix", "_in_suffix", "_rows")
+
+    scored = rest.mapInArrow(run, f"{types}, _words long, _likelihood array<double>, _own int")
+    scored = scored.withColumn("_key", F.concat_ws("\x00", never_null(F.col(host)), _suffix_of(host, suffix)))
     scored = scored.withColumn("_spread", F.xxhash64("_words", "_likelihood"))
     met = lookup(scored, hosts, "_key", "_rows", "_spread")
-    own = F.array(*one)
-    less = lambda a: F.zip_with(a, own, lambda n, o: n - o)
-    base = F.array(*(F.lit(r["count"] / total) for r in often))
-    prior = _smoothed(less(F.col("_of_host")), _smoothed(less(F.col("_of_suffix")), base, strength), strength)
+    own, base = F.col("_own"), F.array(*(F.lit(r["count"] / total) for r in often))
     wrong = (1 - reliability) / max(1, len(languages) - 1)
-    said = F.when(F.col(declared).isin(languages), F.transform(own, lambda o: F.log10(F.when(o > 0, F.lit(reliability)).otherwise(F.lit(wrong))))).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
-    evidence = F.zip_with(F.zip_with("_likelihood", said, lambda a, b: a + b), prior, lambda a, p: a + F.log10(p))
+    said = lambda i: F.when(own < 0, F.lit(0.0)).when(i == own, F.log10(F.lit(reliability))).otherwise(F.log10(F.lit(wrong)))
+    less = lambda c, i: F.get(c, i) - F.when(i == own, 1.0).otherwise(0.0)
+    others = lambda c: F.col(c) - F.when(own < 0, 0.0).otherwise(1.0)
+    smoothed = lambda n, prior, all: (n + F.lit(strength) * prior) / (all + F.lit(strength))
+    prior = lambda i: smoothed(less("_of_host", i), smoothed(less("_of_suffix", i), F.get(base, i), others("_in_suffix")), others("_in_host"))
+    evidence = F.transform("_likelihood", lambda a, i: a + said(i) + F.log10(prior(i)))
     fused = met.withColumn("_evidence", evidence).withColumn("_best", F.array_max("_evidence"))
     share = F.lit(1.0) / F.aggregate("_evidence", F.lit(0.0), lambda a, e: a + F.pow(F.lit(10.0), e - F.col("_best")))
-    language = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_evidence", F.col("_best")).cast("int"))
+    language = F.element_at(said_languages, F.array_position("_evidence", F.col("_best")).cast("int"))
     return fused.select(*columns, language.alias("language"), share.alias("posterior"), ((F.col("_words") > 0) & (share >= least_posterior)).alias("kept"))
 
 
