@@ -155,3 +155,21 @@ def test_report_escapes(spark):
 
     text = reports.html_report(spark.createDataFrame([("<b>", "drop")], "name string, recommendation string"), "t")
     assert "&lt;b&gt;" in text and 'class="drop"' in text
+
+
+def test_spectral_preservation_of_tones(spark):
+    """Half the power at 0.125 Hz, half at 1 Hz: halves of it taken away, scaled, or all of it."""
+    t = np.arange(256)
+    slow, fast = np.sin(2 * np.pi * t / 32), np.sin(2 * np.pi * t / 4)
+    kinds = {"raw": slow + fast, "slow": slow, "fast": fast, "half": (slow + fast) / 2 + 3, "flat": 0 * t}
+    rows = [(0, n, int(i), [float(x[i]), float(2 * x[i])]) for n, x in kinds.items() for i in t]
+    df = spark.createDataFrame(rows, "recording int, variant string, time_index int, x array<double>")
+    spectra = bss.panel_spectra(df, 4.0, 64, 32)
+    assert spectra.count() == 10
+    out = {r["variant"]: r for r in metrics.spectral_preservation(spectra, 4.0, 0.0, 0.2).collect()}
+    retained = {n: (r["spectral_power_retention"], r["low_frequency_power_fraction"], r["low_frequency_power_fraction_delta"]) for n, r in out.items()}
+    wanted = {"raw": (1, 0.5, 0), "slow": (0.5, 1, 0.5), "fast": (0.5, 0, -0.5), "half": (0.25, 0.5, 0)}
+    assert retained.pop("flat") == (0, None, None)
+    assert all(retained[n] == pytest.approx(w, abs=1e-9) for n, w in wanted.items()) and retained.keys() == wanted.keys()
+    nothing = metrics.spectral_preservation(spectra, 4.0, 0.01, 0.02).filter("variant = 'raw'").first()
+    assert nothing["spectral_power_retention"] == 1 and nothing["low_frequency_power_fraction"] is None

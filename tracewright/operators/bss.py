@@ -106,6 +106,19 @@ def welch_spectra(series: DataFrame, rate: float, nperseg: int = 250, noverlap:
     return series.select(*keys, time, value).groupBy(*keys).applyInPandas(spectrum, f"{_types(series, keys)}, frequency {_VECTOR}, power {_VECTOR}")
 
 
+def panel_spectra(wide: DataFrame, rate: float, nperseg: int = 64, noverlap: int = 32, keys: Sequence[str] = ("recording", "variant"), time: str = "time_index") -> DataFrame:
+    """power of each neuron of wide(keys, time, x), one matrix at a time; runs of consecutive times are segments."""
+
+    def spectra(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(time, kind="stable")
+        t, x = own[time].to_numpy(), np.stack(own["x"].to_list()).astype(float)
+        segments = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(t) != 1) + 1, [len(t)]]))
+        _, p = spectral.segmented_welch(x, segments, rate, nperseg, noverlap)
+        return pd.DataFrame({k: [own[k].iloc[0]] * x.shape[1] for k in keys} | {"neuron": range(x.shape[1]), "power": list(p.T)})
+
+    return wide.select(*keys, time, "x").groupBy(*keys).applyInPandas(spectra, f"{_types(wide, keys)}, neuron int, power {_VECTOR}")
+
+
 def rank_clusters(spectra: DataFrame, rate: float, fmin: float, fmax: float, aggregate: str = "mean", keys: Sequence[str] = REC) -> DataFrame:
     """Clusters of spectra(keys, component, cluster, power) by the log of their mean power in a band: its mean, sum or peak. Highest first."""
     if aggregate not in ("mean", "sum", "peak"):

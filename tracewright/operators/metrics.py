@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import median, pearson, quantile, r_squared, rmse, safe_divide
+from ..functions.numeric import median, pearson, positive_ratio, quantile, r_squared, rmse, safe_divide
 from .preprocess import moving_average, require_columns
 
 REC = ("recording",)
@@ -54,6 +54,21 @@ def retained_energy(paired: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
     return per.groupBy(*keys, "variant").agg(safe_divide(F.sum("e"), F.sum("r")).alias("retained_energy"))
 
 
+def spectral_preservation(spectra: DataFrame, rate: float, fmin: float, fmax: float, reference: str = "raw", keys: Sequence[str] = REC) -> DataFrame:
+    """Each variant's power, of all neurons of spectra(keys, variant, neuron, power), as a share of the reference's; the share of it from
+    fmin to fmax, and that share's change from the reference's. NULL where there is no power, the shares also without a bin in the band.
+    """
+    bins = spectra.select(*keys, "variant", (F.size("power") - 1).alias("_last"), F.posexplode("power").alias("_bin", "_p"))
+    low = F.sum(F.when((F.col("_bin") * (rate / 2) / F.col("_last")).between(fmin, fmax), F.col("_p")))
+    sums = bins.groupBy(*keys, "variant").agg(F.sum("_p").alias("_total"), low.alias("_low")).withColumn("low_frequency_power_fraction", positive_ratio("_low", "_total"))
+    ref = sums.filter(F.col("variant") == reference).select(*keys, F.col("_total").alias("_ref_total"), F.col("low_frequency_power_fraction").alias("_ref_low"))
+    return sums.join(ref, list(keys)).select(
+        *keys, "variant", positive_ratio("_total", "_ref_total").alias("spectral_power_retention"), "low_frequency_power_fraction",
+        (F.col("low_frequency_power_fraction") - F.col("_ref_low")).alias("low_frequency_power_fraction_delta"),
+        F.lit(float(fmin)).alias("low_frequency_fmin_hz"), F.lit(float(fmax)).alias("low_frequency_fmax_hz"),
+    )
+
+
 def lag_autocorrelation(variants: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("recording", "variant")) -> DataFrame:
     """Mean product of z-scored values `lag` frames apart, of each neuron."""
     series = Window.partitionBy(*keys, "neuron")

@@ -157,9 +157,12 @@ def run_evaluation(frames: DataFrame, targets: DataFrame, config: EvaluationConf
         predictions[target] = saved(decoding.decode(jobs, task, **options), f"predictions-{target}")
         behavior[target] = decoding.decoding_metrics(predictions[target], task).withColumn("target", F.lit(target))
 
-    long = saved(long_form(variants.filter("role = 'test'").select(*KEYS, "variant", "time_index", "x"), (*KEYS, "variant", "time_index")), "held-out")
+    held_out = variants.filter("role = 'test'").select(*KEYS, "variant", "time_index", "x")
+    long = saved(long_form(held_out, (*KEYS, "variant", "time_index")), "held-out")
     paired = metrics.against(long, keys=KEYS)
     trace = metrics.trace_preservation(paired, KEYS).join(metrics.retained_energy(paired, KEYS), [*KEYS, "variant"])
+    spectra = saved(bss.panel_spectra(held_out, config.sample_rate_hz, config.welch_nperseg, config.welch_noverlap, [*KEYS, "variant"]), "held-out-spectra")
+    trace = trace.join(metrics.spectral_preservation(spectra, config.sample_rate_hz, config.ranking_fmin_hz, config.ranking_fmax_hz, keys=KEYS), [*KEYS, "variant"])
     temporal = metrics.autocorrelation_change(long, (1, 3, 5), keys=KEYS)
     latent = saved(_latent(variants, targets, edges, config), "latent")
     audit = folds.leakage_audit(roles.filter("role = 'train'").select(F.explode(F.array(*map(F.lit, ("bss_fit", "cluster_fit", "quality_fit", "scaler_fit", "decoder_fit", "latent_fit")))).alias("operation"), *KEYS, "time_index"), roles)

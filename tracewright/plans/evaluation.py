@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded as r6
-from ..operators import decoding
+from ..operators import bss, decoding, folds, metrics
 from ..pipeline.evaluation import EvaluationConfig, LatentConfig, run_evaluation
 from ..scratch import saved
-from ..sources.panels import frames, traces
+from ..sources.panels import frames, traces, wide_form
 from .metrics import _rounded
 from .preprocess import LONG
 
@@ -53,6 +53,14 @@ RIDGE = f"""WITH {LONG}, d AS (SELECT *, lead(value, 1) OVER (PARTITION BY recor
 SELECT recording, neuron, round(slope, 6) + 0.0 AS slope, round(my - slope * mx, 6) + 0.0 AS intercept, n FROM s"""
 
 
+def spectral_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out power of raw, smoothed and scaled traces: retention and low-band share of each fold."""
+    wide = wide_form(metrics.variants_of(traces(spark, sf_dir)), ("recording", "variant", "time_index"))
+    roles = folds.strict_folds(frames(spark, sf_dir), 2, 6).filter("role = 'test'").select("recording", "fold", "time_index")
+    spectra = bss.panel_spectra(wide.join(roles, ["recording", "time_index"]), 4.0, 64, 32, ["recording", "fold", "variant"])
+    return _rounded(metrics.spectral_preservation(saved(spectra, "spectra"), 4.0, 0.0, 0.2, keys=["recording", "fold"]), "recording", "fold", "variant")
+
+
 def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small configuration end to end; the trace table of all folds and variants with the decoding of vigor beside it."""
     config = EvaluationConfig(
@@ -64,5 +72,5 @@ def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tables["trace_metrics"], "recording", "fold", "variant").join(vigor, ["recording", "fold", "variant"])
 
 
-QUERIES = {"decoding_regression": decoding_regression, "decoding_classification": decoding_classification, "latent_state_metrics": latent_state_metrics, "ridge_one_feature": ridge_one_feature, "full_evaluation": full_evaluation}
+QUERIES = {"decoding_regression": decoding_regression, "decoding_classification": decoding_classification, "latent_state_metrics": latent_state_metrics, "ridge_one_feature": ridge_one_feature, "spectral_preservation": spectral_preservation, "full_evaluation": full_evaluation}
 ORACLES = {"ridge_one_feature": RIDGE}
