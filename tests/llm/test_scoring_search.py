@@ -110,3 +110,13 @@ def test_awkward_vectors(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.filter("vec_id < 3")
     assert nearest(few, few.filter("vec_id = 0")).count() == 2
+
+
+def test_each_length_is_searched_by_itself(spark):
+    long, short = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], [(1000 + i, [float(i % 7), 1.0 + i % 4]) for i in range(20)]
+    df = spark.createDataFrame(long + short, "vec_id long, embedding array<double>")
+    out = nearest(df, df.filter("vec_id % 10 = 0"), k=10, share=50.0, shard_rows=8, query_block=2).collect()
+    for rows in (long, short):
+        for q, true in brute(rows, [i for i, _ in rows if i % 10 == 0], 10).items():
+            assert [(r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == true
+    assert len(out) == 60

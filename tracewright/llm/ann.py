@@ -6,8 +6,9 @@ any row of each tree; then all trees ascend in step, one bit shorter at a time,
 repeats) and k different ones, and all rows in the ranges are measured exactly in double precision. Queries meet every shard in blocks of query_block rows;
 the nearest of all shards are merged. Hyperplanes are seeded and pass through the mean of a sample of sample_rows vectors.
 
-share trades recall for work; it needs to be large where distances hardly differ, as among random directions. Vectors that are null, zero,
-of another length than most or that hold null or non-finite components take no part, as rows or queries. Rows with a query's own id are
+share trades recall for work; it needs to be large where distances hardly differ, as among random directions. Vectors that are null, zero
+or that hold null or non-finite components take no part, as rows or queries. Each length is searched by itself; an id with vectors of
+two lengths has k neighbours of each. Rows with a query's own id are
 never its neighbours; repeated rows are separate neighbours; fewer rows than asked for are all returned; no rows give no result.
 """
 
@@ -80,18 +81,22 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     rows, queries = take(rows), take(queries)
     id_type = rows.schema["id"].dataType.simpleString()
     empty = f"query_id {id_type}, rank int, vec_id {id_type}, score double"
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
+    counts = lambda df: {r["n"]: r["count"] for r in df.groupBy(F.size("v").alias("n")).count().collect()}  # noqa: E731 - a row for each length
+    stored, asked_for = counts(rows), counts(queries)
+    lengths = sorted(stored.keys() & asked_for.keys())
+    if not lengths:
         return spark.createDataFrame([], empty)
-    rows, queries = rows.filter(F.size("v") == sizes["n"]), queries.filter(F.size("v") == sizes["n"])
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()["v"]  # sample_rows at most
-    center = np.mean(np.stack(sample.to_list()), axis=0)
-    shards, blocks = -(-sizes["count"] // shard_rows), -(-queries.count() // query_block)
-    if not blocks:
-        return spark.createDataFrame([], empty)
-
-    def dealt(df: DataFrame, n: int, name: str, others: int, other: str) -> DataFrame:
-        return df.withColumn(name, F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    rows, queries = (df.filter(F.size("v").isin(lengths)) for df in (rows, queries))
+    centers = {}
+    for n in lengths:
+        sample = rows.filter(F.size("v") == n).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()["v"]  # sample_rows at most
+        centers[n] = np.mean(np.stack(sample.to_list()), axis=0)
+    shards, blocks = {n: -(-stored[n] // shard_rows) for n in lengths}, {n: -(-asked_for[n] // query_block) for n in lengths}
+    of_length = lambda parts: F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), F.col("n"))
+
+    def dealt(df: DataFrame, parts: dict[int, int], name: str, others: dict[int, int], other: str) -> DataFrame:
+        own = df.withColumn("n", F.size("v")).withColumn(name, F.pmod(F.xxhash64("id", F.lit(seed)), of_length(parts)).cast("int"))
+        return own.withColumn(other, F.explode(F.sequence(F.lit(0), of_length(others) - 1)))
 
     left = dealt(rows, shards, "shard", blocks, "block")
     right = dealt(queries, blocks, "block", shards, "shard")
@@ -101,18 +106,18 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
         if len(own) and len(asked):
             own = own.sort_values("id", kind="stable")
             x, ids, q = np.stack(own["v"].to_list()), own["id"].to_numpy(), np.stack(asked["v"].to_list())
-            forest = Forest(x, center, trees, bits, seed)
+            forest = Forest(x, centers[x.shape[1]], trees, bits, seed)
             for at in range(0, len(q), 64):
                 part = asked["id"].iloc[at : at + 64]
                 own_rows = [np.flatnonzero(ids == i) for i in part]
                 for i, hits in enumerate(forest.candidates(q[at : at + 64], int(share * len(x)), k, own_rows), at):
                     far = np.sqrt(((x[hits] - q[i]) ** 2).sum(axis=1))
                     best = np.lexsort((ids[hits], far))[:k]
-                    out.append(pd.DataFrame({"query_id": asked["id"].iloc[i], "vec_id": ids[hits][best], "score": far[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"query_id": asked["id"].iloc[i], "vec_id": ids[hits][best], "score": far[best], "n": x.shape[1]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n": []})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = left.groupBy("n", "shard", "block").cogroup(right.groupBy("n", "shard", "block")).applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, score double, n int")
+    order = Window.partitionBy("query_id", "n").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
