@@ -1,3 +1,4 @@
+import re
 import zlib
 from fractions import Fraction
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty, words
-from tracewright.llm.mixing import capped_targets, mixed, sainte_lague
+from tracewright.llm.mixing import capped_targets, mixed, mixed_texts, sainte_lague
 from tracewright.llm.packing import combinations, nonnegative_counts, pack, packed
 
 
@@ -107,3 +108,33 @@ def test_padding_is_one_sequence_a_task(spark):
 def test_checksums(spark):
     r = packed(documents(spark)).withColumn("c", F.crc32("ids")).first()
     assert r["c"] == zlib.crc32(r["ids"])
+
+
+def test_names_of_columns_do_not_matter_to_the_mix(spark):
+    names = ["id", "row", "size", "stream", "doc", "content", "shard", "_size", "_stream", "_before", "place", "runs", "c0", "words"]
+    docs = documents(spark).select("*", *(F.lit(99 + i).alias(n) for i, n in enumerate(names)))
+    out = mixed(docs)
+    assert out.columns == [*docs.columns, "mix"] and out.count() == docs.count()
+    assert all(r[n] == 99 + i for r in out.collect() for i, n in enumerate(names))
+    texts = mixed_texts(docs)
+    assert texts.columns == docs.columns and all(r[n] == 99 + i for r in texts.collect() for i, n in enumerate(names))
+
+
+def test_texts_of_the_mix_are_its_runs(spark):
+    docs = documents(spark)
+    wanted = []
+    for r in mixed(docs).collect():
+        t = r["text"] or ""
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        copies = {}
+        for x in r["mix"]["runs"]:
+            whole = x["words"] == len(spans)
+            copies.setdefault(x["copy"], []).append(t if whole else t[spans[x["first"]][0] : spans[x["first"] + x["words"] - 1][1]])
+        wanted += [(r["doc_id"], "\n".join(c)) for c in copies.values()]
+    assert sorted(map(str, wanted)) == sorted(str((r["doc_id"], r["text"])) for r in mixed_texts(docs).collect())
+    assert mixed_texts(empty(spark)).count() == 0
+
+
+def test_too_many_sources_raise(spark):
+    with pytest.raises(ValueError):
+        mixed(documents(spark), most_sources=2)

@@ -9,8 +9,9 @@ shard every block is taken quota div blocks times, and as many as remain, picked
 more than most_repeats times, and a source misses its target by about a block.
 
 Documents are ranked in hash shards whose number grows with the square root of the rows, so neither a shard nor the list of a source's
-shards is large, whatever a source holds. One row for each source is all that reaches the driver. Null and empty texts have no words and
-take nothing; an empty table gives an empty mix; repeated rows follow each other in the stream; reruns agree.
+shards is large, whatever a source holds. The plan is made from a few bytes a row; texts are measured once and meet their runs by a row
+number. One row for each source is all that reaches the driver, most_sources at most. Null and empty texts have no words and
+take nothing; an empty table gives an empty mix; rows equal in id and text follow each other in the stream; reruns agree.
 """
 
 from __future__ import annotations
@@ -21,13 +22,18 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..scratch import saved
 from ._skew import never_null
-from ._text import small_batches
+from ._text import Texts, slices, small_batches
 
 WEIGHTS = (1, 2, 3)
+_RUNS = pa.list_(pa.struct([("copy", pa.int32()), ("first", pa.int64()), ("words", pa.int64())]))
 
 
 def word_count(text: Column) -> Column:
@@ -119,41 +125,38 @@ def _even_quotas(full: np.ndarray, quota: int) -> np.ndarray:
     return full * (quota // blocks) + sainte_lague(full, quota % blocks, full)
 
 
-def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, most_repeats: int = 3, block_words: int = 32, shard_blocks: int = 1024, seed: int = 20) -> DataFrame:
-    """All columns of docs and the struct `mix`: size, source_size, target, taken, and `runs`, the taken runs of words.
-
-    A run is (copy, first, words): in copy 0 .. most_repeats - 1 of the document, these words from word `first` on are taken.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.withColumns({"_size": word_count(F.col(text)), "_stream": never_null(F.col(source)), "_doc": F.xxhash64(F.col(doc_id)), "_text": F.xxhash64(F.col(text))})
-    shards = max(1, int(np.ceil(np.sqrt(docs.count()))))
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_doc", "_text", F.lit(seed)), F.lit(shards)).cast("int"))
-    cells = rows.groupBy("_stream", "_shard").agg(F.sum("_size").alias("_words"))
-    found = cells.groupBy("_stream").agg(F.sum("_words").alias("n")).collect()  # one row for each source
-    found.sort(key=lambda r: (r["_stream"] == "", [ord(c) for c in r["_stream"]]))
+def _planned(rows: DataFrame, weights: Sequence[int], most_repeats: int, block_words: int, shard_blocks: int, seed: int, most_sources: int) -> DataFrame:
+    """id and the struct `mix` for each of the rows (id, size, stream, doc, content): a few bytes a row, no texts."""
+    spark = rows.sparkSession
+    shards = max(1, int(np.ceil(np.sqrt(rows.count()))))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc", "content", F.lit(seed)), F.lit(shards)).cast("int"))
+    cells = rows.groupBy("stream", "shard").agg(F.sum("size").alias("words"))
+    found = cells.groupBy("stream").agg(F.sum("words").alias("n")).limit(most_sources + 1).collect()  # one row for each source
+    if len(found) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    found.sort(key=lambda r: (r["stream"] == "", [ord(c) for c in r["stream"]]))
     sizes = [r["n"] for r in found]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most_repeats)
     quotas = plan_of(sizes, targets, block_words, most_repeats)
     plan = spark.createDataFrame(
-        [(r["_stream"], i, int(s), float(t), int(q)) for i, (r, s, t, q) in enumerate(zip(found, sizes, targets, quotas, strict=True))],
-        "_stream string, _place int, _source_size long, _target double, _quota long",
+        [(r["stream"], i, int(s), float(t), int(q)) for i, (r, s, t, q) in enumerate(zip(found, sizes, targets, quotas, strict=True))],
+        "stream string, place int, source_size long, target double, quota long",
     )
-    before = Window.partitionBy("_stream").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).join(plan, "_stream")
-    inside = Window.partitionBy("_stream", "_shard").orderBy("_doc", doc_id, "_size", "_text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(cells.drop("_words"), ["_stream", "_shard"])
+    before = Window.partitionBy("stream").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(plan, "stream").drop("words")
+    inside = Window.partitionBy("stream", "shard").orderBy("doc", "size", "content").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, ["stream", "shard"])
+    placed = placed.select("id", (F.col("before") + F.col("inside")).alias("begin"), "size", "place", "source_size", "target", "quota")
 
-    @F.pandas_udf("struct<taken: long, runs: array<struct<copy: int, first: long, words: long>>>")
-    def take(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             taken, runs = [], []
-            for begin, size, place, whole, quota in zip(*(x.to_numpy() for x in batch), strict=True):
+            for begin, size, place, whole, quota in zip(*(batch.column(c).to_pylist() for c in ("begin", "size", "place", "source_size", "quota")), strict=True):
                 total, own = 0, []
                 if size and quota:
                     first, last = begin // block_words, (begin + size - 1) // block_words
-                    times = times_taken(int(whole), int(quota), int(place), int(first), int(last), block_words, shard_blocks, seed, cache)
+                    times = times_taken(whole, quota, place, first, last, block_words, shard_blocks, seed, cache)
                     edge = np.arange(first, last + 2) * block_words
                     edge[0], edge[-1] = begin, begin + size
                     total = int((times * np.diff(edge)).sum())
@@ -162,11 +165,56 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
                         own += [{"copy": copy, "first": int(edge[a] - begin), "words": int(edge[b] - edge[a])} for a, b in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1), strict=True)]
                 taken.append(total)
                 runs.append(own)
-            yield pd.DataFrame({"taken": taken, "runs": runs})
+            kept = ["id", "size", "source_size", "target"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(taken, pa.int64()), pa.array(runs, _RUNS)], [*kept, "taken", "runs"])
+
+    taken = placed.mapInArrow(take, "id long, size long, source_size long, target double, taken long, runs array<struct<copy: int, first: long, words: long>>")
+    return taken.select("id", F.struct("size", "source_size", "target", "taken", "runs").alias("mix"))
+
+
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, most_repeats: int = 3, block_words: int = 32, shard_blocks: int = 1024, seed: int = 20, most_sources: int = 100_000, carried: Sequence[str] | None = None) -> DataFrame:
+    """All columns of docs (or those in `carried`) and the struct `mix`: size, source_size, target, taken, and `runs`, the taken runs of words.
 
-    out = placed.withColumn("_took", take(F.col("_before") + F.col("_inside"), "_size", "_place", "_source_size", "_quota"))
-    mix = F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_took.taken").alias("taken"), F.col("_took.runs").alias("runs"))
-    return out.withColumn("mix", mix).select(*(c for c in docs.columns if c != "mix"), "mix")
+    A run is (copy, first, words): in copy 0 .. most_repeats - 1 of the document, these words from word `first` on are taken. A column named
+    mix is replaced; no other name of a column matters. Over most_sources sources raise an error, as each has a row on the driver.
+    """
+    small_batches(docs.sparkSession)
+    carried = [c for c in (docs.columns if carried is None else carried) if c != "mix"]
+    measures = [F.monotonically_increasing_id().alias("id"), word_count(docs[text]).alias("size"), never_null(docs[source]).alias("stream"), F.xxhash64(docs[doc_id]).alias("doc"), F.xxhash64(docs[text]).alias("content")]
+    rows = saved(docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), *measures), "mix-rows")
+    plan = saved(_planned(rows.drop("row"), weights, most_repeats, block_words, shard_blocks, seed, most_sources), "mix-runs")
+    return rows.select("id", "row").join(plan, "id").select(*(F.col("row").getField(c).alias(c) for c in carried), "mix")
+
+
+def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each copy that it takes of a document, with the words taken in that copy as its text.
+
+    That is the whole document, or its taken runs of words, one to a line. Options are those of mixed().
+    """
+    names = [c for c in docs.columns if c != "mix"]
+    place = names.index(text)
+    rows = mixed(docs, text, **options).filter("mix.taken > 0")
+    flat = rows.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("mix.runs").alias("runs"))
+    schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in docs.schema if f.name != "mix"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, f"c{place}"):
+                t, runs = Texts(batch.column(place)), batch.column(len(names))
+                flat_runs = runs.flatten()
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+                copy, first, words = (flat_runs.field(c).to_numpy(zero_copy_only=False) for c in ("copy", "first", "words"))
+                entire = words == t.n_words[row]
+                word = t.word_at[row] + first
+                begin = np.where(entire, t.at[row], t.starts[word])
+                end = np.where(entire, t.at[row + 1], t.ends[word + words - 1])
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (copy[1:] != copy[:-1])]))
+                spans = [t.bytes[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+                texts = pa.array([b"\n".join(spans[a:b]) for a, b in zip(new, [*new[1:], len(spans)], strict=True)], pa.binary()).cast(pa.string())
+                out = batch.take(pa.array(row[new]))
+                yield pa.RecordBatch.from_arrays([texts if i == place else out.column(i) for i in range(len(names))], names)
+
+    return flat.mapInArrow(cut, schema)
 
 
 def taken_texts(text: str, runs: str) -> Column:
@@ -193,4 +241,4 @@ def taken_texts(text: str, runs: str) -> Column:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mixed(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mixed(docs, carried=["doc_id"]).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
