@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm._names import unused
+from tracewright.llm._skew import never_null
 from tracewright.llm.jaccard_join import jaccard_join, text_keys
 from tracewright.llm.language_id import language_id
-from tracewright.llm.mixing import mixed, taken_texts
+from tracewright.llm.mixing import mixed_texts
 from tracewright.llm.packing import packed
 from tracewright.llm.quality_rules import quality_rules
 from tracewright.scratch import saved, ship
@@ -20,33 +22,32 @@ from tracewright.scratch import saved, ship
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; their columns unchanged."""
-    return quality_rules(docs, verdict="_verdict").filter("_verdict.kept").select(*docs.columns)
+    (verdict,) = unused(docs.columns, "verdict")
+    return quality_rules(docs, verdict=verdict).filter(F.col(verdict).getField("kept")).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear. Rows of equal text, declared language and source share a decision, so a hash of these finds them."""
-    flags = [F.col(c).isNull() for c in ("text", "lang", "source")]
-    keyed = docs.withColumns({"_k1": F.xxhash64("text", "lang", "source", *flags), "_k2": F.xxhash64(F.lit(10), "text", "lang", "source", *flags)})
-    rejected = saved(language_id(keyed.select("text", "lang", "source", "_k1", "_k2")).filter("NOT kept").select("_k1", "_k2").distinct(), "rejected")
-    return keyed.join(rejected, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    evidence = [docs[c] for c in ("text", "lang", "source")]
+    k1, k2 = (F.xxhash64(*salt, *evidence, *(c.isNull() for c in evidence)) for salt in ([], [F.lit(10)]))
+    rows = docs.select(*evidence, k1.alias("k1"), k2.alias("k2"))
+    rejected = saved(language_id(rows).filter("NOT kept").select("k1", "k2").distinct(), "rejected")
+    return docs.join(rejected, (k1 == rejected["k1"]) & (k2 == rejected["k2"]), "left_anti")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by near copies the one with the smallest id; one row of it, if it repeats."""
     stays = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h1") == F.col("first_h1")) & (F.col("h2") == F.col("first_h2")))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    keys = ["_h1", "_h2", "_id"]
-    stays = stays.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), name.alias("_id")).distinct()
-    h1, h2 = text_keys(F.col("text"))
-    return docs.withColumns({"_h1": h1, "_h2": h2, "_id": name}).join(stays, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    keys = ["h1", "h2", "id"]
+    stays = stays.select("h1", "h2", never_null(F.col("doc_id")).alias("id")).distinct()
+    h1, h2 = text_keys(docs["text"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), h1.alias("h1"), h2.alias("h2"), never_null(docs["doc_id"]).alias("id"))
+    return rows.join(stays, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each copy of a document that it takes, with the words taken in that copy as its text."""
-    texts = mixed(docs).filter("mix.taken > 0").withColumn("_copies", taken_texts("text", "mix.runs"))
-    rows = texts.withColumn("_taken", F.explode("_copies"))
-    new = {"text": F.col("_taken"), "n_chars": F.length("_taken").cast("long")}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
