@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.llm.test_jaccard import truth
 from tests.llm.texts import documents, empty, words
@@ -36,3 +38,13 @@ def test_empty_table(spark):
 def test_run_is_the_stages(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and len(cp.STAGES) == 5
+
+
+def test_names_of_columns_do_not_matter_to_the_stages(spark):
+    names = ["verdict", "k1", "k2", "h1", "h2", "id", "row", "kept_", "_h1", "_taken", "_copies", "mix_", "_words", "_key", "_hot", "_meet"]
+    docs = documents(spark).select("*", *(F.lit(7 + i).alias(n) for i, n in enumerate(names)))
+    for _, stage in cp.STAGES[:-1]:
+        docs = saved(stage(spark, docs, ""), "t")
+        assert docs.columns[-len(names) :] == names
+        rows = docs.collect()
+        assert rows and all(r[n] == 7 + i for r in rows for i, n in enumerate(names))

@@ -16,12 +16,10 @@ take nothing; an empty table gives an empty mix; rows equal in id and text follo
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -217,28 +215,6 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return flat.mapInArrow(cut, schema)
 
 
-def taken_texts(text: str, runs: str) -> Column:
-    """Each copy's text as an array: the whole document, or its taken runs of words, one to a line."""
-
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        word = re.compile(r"[^\x20\x09-\x0D]+")
-        for texts, mixes in batches:
-            out = []
-            for one, own in zip(texts, mixes, strict=True):
-                copies: dict[int, list[str]] = {}
-                spans = None
-                for run in own if own is not None else []:
-                    if spans is None:
-                        spans = [m.span() for m in word.finditer(one)]
-                    first, words = run["first"], run["words"]
-                    copies.setdefault(run["copy"], []).append(one if words == len(spans) else one[spans[first][0] : spans[first + words - 1][1]])
-                out.append(["\n".join(copies[c]) for c in sorted(copies)])
-            yield pd.Series(out, dtype=object)
-
-    return cut(text, runs)
-
-
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mixed(docs, carried=["doc_id"]).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
