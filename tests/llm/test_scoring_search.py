@@ -74,6 +74,61 @@ def test_baum_welch_counts_add_up_and_raise_the_likelihood():
         last, m = log, hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
+def test_scores_equal_a_sum_over_all_paths_end_to_end(spark):
+    from itertools import product
+
+    import pyarrow as pa
+
+    states, rounds, top, tails, smooth = 2, 2, 3, 4, 5.0
+    texts = ["a b a c", "b b a", "", None, "c a d e", "a B zz", "zz zz a b", "d", "new words here", "a c b", "e b"]
+    rows = [(i, t, i % 4 == 3) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["score"] for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), states, rounds, top, tails, near_words=4).collect()}
+
+    c = Counter(w for _, t, held in rows if not held for w in tokens(t))
+    below = sum(c.values()) + 0.1 * (len(c) + 1)
+    vocabulary = sorted({w for _, t, _ in rows for w in tokens(t) if w is not None})
+    t = hmm._Lowered(pa.array(vocabulary))
+    digest, tail = dict(zip(vocabulary, t.word_hash().view(np.int64).tolist(), strict=True)), dict(zip(vocabulary, hmm._tails(t, tails).tolist(), strict=True))
+    first = sorted((w for w in c if w is not None), key=lambda w: (-c[w], digest[w]))[:top]
+    class_of = lambda w: top + tails if w is None else first.index(w) if w in first else top + tail[w]
+    class_p = np.zeros(top + tails + 1)
+    for w, n in c.items():
+        class_p[class_of(w)] += (n + 0.1) / below
+    class_p[top : top + tails] += 0.1 / below  # a place for unknown words in each tail class
+    m = hmm.first_guess(class_p, states, 5)
+    paths = lambda s: {z: m.start[z[0]] * np.prod([m.move[a, b] for a, b in zip(z, z[1:], strict=False)]) * np.prod([m.emit[a, x] for a, x in zip(z, s, strict=True)]) for z in product(range(states), repeat=len(s))}
+    for _ in range(rounds):
+        start, move, emit = np.ones(states), np.ones((states, states)), smooth * states * np.stack([class_p] * states)
+        for _, text, held in rows:
+            if not held:
+                s = [class_of(w) for w in tokens(text)]
+                p = paths(s)
+                for z, x in p.items():
+                    share = x / sum(p.values())
+                    start[z[0]] += share
+                    for a, b in zip(z, z[1:], strict=False):
+                        move[a, b] += share
+                    for a, k in zip(z, s, strict=True):
+                        emit[a, k] += share
+        m = hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+    for i, text, _ in rows:
+        s = [class_of(w) for w in tokens(text)]
+        shares = sum(np.log10((c[w] + 0.1) / below / class_p[class_of(w)]) for w in tokens(text))
+        assert found[i] == pytest.approx(np.log10(sum(paths(s).values())) + shares, abs=1e-6)
+
+
+def test_long_sequences_are_scaled_at_any_step():
+    m, r = random_model(4, 50, 3), np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 5, 8, 9, 700):
+        s = r.integers(0, 50, n)
+        a, log = m.start * m.emit[:, s[0]], 0.0
+        for x in s[1:]:
+            log += np.log(a.sum())
+            a = a / a.sum() @ m.move * m.emit[:, x]
+        ((_, packed, reach),) = hmm.groups_of([s])
+        assert hmm.forward(m, packed, reach)[2][0] == pytest.approx(log + np.log(a.sum()))
+
+
 def test_beats_the_base_on_held_out_texts(spark):
     out = hmm.op5_hmm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1] + 0.05 * abs(out[1])

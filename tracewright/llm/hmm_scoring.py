@@ -141,9 +141,9 @@ def vocabulary_of(counts: DataFrame, near_words: int, top_classes: int, tail_cla
 
 
 def encoded(docs: DataFrame, v: Vocabulary, tail_classes: int) -> DataFrame:
-    """Per row: its classes as unsigned 16-bit integers, sums over the words of the dictionary, and hashes of all others."""
+    """Per row: its classes as unsigned 16-bit integers, sums over the words of the dictionary, and the different other words' hashes with their numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, near_log double, near_known long, classes binary, rare array<long>"
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, near_log double, near_known long, classes binary, rare array<struct<h: long, times: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -163,7 +163,12 @@ def encoded(docs: DataFrame, v: Vocabulary, tail_classes: int) -> DataFrame:
                 with_end = np.insert(cls, t.word_at[1:], v.end_class).astype("<u2")
                 edge = t.word_at + np.arange(t.n + 1)
                 raw = with_end.tobytes()
-                rare = np.concatenate([[0], np.cumsum(~near)])[t.word_at].astype(np.int32)
+                far, of = h[~near], t.doc[~near]
+                order = np.lexsort((far, of))
+                far, of = far[order], of[order]
+                first = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (of[1:] != of[:-1])])) if len(far) else np.zeros(0, np.int64)
+                rare = pa.StructArray.from_arrays([pa.array(far[first].view(np.int64)), pa.array(np.diff(np.append(first, len(far))))], ["h", "times"])
+                rare_at = pa.array(np.searchsorted(of[first], np.arange(t.n + 1)).astype(np.int32))
                 known_end = v.end_count > 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -174,7 +179,7 @@ def encoded(docs: DataFrame, v: Vocabulary, tail_classes: int) -> DataFrame:
                         pa.array(t.per_text(logs, t.word_at) + end_log),
                         pa.array(t.per_text(near.astype(np.int64), t.word_at) + known_end),
                         pa.array([raw[2 * a : 2 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~near].view(np.int64))),
+                        pa.ListArray.from_arrays(rare_at, rare),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "near_log", "near_known", "classes", "rare"],
                 )
@@ -198,7 +203,7 @@ def first_guess(class_p: np.ndarray, states: int, seed: int) -> Hmm:
     return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
 
-def groups_of(sequences: list[np.ndarray], most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def groups_of(sequences: list[np.ndarray], most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of similar length, one step after the other: their places (longest first), symbols by step, and how many reach each step."""
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     at = 0
@@ -218,49 +223,78 @@ def groups_of(sequences: list[np.ndarray], most: int = 200_000) -> Iterator[tupl
         at = stop
 
 
-def forward(m: Hmm, packed: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled state probabilities and scales of each step, and the natural log likelihood of each sequence."""
-    states = len(m.start)
+#: Steps from one scaling to the next; emissions of so many steps in a row stay far from the least double.
+_UNSCALED = 4
+
+
+def forward(m: Hmm, packed: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled state probabilities and scales of each step, the natural log likelihood of each sequence, and the emissions of each step.
+
+    Probabilities are scaled to a sum of one in every _UNSCALED-th step and in each sequence's last; other steps have the scale 1.
+    """
     seen = np.ascontiguousarray(m.emit.T)[packed]
-    alpha, scale, at = np.empty_like(seen), np.empty(len(packed)), 0
+    alpha, scale, ones = np.empty_like(seen), np.ones(len(packed)), np.ones(len(m.start))
+    edge = np.concatenate([[0], np.cumsum(reach)])
+    starts, move = edge.tolist(), np.ascontiguousarray(m.move)
+    np.multiply(seen[: starts[1]], m.start, out=alpha[: starts[1]])
+    for t in range(1, len(reach)):
+        a, b, before = starts[t], starts[t + 1], starts[t - 1]
+        now = alpha[a:b]
+        np.dot(alpha[before : before + b - a], move, out=now)
+        now *= seen[a:b]
+        if t % _UNSCALED == 0:
+            s = np.dot(now, ones, out=scale[a:b])
+            now /= s[:, None]
+    later = np.concatenate([reach[1:], [0]])
+    last = np.concatenate([np.arange(edge[t] + k, edge[t + 1]) for t, k in enumerate(later) if k < reach[t]])
+    sums = alpha[last] @ ones
+    alpha[last] /= sums[:, None]
+    scale[last] *= sums
     log = np.zeros(reach[0])
-    for t, n in enumerate(reach):
-        a = (alpha[before : before + n] @ m.move if t else np.broadcast_to(m.start, (n, states))) * seen[at : at + n]
-        s = a @ np.ones(states)
-        a /= s[:, None]
-        alpha[at : at + n], scale[at : at + n] = a, s
-        before, at = at, at + n
-    ends = np.concatenate([np.arange(n) for n in reach]) if len(reach) else np.zeros(0, np.int64)
-    log += np.bincount(ends, weights=np.log(scale), minlength=reach[0])
-    return alpha, scale, log
+    for a, b in zip(starts[::_UNSCALED], starts[1::_UNSCALED], strict=False):
+        log[: b - a] += np.log(scale[a:b])
+    of = np.repeat(np.arange(len(reach)), reach - later)  # the step of each sequence's last symbol
+    rest = of % _UNSCALED != 0
+    np.add.at(log, (last - edge[of])[rest], np.log(scale[last[rest]]))
+    return alpha, scale, log, seen
 
 
 def expected_counts(m: Hmm, packed: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions, and the log likelihood."""
-    alpha, scale, log = forward(m, packed, reach)
-    seen = np.ascontiguousarray(m.emit.T)[packed] / scale[:, None]
-    states, moves = len(m.start), np.zeros_like(m.move)
-    back = m.move.T.copy()
-    at = len(packed)
-    beta = np.ones((0, states))
-    for t in range(len(reach) - 1, -1, -1):
-        n = reach[t]
-        at -= n
-        new = np.ones((n, states))
-        if len(beta):
-            ahead = seen[at + n : at + n + len(beta)] * beta
-            moves += alpha[at : at + len(beta)].T @ ahead
-            new[: len(beta)] = ahead @ back
-        alpha[at : at + n] *= new  # now the states' posteriors
-        beta = new
-    emits = np.stack([np.bincount(packed, weights=alpha[:, k], minlength=m.emit.shape[1]) for k in range(states)])
+    alpha, scale, log, ahead = forward(m, packed, reach)
+    ahead /= scale[:, None]
+    beta, back = np.ones_like(ahead), np.ascontiguousarray(m.move.T)
+    starts = [0, *np.cumsum(reach).tolist()]
+    for t in range(len(reach) - 1, 0, -1):
+        a, b, before = starts[t], starts[t + 1], starts[t - 1]
+        now = ahead[a:b]
+        now *= beta[a:b]
+        np.dot(now, back, out=beta[before : before + b - a])
+    previous = np.arange(reach[0], len(packed)) - np.repeat(reach[:-1], reach[1:])  # where each sequence was a step before
+    moves = alpha[previous].T @ ahead[reach[0] :]
+    alpha *= beta  # now the states' posteriors
+    by_state = np.ascontiguousarray(alpha.T)
+    emits = np.stack([np.bincount(packed, weights=w, minlength=m.emit.shape[1]) for w in by_state])
     return alpha[: reach[0]].sum(axis=0), moves * m.move, emits, float(log.sum())
 
 
-def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
+def _sequences(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch.column("classes").to_pylist()]
 
 
+def _held(batches: Iterator[pa.RecordBatch], symbols: int = 4_000_000) -> Iterator[pa.Table]:
+    """Batches put together up to so many symbols of two bytes, so that sequences of like length meet."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("classes").nbytes // 2
+        if size >= symbols:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def trained(train: DataFrame, m: Hmm, class_p: np.ndarray, rounds: int, smooth: float = 5.0) -> Hmm:
     """Baum-Welch: each round sums every partition's expected counts; emissions are smoothed by the corpus's class probabilities."""
     states, classes = m.emit.shape
@@ -269,8 +303,8 @@ def trained(train: DataFrame, m: Hmm, class_p: np.ndarray, rounds: int, smooth:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states * states + states * classes)
-            for batch in batches:
-                for _, packed, reach in groups_of(_sequences(batch)):
+            for part in _held(batches):
+                for _, packed, reach in groups_of(_sequences(part)):
                     a, b, c, _ = expected_counts(shared.value, packed, reach)
                     total += np.concatenate([a, b.ravel(), c.ravel()])
             at = np.flatnonzero(total)
@@ -297,23 +331,22 @@ def hmm_scores(docs: DataFrame, states: int = 8, rounds: int = 4, top_classes: i
 
     rare_counts = counts.filter((F.col("tail") >= 0) & (_level() < v.level)).select("h", "n")
     below = float(v.tokens + 0.1 * (v.words + 1))
-    rare = table.select("row", F.explode("rare").alias("h")).join(rare_counts, "h", "left")
+    rare = table.select("row", F.inline("rare")).join(rare_counts, "h", "left")
     n = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((n + 0.1) / below)).alias("rare_log"), F.count("n").alias("rare_known"))
+    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10((n + 0.1) / below)).alias("rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
 
     shared = spark.sparkContext.broadcast((m, v.class_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, class_p = shared.value
         log_class = np.log10(class_p)
-        for batch in batches:
-            sequences = _sequences(batch)
+        for part in _held(batches):
+            sequences = _sequences(part)
             gain = np.zeros(len(sequences))
             for own, packed, reach in groups_of(sequences):
                 gain[own] = forward(model, packed, reach)[2] / np.log(10)
             gain -= [log_class[s].sum() for s in sequences]
-            keep = [n for n in batch.schema.names if n != "classes"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(gain)], [*keep, "gain"])
+            yield from part.drop_columns("classes").append_column("gain", pa.array(gain)).to_batches()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     gained = table.select("row", "doc_id", "held_out", "n_tokens", "near_log", "near_known", "classes").mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, near_log double, near_known long, gain double")
