@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty, words
 from tracewright.llm._components import components
-from tracewright.llm.jaccard_join import jaccard_join, linked, prefix_depth
+from tracewright.llm.jaccard_join import jaccard_join, linked, near_pairs, prefix_depth, sorted_forest, wanted_depths
 
 
 def truth(rows):
@@ -79,3 +80,74 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(out[i] == 0 for i in range(61)) and out[101] == 100 and len(out) == 63
+
+
+def test_pairs_across_equal_those_within():
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 60, 50)).astype(np.uint64) for _ in range(30)]
+    whole = linked(sets, 0.5)
+    jaccard = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert (whole == ((jaccard >= 0.5) & ~np.eye(30, dtype=bool))).all() and whole.any()
+    assert (near_pairs(sets[:11], sets[11:], 0.5) == whole[:11, 11:]).all()
+
+
+def test_neighbours_in_the_sorted_labels(spark):
+    r = np.random.default_rng(3)
+    labels = r.integers(0, 3, (200, 2, 4)).astype(">u2")  # two trees of four values
+    classes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(labels)], "c long, labels binary").repartition(3)
+    found = sorted_forest(classes, 2, 4, 2).collect()
+    seen = set()
+    for t in range(2):
+        order = sorted(range(200), key=lambda i: (labels[i, t].tolist(), i))
+        for a, c in zip(order, order[1:], strict=False):
+            shared = int(np.cumprod(labels[a, t] == labels[c, t]).sum())
+            if shared >= 2:
+                seen.add((a, c, shared))
+    assert {(x["a"], x["c"], x["shared"]) for x in found} == seen and len(found) >= len(seen)
+    groups = {}
+    for x in found:
+        groups.setdefault(x["shared"], []).append((x["head"], x["c"]))
+    for shared, pairs in groups.items():
+        assert all(any(labels[h, t, :shared].tolist() == labels[c, t, :shared].tolist() for t in range(2)) for h, c in pairs)
+
+
+def test_prefixes_stay_long_where_matches_are_close(spark):
+    rows = [(1, 2)] * 24 + [(3, 4)] * 3 + [(5, 6)] * 24 + [(6, 7)] * 2
+    out = {x["c"]: x["depth"] for x in wanted_depths(spark.createDataFrame(rows, "a long, c long"), 24, 10, 7, 0.8, 0.995).collect()}
+    assert out == {1: 10, 2: 10, 3: 7, 4: 7, 5: 10, 6: 7, 7: 7}
+
+
+def test_a_chain_of_small_nodes_is_compared_node_by_node(spark):
+    words_ = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words_[6 * i : 6 * i + 100])) for i in range(95)]  # each like the next few only
+    rows += [(200 + i, rows[i][1]) for i in range(3)]
+    check(spark, rows, block_classes=8, target_recall=0.9999)
+
+
+def test_recall_of_links_on_whole_documents(spark):
+    """Queries: ids divisible by 50, against all rows of sf0.1."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    texts = pq.read_table(path, columns=["doc_id", "text"]).to_pydict()
+    sets = {}
+    for i, t in zip(texts["doc_id"], texts["text"], strict=True):
+        w = words(t)
+        sets[i] = {hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)} if len(w) >= 5 else {hash(tuple(w))} if w else set()
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    out = {r["doc_id"]: r for r in jaccard_join(spark.read.parquet(path)).filter(F.lit(True)).collect()}
+    links = found = 0
+    for q in (i for i in sets if i % 50 == 0):
+        common = {}
+        for x in sets[q]:
+            for j in holders[x]:
+                common[j] = common.get(j, 0) + 1
+        near = [j for j, k in common.items() if j != q and 9 * k >= 4 * (len(sets[q]) + len(sets[j]))]
+        links += len(near)
+        found += min(len(near), out[q]["n_links"])
+        assert out[q]["n_links"] <= len(near)
+        assert all(out[j]["class_id"] <= min(j, q) for j in near) or out[q]["n_links"] < len(near)
+    assert links and found >= 0.99 * links

@@ -1,12 +1,20 @@
 """N-gram Jaccard join (3): links between documents whose sets of n-word shingles have a Jaccard similarity of at least `threshold`.
 
 Equal texts are one class and take part once. A class's signature has `trees` labels of `label_values` min-hashes, each label a path in a
-prefix trie. A prefix of d values makes a pair of the threshold's similarity meet in some tree with probability
-1 - (1 - threshold ** d) ** trees; starting from whole labels, prefixes are shortened until that reaches target_recall. Classes that meet
-are joined into candidate groups through the first class of each trie node, so a node never yields all its pairs. In each group every pair
-is then compared exactly, by the intersections of its shingle sets: groups over block_classes are cut into blocks and each pair of blocks is
-one task, which returns one row for each class, its number of links and its place in the task's components. So no pair that meets by any
-chain of nodes is lost and no row is made for a pair; the work in a group grows with the square of its different texts, spread over tasks.
+prefix trie. The forest is kept as sorted arrays: a tree's labels in order, cut into ranges of even size whatever their skew, so that classes
+which share a prefix follow each other and the longest one that a class shares with any other is that with a neighbour.
+
+Matches start at whole labels and their prefixes are shortened for each class by what is found: the number of trees in which it meets a
+neighbour estimates their similarity s, 1 - (1 - s ** d) ** trees is how likely such a pair meets by prefixes of d values, and by the
+inverses of these probabilities the recall of the class's matches at depth d is estimated. A class keeps the longest prefixes whose estimate
+reaches target_recall. No prefix gets shorter than that at which even pairs at the threshold itself reach it (prefix_depth), so a class
+with faint evidence only is searched as deep as that. Neighbours are linked where either of them wants prefixes as short as theirs.
+
+Linked classes form candidate groups, and in each group every pair is compared exactly, by the intersections of its shingle sets: large
+groups are cut into blocks and each pair of blocks is one task, which returns one row for each class, its number of links and its place in
+the task's components. A large group that holds together only by chains of small trie nodes is compared node by node instead, if that
+makes fewer than half the pairs; a pair that shares several nodes counts in the first. So no row is made for a pair. The work in a group
+grows with the square of its different texts (or of its nodes), spread evenly over tasks; a set is sent once for each block of its group.
 
 A text of 1 to n - 1 words has one shingle, all its words. Texts without words (null, empty, blank) have no links and stand alone. Sets are
 of 64-bit hashes of whole texts' shingles. Repeated rows are copies of each other. An empty table gives an empty result.
@@ -23,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import saved
 from ._components import components
-from ._skew import lookup
+from ._skew import lookup, never_null
 from ._text import Texts, slices, small_batches
 
 
@@ -81,26 +89,41 @@ def text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(whole), F.xxhash64(F.lit(0x51ED270B), whole)
 
 
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets reach the threshold, as a matrix left x right. Exact: intersections are counted."""
+    same = left is right
+    sizes = [np.array([len(s) for s in sets], float) for sets in (left, right)]
+    values, place = np.unique(np.concatenate(left if same else [*left, *right]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    places = (place, place) if same else (place[:cut], place[cut:])
+    in_left, in_right = (np.bincount(x, minlength=len(values)) for x in places)
+    shared = in_left > 1 if same else (in_left > 0) & (in_right > 0)
+    column, total = np.cumsum(shared) - 1, int(shared.sum())
+    cells = []
+    for where, size in zip(places, sizes, strict=True):
+        row, use = np.repeat(np.arange(len(size)), size.astype(int)), shared[where]
+        row, at = row[use], column[where[use]]
+        order = np.argsort(at, kind="stable")
+        cells.append((row[order], at[order]))
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = max(256, min(8192, (1 << 22) // max(1, len(left))))
+    for first in range(0, total, width):
+        parts = []
+        for (row, at), size in zip(cells[:1] if same else cells, sizes, strict=False):
+            a, b = np.searchsorted(at, [first, first + width])
+            part = np.zeros((len(size), min(width, total - first)), np.float32)
+            part[row[a:b], at[a:b] - first] = 1
+            parts.append(part)
+        common += parts[0] @ parts[-1].T
+    near = common.astype(float) * (1 + threshold) >= threshold * (sizes[0][:, None] + sizes[1][None, :]) - 1e-9
+    if same:
+        np.fill_diagonal(near, False)
+    return near
+
+
 def linked(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs reach the threshold, as a symmetric matrix; with side, only pairs of different sides. Exact: intersections are counted."""
-    n, sizes = len(sets), np.array([len(s) for s in sets], float)
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes.astype(int))
-    shared = np.bincount(place, minlength=len(values)) > 1
-    column = np.cumsum(shared) - 1
-    use = shared[place]
-    row, column = row[use], column[place[use]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    width = max(256, min(8192, (1 << 22) // n))
-    for at in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [at, at + width])
-        part = np.zeros((n, min(width, int(shared.sum()) - at)), np.float32)
-        part[row[a:b], column[a:b] - at] = 1
-        common += part @ part.T
-    near = common.astype(float) * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
-    np.fill_diagonal(near, False)
+    """Which pairs reach the threshold, as a symmetric matrix; with side, only pairs of different sides."""
+    near = near_pairs(sets, sets, threshold)
     return near & (side[:, None] != side[None, :]) if side is not None else near
 
 
@@ -114,7 +137,93 @@ def _roots(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, threshold: float = 0.8, trees: int = 24, label_values: int = 8, target_recall: float = 0.995, block_classes: int = 512, seed: int = 3) -> DataFrame:
+def _roots_across(near: np.ndarray) -> np.ndarray:
+    """The same for links between two sides: places of the left rows, then those of the right."""
+    m, n = near.shape
+    label = np.arange(m + n)
+    while True:
+        left = np.minimum(label[:m], np.where(near, label[None, m:], m + n).min(axis=1, initial=m + n))
+        right = np.minimum(label[m:], np.where(near, left[:, None], m + n).min(axis=0, initial=m + n))
+        new = np.concatenate([left, right])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def sorted_forest(classes: DataFrame, trees: int, label_values: int, floor: int) -> DataFrame:
+    """Neighbours in the trees' sorted labels: a (the row before), c, `shared` (the values of their common prefix, floor at least) and head, the
+    first row of the range in which c shares such a prefix.
+
+    Each task also has its first and last row; where ranges of two tasks touch, the driver (two rows for each task) links these.
+    """
+    width = 2 * label_values
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    rows = classes.select("c", "labels", tree.alias("tree")).select(F.col("tree").cast("byte").alias("tree"), F.substring("labels", F.col("tree") * width + 1, width).alias("label"), "c")
+    ranges = rows.repartitionByRange("tree", "label", "c").sortWithinPartitions("tree", "label", "c")
+    names = ["a", "c", "head", "shared", "tree", "label", "last"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depths = np.arange(floor, label_values + 1)
+        before = None  # of the row before: tree, values, class, and the heads of its ranges by depth
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            trees_, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            raw = b"".join(batch.column(1).to_pylist())
+            values = np.frombuffer(raw, ">u2").reshape(n, label_values)
+            if before is None:
+                yield edge(batch, 0, False)
+                before = (-1, values[0], -1, np.full(len(depths), -1, np.int64))
+            t = np.concatenate([[before[0]], trees_])
+            v = np.concatenate([before[1][None], values])
+            same = (v[1:] == v[:-1]) & (t[1:] == t[:-1])[:, None]
+            shared = np.cumprod(same, axis=1).sum(axis=1)
+            at = np.maximum.accumulate(np.where(shared[:, None] < depths, np.arange(n)[:, None], -1), axis=0)
+            heads = np.where(at >= 0, c[at], before[3][None])
+            hit = np.flatnonzero(shared >= floor)
+            previous = np.concatenate([[before[2]], c])[:-1]
+            nothing = pa.nulls(len(hit), pa.int8()), pa.nulls(len(hit), pa.binary()), pa.nulls(len(hit), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(previous[hit]), pa.array(c[hit]), pa.array(heads[hit, shared[hit] - floor]), pa.array(shared[hit].astype(np.int32)), *nothing], names)
+            before = (trees_[-1], values[-1], c[-1], heads[-1])
+            final = batch.slice(n - 1, 1)
+        if before is not None:
+            yield edge(final, 0, True)
+
+    def edge(batch: pa.RecordBatch, at: int, last: bool) -> pa.RecordBatch:
+        one = batch.slice(at, 1)
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, one.column(2), none, pa.nulls(1, pa.int32()), one.column(0), one.column(1), pa.array([last])], names)
+
+    found = saved(ranges.mapInArrow(scan, "a long, c long, head long, shared int, tree byte, label binary, last boolean"), "forest")
+    ends = sorted((r["tree"], bytes(r["label"]), r["c"], r["last"]) for r in found.filter("a IS NULL").select("tree", "label", "c", "last").collect())  # two rows for each task
+    touching = []
+    for (t1, v1, c1, last1), (t2, v2, c2, last2) in zip(ends, ends[1:], strict=False):
+        if last1 and not last2 and t1 == t2:
+            x, y = (np.frombuffer(v, ">u2") for v in (v1, v2))
+            if (shared := int(np.cumprod(x == y).sum())) >= floor:
+                touching.append((c1, c2, c1, shared))
+    inner = found.filter("a IS NOT NULL").select("a", "c", "head", "shared")
+    return inner.unionByName(classes.sparkSession.createDataFrame(touching, inner.schema)) if touching else inner
+
+
+def wanted_depths(neighbours: DataFrame, trees: int, label_values: int, floor: int, threshold: float, target_recall: float) -> DataFrame:
+    """c and the depth of its prefixes, for each class with a neighbour: the longest at which the recall of its matches reaches the target.
+
+    A pair that is next to each other in k trees has a similarity of (k / trees) ** (1 / floor) at least, as far as the signatures show;
+    classes sorted in between only make that less.
+    """
+    pairs = neighbours.groupBy(F.least("a", "c").alias("u"), F.greatest("a", "c").alias("v")).agg(F.least(F.count(F.lit(1)), F.lit(trees)).alias("k"))
+    similarity = F.greatest(F.lit(threshold), F.pow(F.col("k") / trees, F.lit(1 / floor)))
+    both = pairs.select(F.explode(F.array("u", "v")).alias("c"), similarity.alias("s"))
+    recall = {d: F.count(F.lit(1)) / F.sum(1 / (1 - F.pow(1 - F.pow("s", F.lit(float(d))), F.lit(float(trees))))) for d in range(floor + 1, label_values + 1)}
+    sums = both.groupBy("c").agg(*(r.alias(f"r{d}") for d, r in recall.items()), F.count(F.lit(1)).alias("n"))
+    reached = [F.when(F.col(f"r{d}") >= target_recall, F.lit(d)) for d in recall]
+    return sums.select("c", F.coalesce(*reversed(reached), F.lit(floor)).alias("depth"))
+
+
+def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, threshold: float = 0.8, trees: int = 24, label_values: int = 10, target_recall: float = 0.995, block_classes: int = 128, widest_block: int = 2048, seed: int = 3) -> DataFrame:
     """A row for each row of docs: doc_id, h1 and h2 (its text's hash), class_id (smallest doc_id of all documents linked to it directly or by
     others), n_links (other rows that it links to, copies included), n_copies (rows with its text), first_h1 and first_h2 (the text that
     stands for the class; of several with the id class_id, that with the smallest hash).
@@ -135,21 +244,30 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     classes = table.filter(F.col("labels").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    depth = prefix_depth(threshold, trees, label_values, target_recall)
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    nodes = classes.select("c", "labels", tree.alias("tree")).select("c", F.xxhash64("tree", F.substring("labels", F.col("tree") * (2 * label_values) + 1, 2 * depth)).alias("node"))
-    first = nodes.groupBy("node").agg(F.min("c").alias("v"), F.count(F.lit(1)).alias("met")).filter("met > 1").drop("met")
-    groups = components(nodes.join(first, "node").select(F.col("c").alias("u"), "v"))
-
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / block_classes).cast("int")
-    members = groups.join(sizes, "root").select(F.col("node").alias("c"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    members = saved(members.join(classes.select("c", "h1", "h2", "first_id", "copies"), "c"), "members")
-
-    own_id = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    of_text = members.withColumn("_id", F.xxhash64(F.coalesce(F.col("first_id").cast("string"), F.lit("null")))).drop("first_id")
+    floor = prefix_depth(threshold, trees, label_values, target_recall)
+    neighbours = sorted_forest(classes, trees, label_values, floor)
+    depths = saved(wanted_depths(neighbours, trees, label_values, floor, threshold, target_recall), "depths")
+    near = neighbours.join(depths.withColumnRenamed("depth", "d1"), "c").join(depths.select(F.col("c").alias("a"), F.col("depth").alias("d2")), "a")
+    groups = components(near.filter(F.least("d1", "d2") <= F.col("shared")).select(F.col("c").alias("u"), F.col("head").alias("v")))
+
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    members = saved(groups.join(sizes, "root").select(F.col("node").alias("c"), "root", "size"), "members")
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * (2 * label_values) + 1, F.lit(2 * floor))))
+    large = members.filter(F.col("size") > block_classes).join(classes.select("c", nodes.alias("nodes")), "c")
+    in_nodes = large.select("c", "root", "size", F.posexplode("nodes").alias("tree", "unit"))
+    node_sizes = in_nodes.groupBy("root", "size", "tree", "unit").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    by_node = node_sizes.groupBy("root", "size").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1)).alias("pairs")).filter(F.col("pairs") * 2 < F.col("size").cast("double") * (F.col("size") - 1))
+    by_node = saved(by_node.select("root", F.lit(True).alias("by_node")), "by-node")
+    whole = members.join(by_node, "root", "left_anti").select("c", F.col("root").alias("unit"), F.lit(-1).alias("tree"), "size")
+    apart = in_nodes.join(by_node, "root").join(node_sizes.select("root", "tree", "unit", "m"), ["root", "tree", "unit"]).select("c", "unit", "tree", F.col("m").alias("size"))
+    blocks = F.when(F.col("size") <= block_classes, 1).otherwise(F.greatest(F.least(F.ceil(F.col("size") / block_classes), F.lit(24)), F.ceil(F.col("size") / widest_block))).cast("int")
+    units = whole.unionByName(apart).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c", "unit"), F.col("blocks")).cast("int"))
+
+    own_id = F.xxhash64(never_null(F.col("doc_id")))
+    of_text = members.select("c", "root").join(by_node, "root", "left").join(classes.select("c", "h1", "h2", "first_id", "copies", nodes.alias("nodes")), "c")
+    of_text = of_text.select("c", "h1", "h2", "copies", F.xxhash64(never_null(F.col("first_id"))).alias("own"), F.when(F.col("by_node"), F.col("nodes")).alias("nodes"))
     # members grow with the documents: never broadcast, however small they are here
-    found = rows.withColumn("_id", own_id).select("_id", "h1", "h2", "text").join(of_text.hint("merge"), ["_id", "h1", "h2"]).dropDuplicates(["_id", "h1", "h2"])
+    found = rows.withColumn("own", own_id).select("own", "h1", "h2", "text").join(of_text.hint("merge"), ["own", "h1", "h2"]).dropDuplicates(["own", "h1", "h2"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,31 +279,41 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
                 h, doc = h[new], doc[new]
                 edge = np.searchsorted(doc, np.arange(t.n + 1))
-                keep = ["c", "root", "blocks", "block", "copies"]
+                keep = ["c", "copies", "nodes"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], [*keep, "set"])
 
-    with_sets = found.select("c", "root", "blocks", "block", "copies", "text").mapInArrow(sets, "c long, root long, blocks int, block int, copies long, set binary")
+    with_sets = saved(found.select("c", "copies", "nodes", "text").mapInArrow(sets, "c long, copies long, nodes array<long>, set binary"), "sets")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = with_sets.select("c", "root", "block", "copies", "set", other)
-    tasks = tasks.select(F.struct("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("task"), "c", "block", "copies", "set")
-    tasks = tasks.repartition("task").sortWithinPartitions("task", "c")
+    tasks = units.join(with_sets.hint("merge"), "c").select("unit", "tree", "block", other, "c", "copies", "nodes", "set")
+    task = [F.col("unit"), F.col("tree"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    keys = ["unit", "tree", "i", "j"]
+    tasks = tasks.select(*task, "c", "block", "copies", "nodes", "set").repartitionByRange(*keys).sortWithinPartitions(*keys, "c")  # ranges of even size, no task cut
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
 
         def result() -> pa.RecordBatch:
-            c, block, copies = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
-            near = linked([np.frombuffer(r[3], np.uint64) for r in held], threshold, block if now["i"] != now["j"] else None)
-            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(c[_roots(near)]), pa.array(near @ copies)], ["u", "v", "links"])
+            _, tree, i, j = now
+            sides = [held] if i == j else [[r for r in held if r[1] == k] for k in (i, j)]
+            lists = [[np.frombuffer(r[4], np.uint64) for r in side] for side in sides]
+            near = near_pairs(lists[0], lists[-1], threshold) if all(lists) else np.zeros((len(lists[0]), len(lists[-1])), bool)
+            for t in range(tree):  # a pair counts in the first tree in which it shares a node
+                of = [np.array([r[3][t] for r in side], np.int64) for side in sides]
+                near &= of[0][:, None] != of[-1][None, :]
+            c = np.array([r[0] for side in sides for r in side], np.int64)
+            copies = [np.array([r[2] for r in side], np.int64) for side in sides]
+            links = near @ copies[-1] if i == j else np.concatenate([near @ copies[1], copies[0] @ near])
+            roots = _roots(near) if i == j else _roots_across(near)
+            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(c[roots]), pa.array(links)], ["u", "v", "links"])
 
         for batch in batches:
-            for task, *row in zip(*(batch.column(x).to_pylist() for x in ("task", "c", "block", "copies", "set")), strict=True):
+            for *task, c, block, copies, nodes_, one in zip(*(batch.column(x).to_pylist() for x in (*keys, "c", "block", "copies", "nodes", "set")), strict=True):
                 if task != now:
                     if held:
                         yield result()
                     now, held = task, []
-                held.append(tuple(row))
+                held.append((c, block, copies, nodes_, one))
         if held:
             yield result()
 
