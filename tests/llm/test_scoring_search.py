@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty, words
 from tracewright.llm import hmm_scoring as hmm
-from tracewright.llm.ann import nearest, op6_ann
+from tracewright.llm.ann import Forest, nearest, op6_ann, shards_of
 
 
 def tokens(t):
@@ -158,7 +158,7 @@ def test_awkward_vectors(spark):
     good = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
     bad = [(100, None), (200, [0.0, 0.0, 0.0]), (300, [1.0, None, 2.0]), (400, [float("nan"), 1.0, 1.0]), (500, [float("inf"), 1.0, 1.0]), (600, [1.0])]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>")
-    out = nearest(df, df.filter("vec_id % 100 = 0"), k=10, share=50.0, shard_rows=8).collect()
+    out = nearest(df, df.filter("vec_id % 100 = 0"), k=10, target_recall=1.0, widest_shard=8).collect()
     assert {r["query_id"] for r in out} == {0}
     true = brute(good, [0], 10)[0]
     assert [(r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"])] == true
@@ -170,8 +170,32 @@ def test_awkward_vectors(spark):
 def test_each_length_is_searched_by_itself(spark):
     long, short = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], [(1000 + i, [float(i % 7), 1.0 + i % 4]) for i in range(20)]
     df = spark.createDataFrame(long + short, "vec_id long, embedding array<double>")
-    out = nearest(df, df.filter("vec_id % 10 = 0"), k=10, share=50.0, shard_rows=8, query_block=2).collect()
+    out = nearest(df, df.filter("vec_id % 10 = 0"), k=10, target_recall=1.0, widest_shard=8).collect()
     for rows in (long, short):
         for q, true in brute(rows, [i for i, _ in rows if i % 10 == 0], 10).items():
             assert [(r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == true
     assert len(out) == 60
+
+
+def test_repeated_queries_are_one_and_ties_go_to_the_smaller_id_across_shards(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([rows[0], rows[0], rows[5]], df.schema)
+    out = nearest(df, queries, target_recall=1.0, widest_shard=9).collect()
+    for q, true in brute(rows, [0, 5], 10).items():
+        assert [(r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == true
+    assert len(out) == 20 and shards_of(31, 9) == 4
+
+
+def test_few_rows_are_measured_among_clusters():
+    r = np.random.default_rng(0)
+    middle = r.normal(size=(200, 32))
+    x = middle[r.integers(0, 200, 20_000)] + 0.05 * r.normal(size=(20_000, 32))
+    forest, ids = Forest(x, x.mean(axis=0), 64, 24, 6), np.arange(len(x))
+    hits = measured = 0
+    for i, (best, far, n) in enumerate(forest.nearest(x[:100], [np.array([i]) for i in range(100)], ids, 10, 0.95)):
+        true = np.argsort(((x - x[i]) ** 2).sum(axis=1), kind="stable")[1:11]
+        hits += len(set(best) & set(true))
+        measured += n
+        assert (np.diff(far) >= 0).all()
+    assert hits >= 900 and measured < 0.05 * 100 * len(x)
