@@ -85,7 +85,6 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     code = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    code.encode_special_tokens = True
     docs = documents(spark).unionByName(spark.createDataFrame([(900, "it's <|endoftext|>  \n\n x²Ⅷ don't stop　", None, None, 0, "")], documents(spark).schema))
     docs = docs.filter("doc_id IS NOT NULL AND doc_id <> 103")
     pieces = {}

@@ -12,6 +12,7 @@ A null or empty text has one id, the end. Rows repeat as often as they come in.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,18 @@ PIECES = "doc_id {id_type}, start long, length long, doc_tokens long, sequence_i
 
 
 def encoder(vocabulary: str):
-    """The byte-level BPE of a .tiktoken file of ranks; no string counts as special."""
+    """The byte-level BPE of a tokenizers JSON file with the tokens that it adds, which count as themselves wherever a text holds their strings.
+
+    The ranks of the same vocabulary are read from the .tiktoken file beside it, as their encoder is five times as fast.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def combinations(counts: np.ndarray, window: int, deep_bins: int) -> np.ndarray:
@@ -102,7 +108,7 @@ def pack(lengths: np.ndarray, window: int = 1024, deep_bins: int = 64) -> tuple[
     return np.concatenate(out, axis=1), used_sequences
 
 
-def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 1024, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, lot_tokens: int = 3_000_000) -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 1024, vocabulary: str = "byte_bpe_50k", end_id: int = 0, lot_tokens: int = 3_000_000) -> DataFrame:
     """One row for each piece, with its ids as unsigned little-endian 32-bit integers."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -145,7 +151,7 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
             for batch in slices(whole, "text"):
                 texts = offsets_of(batch.column(1))[1].to_pylist()
                 for key, one in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    ids = np.append(code.encode_to_numpy(one, allowed_special=set(), disallowed_special=()), end_id).astype(np.uint16 if code.n_vocab <= 65536 else np.uint32)
+                    ids = np.append(code.encode_to_numpy(one, allowed_special="all"), end_id).astype(np.uint16 if code.n_vocab <= 65536 else np.uint32)
                     lot.append((key, 0, ids, len(ids)))
                     size += len(ids)
                     if size >= lot_tokens:
