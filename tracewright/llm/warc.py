@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import new_path
+from ..scratch import new_path, saved
 from ._skew import lookup
 from ._text import small_batches
 
@@ -57,6 +57,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("_place"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    rows = saved(rows, "pages")  # so that a row has one place, wherever it is read again
     groups = rows.groupBy("payload_digest").agg(F.max(F.struct("page_id", "_place")).alias("first"), F.count(F.lit(1)).alias("copies"))
     joined = lookup(rows, groups, "payload_digest", "copies", "_place")
     is_first = F.col("first._place") == F.col("_place")
@@ -123,6 +124,7 @@ def write_warc(rows: DataFrame, path: str, segment_bytes: int = 16 << 10, chunk_
         for batch in batches:
             out, size = [], 0
             for r in batch.to_pylist():
+                before = len(out)
                 uri = (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A") or None
                 name = f"<urn:page:{'' if r['page_id'] is None else r['page_id']}:{r['_place']}>"
                 same = {"WARC_Target_URI": uri, "WARC_Date": "2024-01-01T00:00:00Z", "WARC_Payload_Digest": f"sha1:{r['payload_digest']}"}
@@ -140,7 +142,7 @@ def write_warc(rows: DataFrame, path: str, segment_bytes: int = 16 << 10, chunk_
                             split |= {"WARC_Segment_Origin_ID": name} | ({"WARC_Segment_Total_Length": len(block)} if k == len(parts) else {})
                         kind = {"WARC_Type": "response", "WARC_Record_ID": name} if k == 1 else {"WARC_Type": "continuation", "WARC_Record_ID": f"{name[:-1]}:{k}>"}
                         out.append(_header(**kind, **same, **split, Content_Type="application/http;msgtype=response", Content_Length=len(part)) + part)
-                size = sum(map(len, out)) if len(out) % 64 == 0 else size + len(out[-1])
+                size += sum(map(len, out[before:]))
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out, size = [], 0
@@ -209,22 +211,23 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.max("total_length").alias("total_length"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
+    blocks = F.transform("parts", lambda p: p["block"])
+    length = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.octet_length(b))
     gapless = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
-    whole = joined.withColumn("block", block).withColumn(
-        "problem", F.when(~gapless, "missing or repeated segment").when(F.col("total_length").isNull(), "no total length").when(F.octet_length("block") != F.col("total_length"), "wrong total length")
+    whole = joined.withColumn("blocks", blocks).withColumn(
+        "problem", F.when(~gapless, "missing or repeated segment").when(F.col("total_length").isNull(), "no total length").when(length != F.col("total_length"), "wrong total length")
     )
-    keep = [*names, "block", "problem"]
-    both = single.select(*keep).unionByName(whole.select(*keep))
+    keep = [*names, "blocks", "problem"]
+    both = single.withColumn("blocks", F.array("block")).select(*keep).unionByName(whole.select(*keep))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {n: i for i, n in enumerate([*names, "payload", "problem"])}
         for batch in batches:
             payloads, problems = [], []
-            for kind, block_, problem in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("record_type", "block", "problem")), strict=True):
+            for kind, blocks_, problem in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("record_type", "blocks", "problem")), strict=True):
                 problem, found = problem.as_py(), None
                 if problem is None and kind.as_py() == "response":
-                    found = http_payload(block_.as_py() or b"")
+                    found = http_payload(b"".join(x or b"" for x in blocks_.as_py()))
                     problem = "broken framing" if found is None else None
                 payloads.append(found)
                 problems.append(problem)
