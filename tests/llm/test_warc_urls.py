@@ -7,6 +7,7 @@ from tests.oracle import assert_same
 from tracewright.llm.catalog import ORACLES, QUERIES
 from tracewright.llm.url_filters import rarest_index, token_counts, url_filters, whole_tokens
 from tracewright.llm.warc import chunked, dechunked, parsed, read_warc, reassembled, with_revisits, write_warc
+from tracewright.scratch import new_path
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -84,3 +85,19 @@ def test_verdicts(spark):
     found = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters(df).collect()}
     for r in rows:
         assert found[r[0]] == r[1:], r[0]
+
+
+def test_a_very_long_payload_in_many_segments(spark):
+    html = "".join(chr(97 + i % 26) for i in range(1000)) * 3000  # 3 MB in some 190 segments
+    pages = spark.createDataFrame([(1, "http://a.b/", html), (2, "http://a.b/2", html), (3, None, "x" * 40_000)], "page_id long, url string, html string")
+    path = new_path(spark, "t")
+    write_warc(with_revisits(pages), path)
+    out = {r["record_id"].split(":")[2]: r for r in reassembled(read_warc(spark, path)).collect()}
+    assert out["2"]["payload"] == html.encode() and out["1"]["record_type"] == "revisit" and out["3"]["payload"] == b"x" * 40_000
+    assert not any(r["problem"] for r in out.values())
+
+
+def test_own_columns_stay_in_url_filters(spark):
+    rows = spark.createDataFrame([("http://ads-track.x/", 4, 5, 6)], "url string, _by_pattern int, by_pattern int, token int")
+    out = url_filters(rows).first()
+    assert (out["_by_pattern"], out["by_pattern"], out["token"], out["verdict"]) == (4, 5, 6, "block")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._names import unused
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,8 +103,9 @@ def token_counts(urls: DataFrame, url: str, rules: Sequence[str]) -> dict[str, i
     wanted = sorted({t for r in rules for t in whole_tokens(r)})
     if not wanted:
         return {}
-    words = F.array_distinct(F.array_intersect(F.split(lower_ascii(F.col(url)), "[^a-z0-9%]+"), F.array(*map(F.lit, wanted))))
-    rows = urls.select(F.explode(words).alias("token")).groupBy("token").count().collect()  # one row for each token of a rule at most
+    tokens = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")  # most_rules bounds it
+    words = F.array_distinct(F.split(lower_ascii(F.col(url)), "[^a-z0-9%]+"))
+    rows = urls.select(F.explode(words).alias("token")).join(F.broadcast(tokens), "token").groupBy("token").count().collect()  # one row for each token of a rule at most
     return {r["token"]: r["count"] for r in rows}
 
 
@@ -139,10 +142,11 @@ def pattern_verdict(urls: DataFrame, url: str = "url", patterns: Sequence[str] =
 
 def url_filters(rows: DataFrame, url: str = "url", host_rules: Sequence[HostRule] = HOST_RULES, patterns: Sequence[str] = PATTERNS) -> DataFrame:
     """rows with host, path, rule and verdict; columns of those names are replaced."""
+    (by_pattern,) = unused([*rows.columns, "host", "path", "rule", "verdict"], "by_pattern")
     host, path = host_and_path(F.col(url))
-    judged = rows.withColumn("_by_pattern", pattern_verdict(rows, url, patterns)).withColumns({"host": host, "path": path})
+    judged = rows.withColumn(by_pattern, pattern_verdict(rows, url, patterns)).withColumns({"host": host, "path": path})
     by_rule, rule = longest_rule(F.col("host"), F.col("path"), host_rules)
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(by_rule, F.col("_by_pattern"))}).drop("_by_pattern")
+    return judged.withColumns({"rule": rule, "verdict": F.coalesce(by_rule, F.col(by_pattern))}).drop(by_pattern)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
