@@ -55,3 +55,51 @@ def test_cells_add_up_in_small_lots(spark):
     docs = documents(spark).selectExpr("text AS _text", "lang AS _lang")
     whole, lots = (ending_counts(docs, ["en", "de", "fr"], 1 << 10, most) for most in (1 << 20, 50))
     assert all((a == b).all() for a, b in zip(whole, lots, strict=True)) and (np.diff(whole[0]) > 0).all()
+
+
+def test_posteriors_equal_bayes_rule_by_hand(spark):
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from tests.llm.texts import words
+    from tracewright.llm._text import Texts
+    from tracewright.llm.language_id import _buckets_of
+
+    buckets, strength, reliability = 64, 20.0, 0.9
+    rows = [(i, ["der die das", "the and of", "un que el"][i % 3] * (1 + i % 2) + f" w{i % 4}", [None, "de", "en", "es", "en"][i % 5], ["a.de", "b.de", "c.com:80", None, "u@d.com"][i % 5 if i % 7 else 0]) for i in range(40)]
+    rows += [(100, "", "de", "a.de"), (101, None, None, None), (102, "the", "de", "10.0.0.1:8080")]
+    got = {r["doc_id"]: r for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), buckets=buckets).collect()}
+    said = Counter(lang for *_, lang, _ in rows if lang is not None)
+    languages = sorted(said, key=lambda x: (-said[x], x))
+    bucket_of = lambda w: int(_buckets_of(Texts(pa.array([w])), buckets)[0])
+    endings = Counter((lang, bucket_of(w)) for _, t, lang, _ in rows if lang is not None for w in words(t))
+    total = {x: sum(n for (lang, _), n in endings.items() if lang == x) + 0.5 * buckets for x in languages}
+    suffix = lambda h: {"a.de": "de", "b.de": "de", "c.com:80": "com", "u@d.com": "com"}.get(h, "")
+    for i, t, lang, host in rows:
+        own = lambda x: int(x == lang)  # noqa: B023, E731
+        like_host, like_suffix = [r for r in rows if r[3] == host and r[2] is not None], [r for r in rows if suffix(r[3]) == suffix(host) and r[2] is not None]
+        less = int(lang is not None)
+        logs = []
+        for x in languages:
+            base = said[x] / sum(said.values())
+            by_suffix = (sum(r[2] == x for r in like_suffix) - own(x) + strength * base) / (len(like_suffix) - less + strength)
+            by_host = (sum(r[2] == x for r in like_host) - own(x) + strength * by_suffix) / (len(like_host) - less + strength)
+            declared = 0.0 if lang is None else math.log10(reliability if x == lang else (1 - reliability) / (len(languages) - 1))
+            logs.append(sum(math.log10((endings[x, bucket_of(w)] + 0.5) / total[x]) for w in words(t)) + declared + math.log10(by_host))
+        posterior = [10 ** (v - max(logs)) for v in logs]
+        best = languages[logs.index(max(logs))]
+        assert got[i]["language"] == best or max(posterior[languages.index(got[i]["language"])] for _ in [0]) > 1 - 1e-9
+        assert abs(got[i]["posterior"] - 1 / sum(posterior)) < 1e-9
+        assert got[i]["kept"] == (bool(words(t)) and 1 / sum(posterior) >= 0.6)
+
+
+def test_ties_and_names_of_columns(spark):
+    names = ["_words", "_likelihood", "_own", "_suffix", "_key", "_spread", "_hot", "_meet", "_evidence", "_best", "_text", "_declared", "c0", "c1", "_of_host", "_rows"]
+    docs = documents(spark).select("*", *(F.lit(5 + i).alias(n) for i, n in enumerate(names)))
+    out = language_id(docs)
+    assert set(out.columns) == set(docs.columns) - {"text"} | {"language", "posterior", "kept"}
+    assert all(r[n] == 5 + i for r in out.collect() for i, n in enumerate(names))
+    tied = spark.createDataFrame([(1, "x", "b", "h"), (2, "x", "a", "h"), (3, "y", None, "h")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["language"] for r in language_id(tied).collect()}[3] == "a"  # equally often declared: by name

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import saved
 from ._skew import lookup, never_null
@@ -62,7 +63,11 @@ def ending_counts(docs: DataFrame, languages: list[str], buckets: int, most_cell
 
 
 def _suffix_of(host: str, suffix: Column | None) -> Column:
-    return F.coalesce(suffix, F.lit("")) if suffix is not None else F.regexp_extract(F.coalesce(F.col(host), F.lit("")), r"\.([^.]*)$", 1)
+    """The host's last label, without user and port; empty for hosts of one label and for addresses in numbers."""
+    if suffix is not None:
+        return F.coalesce(suffix, F.lit(""))
+    name = F.regexp_replace(F.coalesce(F.col(host), F.lit("")), r"^.*@|:\d*$", "")
+    return F.regexp_extract(name, r"\.(?!\d+$)([^.:\]]*)$", 1)
 
 
 def _dense(of: str, n: int) -> Column:
@@ -83,7 +88,6 @@ def language_id(
     small_batches(spark)
     rest = docs.drop(*names)
     columns = [c for c in rest.columns if c != text]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
     often = rest.filter(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("l")).count().orderBy(F.desc("count"), "l").collect()
     languages, total = [r["l"] for r in often], sum(r["count"] for r in often)
     if not languages:
@@ -98,8 +102,8 @@ def language_id(
         starts, bucket, logs, missing = shared.value
         place = {x: i for i, x in enumerate(languages)}
         for whole in batches:
-            for batch in slices(whole, text):
-                t = Texts(batch.column(text))
+            for batch in slices(whole, "_text"):
+                t = Texts(batch.column("_text"))
                 at = _buckets_of(t, buckets)
                 likelihood = np.empty((batch.num_rows, len(languages)))
                 for k, none in enumerate(missing):
@@ -107,8 +111,8 @@ def language_id(
                     of_bucket[bucket[starts[k] : starts[k + 1]]] = logs[starts[k] : starts[k + 1]]
                     likelihood[:, k] = t.per_text(of_bucket[at], t.word_at)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(languages), pa.int32()), pa.array(likelihood.ravel()))
-                own = pa.array([place.get(x, -1) for x in batch.column(declared).to_pylist()], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(t.n_words), lists, own], [*columns, "_words", "_likelihood", "_own"])
+                own = pa.array([place.get(x, -1) for x in batch.column("_declared").to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(t.n_words), lists, own], [*kept, "_words", "_likelihood", "_own"])
 
     said_languages = F.array(*map(F.lit, languages))
     keyed = rest.select(never_null(F.col(host)).alias("_host"), _suffix_of(host, suffix).alias("_suffix"), F.col(declared).alias("_lang"))
@@ -122,8 +126,11 @@ def language_id(
     by_host = by_host.select("_key", "_suffix", _dense("_entries", len(languages)).alias("_of_host"), _total("_entries").alias("_in_host"), "_rows")
     hosts = lookup(by_host, by_suffix, "_suffix", "_hosts", "_key").select("_key", "_of_host", "_in_host", "_of_suffix", "_in_suffix", "_rows")
 
-    scored = rest.mapInArrow(run, f"{types}, _words long, _likelihood array<double>, _own int")
-    scored = scored.withColumn("_key", F.concat_ws("\x00", never_null(F.col(host)), _suffix_of(host, suffix)))
+    # the caller's columns go by number in between, so that no name of theirs meets one of ours
+    key = F.concat_ws("\x00", never_null(F.col(host)), _suffix_of(host, suffix))
+    numbered = rest.select(*(rest[c].alias(f"c{i}") for i, c in enumerate(columns)), key.alias("_key"), rest[text].alias("_text"), rest[declared].alias("_declared"))
+    kept = [*(f"c{i}" for i in range(len(columns))), "_key"]
+    scored = numbered.mapInArrow(run, T.StructType([*(numbered.schema[c] for c in kept), *T._parse_datatype_string("_words long, _likelihood array<double>, _own int").fields]))
     scored = scored.withColumn("_spread", F.xxhash64("_words", "_likelihood"))
     met = lookup(scored, hosts, "_key", "_rows", "_spread")
     own, base = F.col("_own"), F.array(*(F.lit(r["count"] / total) for r in often))
@@ -137,7 +144,8 @@ def language_id(
     fused = met.withColumn("_evidence", evidence).withColumn("_best", F.array_max("_evidence"))
     share = F.lit(1.0) / F.aggregate("_evidence", F.lit(0.0), lambda a, e: a + F.pow(F.lit(10.0), e - F.col("_best")))
     language = F.element_at(said_languages, F.array_position("_evidence", F.col("_best")).cast("int"))
-    return fused.select(*columns, language.alias("language"), share.alias("posterior"), ((F.col("_words") > 0) & (share >= least_posterior)).alias("kept"))
+    judged = fused.select(*kept, language.alias("language"), share.alias("posterior"), ((F.col("_words") > 0) & (share >= least_posterior)).alias("kept"))
+    return judged.select(*(judged[f"c{i}"].alias(c) for i, c in enumerate(columns)), "language", "posterior", "kept")  # a step of its own: new names never meet the lambdas above
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +154,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for web pages: markup's lang attribute, address suffix and host; tags are taken out of the text."""
+    """The same for web pages: markup's lang attribute, address suffix and host; tags are taken out of the text.
+
+    Null html has no words and no declaration, a null url or one without `://` the empty host.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     html = F.coalesce(F.col("html"), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
