@@ -99,3 +99,43 @@ def test_quality_on_held_out_labels(spark):
 def test_folds_are_by_crc(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), qc.crc_mod(F.col("id"), 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+
+
+def test_features_equal_direct_counts():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tests.llm.texts import rows as awkward
+    from tests.llm.texts import words
+    from tracewright.llm._text import Texts
+
+    texts = [r[1] for r in awkward()] + ["A b A b\nA b A b\n\n# $5 µé 12 don't. What? (x)", "x " * 3000, "ÀÉ Ж 漢字 42"]
+    found = qc.features(Texts(pa.array(texts)))
+    assert set(found) == set(qc.FEATURES)
+    lines_of = lambda t: [x for x in t.split("\n")]
+    for i, t in enumerate(texts):
+        t = t or ""
+        w, raw = words(t), t.encode()
+        chars = sum(map(len, w))
+        share = lambda a, b: a / b if b else 0.0
+        seen, dup = set(), 0
+        for line in lines_of(t):
+            dup += bool(words(line)) and line in seen
+            seen.add(line)
+        windows = {}
+        for k in range(len(w) - 7):
+            windows.setdefault(tuple(w[k : k + 8]), []).append(k)
+        inside = {j for at in windows.values() if len(at) > 1 for k in at for j in range(k, k + 8)}
+        upper, lower = sum(65 <= b < 91 for b in raw), sum(97 <= b < 123 for b in raw)
+        wanted = {
+            "log_words": math.log1p(len(w)), "mean_word": share(chars, len(w)), "symbols": share(sum(c in "#*$%&|<>" for c in t), len(w)), "uppercase": share(upper, upper + lower),
+            "digits": share(sum(48 <= b < 58 for b in raw), chars), "wide": share(sum(b >= 0xC0 for b in raw), chars), "dup_lines": share(dup, t.count("\n") + 1), "repeats": share(len(inside), len(w)),
+            "distinct": share(len(set(w)), len(w)), "words_a_line": share(len(w), t.count("\n") + 1),
+        }
+        for name, value in wanted.items():
+            assert abs(found[name][i] - value) < 1e-12, (i, name)
+        for name, table in qc._CLASS.items():
+            assert abs(found[name][i] - share(sum(int(table[b]) for b in raw), len(w))) < 1e-12, (i, name)
+    assert all(np.isfinite(v).all() for v in found.values())
