@@ -63,3 +63,14 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = binned_stream(spark.read.parquet(src), 86400)
     key = lambda df: sorted((r["user_id"], r["start"], r["n"]) for r in df.select("user_id", "start", F.col("n")).collect())
     assert key(spark.table("bins")) == key(batch)
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from pathlib import Path
+
+    from tracewright.scratch import forget, written
+
+    table, path = written(spark.range(5), "t")
+    assert table.count() == 5 and Path(path.removeprefix("file://")).exists()
+    forget(spark, path)
+    assert not Path(path.removeprefix("file://")).exists()
