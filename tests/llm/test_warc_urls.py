@@ -101,3 +101,17 @@ def test_own_columns_stay_in_url_filters(spark):
     rows = spark.createDataFrame([("http://ads-track.x/", 4, 5, 6)], "url string, _by_pattern int, by_pattern int, token int")
     out = url_filters(rows).first()
     assert (out["_by_pattern"], out["by_pattern"], out["token"], out["verdict"]) == (4, 5, 6, "block")
+
+
+def test_of_repeated_rows_one_is_the_response(spark):
+    rows = [(9, "http://a/", "same")] * 5 + [(9, "http://b/", "same"), (3, "http://a/", "same"), (None, None, "same"), (None, None, None), (None, None, None), (4, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = with_revisits(pages).collect()
+    assert len(out) == len(rows) and sorted(str(r["page_id"]) for r in out) == sorted(str(r[0]) for r in rows)
+    responses = sorted((r["page_id"], r["payload_bytes"]) for r in out if r["record_type"] == "response")
+    assert responses == [(4, 0), (9, 4)]
+    assert all(r["refers_to"] == (9 if r["payload_bytes"] else 4) for r in out if r["record_type"] == "revisit")
+    names = [(r["page_id"], r["_place"]) for r in out if r["page_id"] is not None]
+    assert len(set(names)) == len(names)
+    first = {r["_place"] for r in out if r["record_type"] == "response"}
+    assert all(r["_first_place"] in first for r in out if r["record_type"] == "revisit")

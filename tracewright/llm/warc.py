@@ -53,20 +53,34 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each row."""
+    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each row; _place and _first_place tell rows of an id apart.
+
+    A row's place is a hash of it, so it is the same wherever the row is read again. Of repeated rows that all could be the response one is, and
+    the others are counted and written as that many revisits.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("_place"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    rows = saved(rows, "pages")  # so that a row has one place, wherever it is read again
-    groups = rows.groupBy("payload_digest").agg(F.max(F.struct("page_id", "_place")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("_place", F.xxhash64("page_id", F.col("url").isNull(), "url", "payload_digest"))
+    same = rows.groupBy("payload_digest", "page_id", "_place").agg(F.count(F.lit(1)).alias("n"), F.first("url").alias("url"), F.first("payload_bytes").alias("bytes"))
+    groups = same.groupBy("payload_digest").agg(F.max(F.struct("page_id", "_place", "n", "url", "bytes")).alias("first"), F.sum("n").alias("copies"))
+    groups = saved(groups, "payloads")
     joined = lookup(rows, groups, "payload_digest", "copies", "_place")
-    is_first = F.col("first._place") == F.col("_place")
-    return joined.select(
+    is_first = F.col("first.page_id").eqNullSafe(F.col("page_id")) & (F.col("first._place") == F.col("_place"))
+    repeated = groups.filter("first.n > 1")
+    out = joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(is_first, "response").otherwise("revisit").alias("record_type"),
         F.when(~is_first, F.col("first.page_id")).alias("refers_to"),
-        "_place", F.when(~is_first, F.col("first._place")).alias("_first_place"),
+        "_place", F.when(~is_first, F.col("first._place")).alias("_first_place"), (is_first & (F.col("first.n") > 1)).alias("again"),
+    )
+    if repeated.isEmpty():
+        return out.drop("again")
+    again = repeated.select("*", F.explode(F.sequence(F.lit(2).cast("long"), F.col("first.n"))).alias("k")).select(
+        F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first.bytes").alias("payload_bytes"), "payload_digest",
+        F.lit("revisit").alias("record_type"), F.col("first.page_id").alias("refers_to"), F.xxhash64("first._place", "k").alias("_place"), F.col("first._place").alias("_first_place"),
     )
+    one = out.filter("again").dropDuplicates(["payload_digest"])
+    return out.filter("NOT again").drop("again").unionByName(one.drop("again")).unionByName(again)
 
 
 def chunked(payload: bytes, size: int) -> bytes:
