@@ -126,3 +126,20 @@ def test_shift_correlation_is_plain_correlation():
     a, b = r.normal(size=(2, 50)), r.normal(size=(2, 50))
     seen, _ = granger.shift_pvalues(a, b, 10, 0)
     assert np.allclose(seen, [abs(np.corrcoef(a[i], b[i])[0, 1]) for i in range(2)])
+
+
+def test_null_orders_keep_blocks_and_shifts():
+    from tracewright.kernels.draws import hashed, null_order
+
+    time = np.concatenate([np.arange(25), np.arange(40, 57)])
+    order = null_order(time, "block_shuffle", 3, 10, 1)
+    assert sorted(order) == list(range(42)) and (order != np.arange(42)).any()
+    inside = np.diff(order) == 1
+    assert inside.sum() >= 42 - 5  # five blocks: 10, 10, 5 and 10, 7
+    shift = null_order(time, "circular_shift", 3, 10, 15)
+    by = (np.arange(42) - shift) % 42
+    assert len(set(by)) == 1 and 15 <= by[0] <= 27
+    assert null_order(time[:1], "circular_shift", 3, 10, 15).tolist() == [0]
+    draws = hashed(400, 50, 7)
+    assert abs((draws & np.uint64(1)).mean() - 0.5) < 0.02 and abs((draws % np.uint64(50)).mean() - 24.5) < 0.5
+    assert len(np.unique(draws)) > 19_990

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import pearson, r_squared, rmse, safe_divide
 from ..kernels import models
 from ..kernels.bss import principal_axes
+from ..kernels.draws import null_order
 from .bss import _types
 from .folds import fold_edges
 from .metrics import classification_metrics, regression_metrics
@@ -46,18 +47,6 @@ def _lagged(x: np.ndarray, lags: Sequence[int], t: np.ndarray) -> np.ndarray:
     return np.concatenate([x[t - lag] for lag in lags], axis=1)
 
 
-def _null(y: np.ndarray, t: np.ndarray, strategy: str, seed: int, block: int, min_shift: int) -> np.ndarray:
-    random = np.random.Generator(np.random.PCG64(seed))
-    if len(y) < 3:
-        return y
-    if strategy == "circular_shift":
-        low = max(1, min(min_shift, len(y) // 2))
-        return np.roll(y, int(random.integers(low, max(low + 1, len(y) - low + 1))))
-    cut = np.flatnonzero(np.diff(t) != 1) + 1
-    blocks = [p[i : i + block] for p in np.split(y, cut) for i in range(0, len(p), block)]
-    return np.concatenate([blocks[i] for i in random.permutation(len(blocks))])
-
-
 def decode(jobs: DataFrame, task: str, lags: Sequence[int] = (0, 1, 2), shift: int = 0, alpha: float = 10.0, bout_quantile: float = 0.75, null_block: int = 60, null_min_shift: int = 60) -> DataFrame:
     """Out-of-fold predictions. Training rows use no frame outside the training blocks, test rows none inside them. For classification the
     state is y at or above its quantile over the fold's training frames.
@@ -84,7 +73,7 @@ def decode(jobs: DataFrame, task: str, lags: Sequence[int] = (0, 1, 2), shift: i
             y = (y >= np.quantile(y[train_frame], bout_quantile)).astype(float)
         y_train = y[train + shift]
         if isinstance(first["null_strategy"], str):
-            y_train = _null(y_train, train, first["null_strategy"], int(first["null_seed"]), null_block, null_min_shift)
+            y_train = y_train[null_order(train, first["null_strategy"], int(first["null_seed"]), null_block, null_min_shift)]
         a, b = _lagged(xa, lags, train), _lagged(xb, lags, test)
         mean, std = models.standardizer(a)
         a, b = (a - mean) / std, (b - mean) / std

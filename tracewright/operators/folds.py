@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.draws import NULL_STRATEGIES, null_order
+
 
 def fold_edges(frames: DataFrame, n_splits: int, gap: int = 0, keys: Sequence[str] = ("recording",), time: str = "time_index", required_gap: int = 0) -> DataFrame:
     """fold, n, start and stop of each contiguous test block, by half-even rounded equal edges."""
@@ -89,23 +90,13 @@ def blocks_in_segments(df: DataFrame, block_size: int, keys: Sequence[str] = ("r
 
 def null_targets(df: DataFrame, value: str, strategy: str, block_size: int = 10, seed: int = 0, min_shift: int = 1, keys: Sequence[str] = ("recording",), time: str = "time_index") -> DataFrame:
     """`null_value` beside each row: its series in shuffled blocks (that never span a time gap) or circularly shifted by min_shift or more."""
-    if strategy not in ("block_shuffle", "circular_shift"):
+    if strategy not in NULL_STRATEGIES:
         raise ValueError(f"unknown null strategy {strategy!r}")
     columns = [*keys, time, value]
 
     def shuffled(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(time, kind="stable").reset_index(drop=True)
-        y, t = own[value].to_numpy(), own[time].to_numpy()
-        random = np.random.Generator(np.random.PCG64(seed))
-        if strategy == "circular_shift":
-            low = min(max(1, min_shift), max(1, len(y) - 1))
-            high = max(low + 1, len(y) - low + 1)
-            new = np.roll(y, int(random.integers(low, high))) if len(y) > 1 else y
-        else:
-            cut = np.flatnonzero(np.diff(t) != 1) + 1
-            blocks = [p[i : i + block_size] for p in np.split(y, cut) for i in range(0, len(p), block_size)]
-            new = np.concatenate([blocks[i] for i in random.permutation(len(blocks))]) if blocks else y
-        return own.assign(null_value=new)
+        return own.assign(null_value=own[value].to_numpy()[null_order(own[time].to_numpy(), strategy, seed, block_size, min_shift)])
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + f", null_value {types[value]}"

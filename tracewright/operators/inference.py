@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels.draws import hashed
+
 MOST_UNITS = 20
 
 
@@ -30,7 +32,10 @@ def block_means(df: DataFrame, value: str, keys: Sequence[str], block: Sequence[
 
 
 def block_inference(df: DataFrame, value: str, keys: Sequence[str], block: Sequence[str] = ("block",), n_bootstrap: int = 2000, n_permutations: int = 5000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Mean of the differences, percentile interval of a block bootstrap, and p = (exceeding + 1) / (draws + 1) of block sign flips."""
+    """Mean of the differences, percentile interval of a block bootstrap, and p = (exceeding + 1) / (draws + 1) of block sign flips.
+
+    Draw d of block b (in order) is hashed(d, b): block number modulo the blocks for the bootstrap (seed 2 * seed), sign by the last bit (2 * seed + 1).
+    """
     rows = block_means(df, value, keys, block)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n long, n_blocks long, mean double, low double, high double, p double"
@@ -38,12 +43,11 @@ def block_inference(df: DataFrame, value: str, keys: Sequence[str], block: Seque
     def infer(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(list(block))
         n, total = own["n"].to_numpy(float), own["total"].to_numpy(float)
-        random = np.random.Generator(np.random.PCG64(seed))
         mean = total.sum() / n.sum()
-        pick = random.integers(0, len(n), (n_bootstrap, len(n)))
+        pick = (hashed(n_bootstrap, len(n), 2 * seed) % np.uint64(len(n))).astype(np.int64)
         boot = total[pick].sum(axis=1) / n[pick].sum(axis=1)
-        flips = random.choice([-1.0, 1.0], (n_permutations, len(n)))
-        p = (np.sum(np.abs(flips @ total) >= abs(total.sum()) - 1e-12) + 1) / (n_permutations + 1)
+        flips = 1.0 - 2.0 * (hashed(n_permutations, len(n), 2 * seed + 1) & np.uint64(1)).astype(float)
+        p = (np.sum(np.abs(flips @ total) >= abs(total.sum()) * (1 - 1e-9)) + 1) / (n_permutations + 1)
         low, high = np.quantile(boot, [(1 - level) / 2, (1 + level) / 2])
         return pd.DataFrame({**{k: [own[k].iloc[0]] for k in keys}, "n": int(n.sum()), "n_blocks": len(n), "mean": mean, "low": low, "high": high, "p": p})
 

@@ -189,12 +189,17 @@ SELECT DISTINCT h.recording, 2 AS depth, h.source, h.target, round(z.corr, 6) +
 
 
 def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eigenvalues sum to the total variance; their shares are checked by that and tests."""
+    """Moments of the eigenvalues' shares, which SQL knows from traces of the covariance's powers."""
     e = bss.explained_variance(frames(spark, sf_dir))
-    return e.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("ratio")).alias("total"), F.min("rank").alias("first"))
+    moments = {f"moment{k}": F.round(F.sum(F.pow("ratio", F.lit(float(k)))), 9) for k in (1, 2, 3)}
+    return e.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in moments.items()))
 
 
-EXPLAINED = f"WITH {WIDE} SELECT recording, CAST(64 AS BIGINT) AS n, 1.0::DOUBLE AS total, 1 AS first FROM wide GROUP BY 1"
+EXPLAINED = f"""WITH {LONG}, c AS (SELECT a.recording, a.neuron AS i, b.neuron AS j, covar_pop(a.value, b.value) AS c FROM traces a JOIN traces b USING (recording, time_index) GROUP BY 1, 2, 3),
+t AS (SELECT recording, count(*) AS n, sum(c) AS t1 FROM c WHERE i = j GROUP BY 1), s AS (SELECT recording, sum(c * c) AS t2 FROM c GROUP BY 1),
+p AS (SELECT a.recording, a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON b.recording = a.recording AND b.i = a.j GROUP BY 1, 2, 3),
+u AS (SELECT p.recording, sum(p.c * c.c) AS t3 FROM p JOIN c USING (recording, i, j) GROUP BY 1)
+SELECT recording, n, 1.0::DOUBLE AS moment1, round(t2 / (t1 * t1), 9) AS moment2, round(t3 / (t1 * t1 * t1), 9) AS moment3 FROM t JOIN s USING (recording) JOIN u USING (recording)"""
 
 
 def bss_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,13 +244,19 @@ SELECT operation, recording, fold, count(*) AS n_fit, count_if(role = 'test') AS
 
 
 def null_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A null series holds the values of its own, so counts and sums agree (the order is seeded)."""
+    """Null series by both strategies: each row gets the value that the hashed order of blocks, or the shift, brings to it."""
     w = frames(spark, sf_dir).select("recording", "time_index", "level")
-    both = [folds.null_targets(w, "level", s, 10, 3, 20).select("recording", F.lit(s).alias("strategy"), "null_value") for s in ("block_shuffle", "circular_shift")]
-    return both[0].unionByName(both[1]).groupBy("recording", "strategy", "null_value").agg(F.count(F.lit(1)).alias("n"))
+    both = [folds.null_targets(w, "level", s, 10, 3, 20).select("recording", F.lit(s).alias("strategy"), "time_index", "null_value") for s in ("block_shuffle", "circular_shift")]
+    return both[0].unionByName(both[1])
 
 
-NULL_VALUES = f"WITH {WIDE} SELECT recording, strategy, level AS null_value, count(*) AS n FROM wide, (VALUES ('block_shuffle'), ('circular_shift')) s(strategy) GROUP BY 1, 2, 3"
+NULL_VALUES = f"""WITH {WIDE}, g AS (SELECT recording, time_index, level, row_number() OVER o - 1 AS q, CASE WHEN time_index - lag(time_index) OVER o = 1 THEN 0 ELSE 1 END AS new FROM wide WINDOW o AS (PARTITION BY recording ORDER BY time_index)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY recording ORDER BY q) AS seg, count(*) OVER (PARTITION BY recording) AS n FROM g),
+b AS (SELECT *, (row_number() OVER (PARTITION BY recording, seg ORDER BY q) - 1) // 10 AS nth FROM s),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY recording ORDER BY seg, nth) - 1 AS block, greatest(1, least(20, n // 2)) AS low FROM b),
+m AS (SELECT recording, 'block_shuffle' AS strategy, level, row_number() OVER (PARTITION BY recording ORDER BY md5('3:' || block), block, q) - 1 AS p FROM i
+ UNION ALL SELECT recording, 'circular_shift', level, (q + low + CAST('0x' || substr(md5('3'), 1, 8) AS BIGINT) % (greatest(low + 1, n - low + 1) - low)) % n FROM i)
+SELECT m.recording, m.strategy, g.time_index, m.level AS null_value FROM m JOIN g ON g.recording = m.recording AND g.q = m.p"""
 
 
 QUERIES = {
