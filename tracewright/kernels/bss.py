@@ -61,17 +61,14 @@ def lagged_covariances(z: np.ndarray, lags: Sequence[int], segments: Sequence[in
 
 
 def fourth_cumulants(z: np.ndarray, most: int = 200) -> np.ndarray:
-    """Fourth-order cumulant matrices of white data, one for each pair of coordinates, `most` at most."""
+    """Cumulant matrices cum(z_a, z_b, z_c, z_d) over (c, d) of white data, one for each pair a <= b of coordinates, `most` at most."""
     n, k = z.shape
-    i, j = (v[:most] for v in np.triu_indices(k))
-    out = np.empty((len(i), k, k))
-    for m, (a, b) in enumerate(zip(i, j, strict=True)):
-        q = (z * (z[:, a] * z[:, b])[:, None]).T @ z / n
-        q -= (a == b) * np.eye(k)
-        q[a, b] -= 1
-        q[b, a] -= 1
-        out[m] = (q + q.T) / 2
-    return out
+    pairs = np.stack(np.triu_indices(k), axis=1)[:most]
+    moments = np.einsum("nm,nc,nd->mcd", z[:, pairs[:, 0]] * z[:, pairs[:, 1]], z, z, optimize=True) / n
+    unit = np.eye(k)
+    of_a, of_b = unit[pairs[:, 0]], unit[pairs[:, 1]]
+    gaussian = (of_a * of_b).sum(axis=1)[:, None, None] * unit + of_a[:, :, None] * of_b[:, None, :] + of_b[:, :, None] * of_a[:, None, :]
+    return moments - gaussian
 
 
 def joint_rotation(matrices: np.ndarray, tol: float, rounds: int) -> tuple[np.ndarray, int, bool]:
@@ -113,22 +110,35 @@ def fastica_rotation(z: np.ndarray, tol: float, rounds: int, seed: int) -> tuple
     return w.T, rounds, False
 
 
-def infomax_rotation(z: np.ndarray, tol: float, rounds: int, seed: int, rate: float = 0.01) -> tuple[np.ndarray, int, bool]:
-    """Natural-gradient Infomax with the logistic score, a step of rate / sqrt(i), and decorrelation after each step."""
+def infomax_rotation(z: np.ndarray, tol: float, rounds: int, seed: int, sufficient: float = 1e-4, widest_step: float = 8.0) -> tuple[np.ndarray, int, bool]:
+    """Infomax as maximum likelihood of logistic sources (Amari, Cichocki and Yang 1996; Cardoso 1997) over the rotations of white data.
+
+    The natural gradient of a rotation is the skew part of E[tanh(y / 2) y']; each step follows it by a Cayley transform, so the sources stay
+    white, and is halved until the likelihood rises enough (Armijo) or doubled for the next if it did at once. Stationary below tol.
+    """
     k = z.shape[1]
-    w = decorrelated(np.eye(k) + 0.01 * np.random.default_rng(seed).standard_normal((k, k)))
+    turn = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((k, k)))[0]
+    cost = lambda y: 2 * np.logaddexp(y / 2, -y / 2).sum(axis=1).mean()
+    y, step = z @ turn, 1.0
+    now = cost(y)
     for i in range(rounds):
-        y = z @ w.T
-        score = -np.tanh(np.clip(y, -50, 50) / 2)
-        new = decorrelated(w + rate / np.sqrt(i + 1) * (np.eye(k) + score.T @ y / len(z)) @ w)
-        change = np.abs(np.abs((new * w).sum(axis=1)) - 1).max()
-        w = new
-        if change < tol:
-            return w.T, i + 1, True
-    return w.T, rounds, False
+        moment = np.tanh(y / 2).T @ y / len(y)
+        slope = moment - moment.T
+        if np.abs(slope).max(initial=0) < tol:
+            return turn, i, True
+        first = True
+        while True:
+            cayley = np.linalg.solve(np.eye(k) - step / 2 * slope, np.eye(k) + step / 2 * slope)
+            tried = z @ (new := turn @ cayley)
+            if (then := cost(tried)) <= now - sufficient * step * (slope**2).sum() / 2 or step < 1e-12:
+                break
+            step, first = step / 2, False
+        turn, y, now = new, tried, then
+        step = min(widest_step, 2 * step) if first else step
+    return turn, rounds, False
 
 
-def decompose(x: np.ndarray, k: int, method: str = "fastica", tol: float = 1e-4, rounds: int = 500, seed: int = 0, lags: Sequence[int] = (1, 2, 3, 5), segments: Sequence[int] | None = None) -> Decomposition:
+def decompose(x: np.ndarray, k: int, method: str = "fastica", tol: float = 1e-4, rounds: int = 500, seed: int = 0, lags: Sequence[int] = (1, 2, 3, 5), segments: Sequence[int] | None = None, cumulants: int = 200) -> Decomposition:
     """Sources in falling order of the energy that they mix into the data; each column of the mixing has a positive largest loading."""
     z, mean, to_white = whitened(np.asarray(x, float), k)
     if method in ("fastica", "ica"):
@@ -138,7 +148,7 @@ def decompose(x: np.ndarray, k: int, method: str = "fastica", tol: float = 1e-4,
     elif method == "sobi":
         turn, n, ok = joint_rotation(lagged_covariances(z, lags, segments), tol, rounds)
     elif method == "jade":
-        turn, n, ok = joint_rotation(fourth_cumulants(z), tol, rounds)
+        turn, n, ok = joint_rotation(fourth_cumulants(z, cumulants), tol, rounds)
     else:
         raise ValueError(f"unknown method {method!r}")
     unmixing = turn.T @ to_white
