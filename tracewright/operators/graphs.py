@@ -19,8 +19,7 @@ REC = ("recording",)
 def dependence_tests(wide: DataFrame, depths: Sequence[int], method: str = "cgc", draws: int = 1000, seed: int = 0, keys: Sequence[str] = REC, alpha: float = 1.0) -> DataFrame:
     """tests(keys, depth, source, lag, target, corr, corr_p, inv_corr, inv_p) of each panel at each conditioning depth.
 
-    Each (panel, depth, target) is a task of its own: the grid, not the panel, is the axis of parallelism. Pairs whose corr_p exceeds alpha skip
-    the conditional test (inv_p is 1).
+    Each (panel, depth) is a group of its own and tests all its targets. Pairs whose corr_p exceeds alpha skip the conditional test (inv_p is 1).
     """
     jobs = wide.select(*keys, "time_index", "x").withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
 
