@@ -173,3 +173,96 @@ def test_spectral_preservation_of_tones(spark):
     assert all(retained[n] == pytest.approx(w, abs=1e-9) for n, w in wanted.items()) and retained.keys() == wanted.keys()
     nothing = metrics.spectral_preservation(spectra, 4.0, 0.01, 0.02).filter("variant = 'raw'").first()
     assert nothing["spectral_power_retention"] == 1 and nothing["low_frequency_power_fraction"] is None
+
+
+def test_rebuilt_variants_equal_long_reconstruction(spark):
+    df, _ = wide(spark, n=60, d=4)
+    rows = df.withColumns({"fold": F.lit(0), "role": F.lit("train")})
+    keys = ["recording", "fold", "spec"]
+    fitted = bss.fit_bss(rows, bss.fit_specs(("sobi",)), ("recording", "fold")).cache()
+    kept = fitted.select(*keys, "component", F.explode(F.array(F.lit("some"), F.lit("all"))).alias("name")).filter("name = 'all' OR component IN (0, 2)")
+    got = {(r["variant"], r["time_index"]): r["x"] for r in bss.rebuilt(rows, fitted, kept, chunk=7).collect()}
+    assert len(got) == 120
+    mixing, means = bss.mixing_long(fitted, ("recording", "fold")).filter("component IN (0, 2)"), bss.means_long(fitted, ("recording", "fold"))
+    for r in bss.reconstruct(bss.transform(rows, fitted, ("recording", "fold")), mixing, means, keys).collect():
+        assert got["sobi/some", r["time_index"]][r["neuron"]] == pytest.approx(r["value"], abs=1e-9)
+    whole = np.array([r["x"] for r in df.orderBy("time_index").collect()])
+    assert np.allclose(np.array([got["sobi/all", t] for t in range(60)]), whole)
+
+
+def test_matched_pca_holds_the_share_with_the_fewest_axes(spark):
+    df, x = wide(spark, n=80, d=5)
+    rows = df.withColumns({"fold": F.lit(0), "role": F.lit("train")})
+    shares = spark.createDataFrame([(0, 0, "a", 0.5), (0, 0, "b", 0.97), (0, 0, "c", 1.0), (0, 0, "d", 2.0)], "recording int, fold int, source string, share double")
+    named = {s: r for r in bss.matched_pca(rows, shares).filter("sources IS NOT NULL").collect() for s in r["sources"]}
+    v = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    run = np.cumsum(v) / v.sum()
+    for source, share in (("a", 0.5), ("b", 0.97)):
+        rank = int(np.searchsorted(run, share)) + 1
+        assert named[source]["variant"] == f"pca_energy_match/rank{rank}" and named[source]["matched_share"] == pytest.approx(run[rank - 1])
+    assert named["c"]["variant"] == named["d"]["variant"] == "pca_energy_match/rank5"
+
+
+def test_removal_sums_add_up_over_chunks_and_leave_unknown_cells_out(spark):
+    from tracewright.operators import quality
+
+    r = np.random.default_rng(4)
+    z, a, ref = r.normal(size=(50, 3)), r.normal(size=(3, 4)), r.normal(size=(50, 4))
+    components = spark.createDataFrame([(0, k, t, float(z[t, k])) for t in range(50) for k in range(3)], "recording int, component int, time_index int, value double")
+    mixing = spark.createDataFrame([(0, k, n, float(a[k, n])) for k in range(3) for n in range(4)], "recording int, component int, neuron int, weight double")
+    reference = spark.createDataFrame([(0, t, n, float(ref[t, n]) if (t, n) != (3, 1) else None) for t in range(50) for n in range(4)], "recording int, time_index int, neuron int, value double")
+    groups = spark.createDataFrame([(0, "x", 0), (0, "x", 2), (0, "y", 1)], "recording int, group string, component int")
+    got = {g["group"]: g for g in quality.removal_validation(components, mixing, reference, groups, chunk=8).collect()}
+    known = np.ones((50, 4), bool)
+    known[3, 1] = False
+    for name, members in (("x", [0, 2]), ("y", [1])):
+        gone, full = z[:, members] @ a[members], z @ a
+        left = full - gone
+        assert got[name]["mean_abs_delta"] == pytest.approx(np.abs(gone)[known].mean())
+        assert got[name]["reference_corr_removed"] == pytest.approx(np.corrcoef(ref[known], left[known])[0, 1])
+        ratio = [left[known[:, n], n].var() / ref[known[:, n], n].var() for n in range(4)]
+        assert got[name]["variance_ratio_median_removed"] == pytest.approx(np.median(ratio))
+
+
+# The names of a settings file, here with small values.
+SETTINGS = {
+    "n_splits": 2, "gap": 4, "bss_methods": ["fastica", "sobi", "jade"], "n_components": None, "bss_pca_components": 3, "bss_pca_variance_threshold": None, "bss_tolerance": 0.0001, "bss_max_iter": 100,
+    "sobi_lags": [1, 2], "jade_max_cumulant_matrices": 20, "n_clusters": 2, "keep_cluster_counts": [1], "selection_strategies": ["low_frequency", "random", "energy_matched_random", "all"],
+    "selection_random_seeds": [0, 1], "cluster_stability_seeds": [0, 1], "cluster_stability_counts": [2], "cluster_stability_feature_transforms": ["raw", "log1p"], "cluster_stability_keep_count": 1,
+    "feature_start_bin": 1, "feature_transform": "log1p", "welch_nperseg": 32, "welch_noverlap": 16, "ranking_fmin_hz": 0.0, "ranking_fmax_hz": 1.0, "ranking_aggregate": "peak", "baseline_ranks": [2],
+    "benchmark_latent_methods": [], "benchmark_latent_ranks": [], "ic_quality_selection_strategies": ["ic_quality_nonartifact"], "bss_component_counts": [], "bss_pca_variance_thresholds": [],
+    "include_energy_matched_pca": True, "lowpass_cutoffs_hz": [], "decoder_lags": [0, 1], "decoder_target_shift": 0, "decoder_ridge_alpha": 10.0, "bout_quantile": 0.75, "target_bout_quantiles": [0.6],
+    "target_smooth_windows": [3], "null_block_size": 10, "null_block_sizes": [5, 10], "null_seeds": [0, 1], "null_strategies": ["block_shuffle", "circular_shift"], "null_circular_min_shift": 10,
+    "uncertainty_block_size": 10, "uncertainty_n_bootstrap": 50, "uncertainty_n_permutations": 50, "random_state": 0, "causal_transition_models": ["linear"], "causal_sufficiency_targets": ["vigor", "angle"],
+    "artifact_probe_centers": [20], "artifact_probe_half_width": 2,
+    "causal": {"window": 3, "target_shifts": [0, 2], "latent_dim": 2, "n_splits": 2, "gap": 4, "ridge_alpha": 10.0, "random_state": 0, "transition_model": "linear", "mlp_hidden_units": 4, "mlp_max_iter": 10},
+}
+
+
+def test_a_settings_file_with_every_name_runs(spark, tmp_path):
+    import json
+
+    from tracewright.pipeline.evaluation import manifest, run_evaluation
+
+    (tmp_path / "settings.json").write_text(json.dumps(SETTINGS))
+    config = EvaluationConfig.from_json(tmp_path / "settings.json", sample_rate_hz=4.0)
+    assert config.latent.target_shifts == (0, 2) and config.transitions == ("linear",)
+    with pytest.raises(TypeError):
+        EvaluationConfig.from_dict({"causal": {"nope": 1}})
+    df, x = wide(spark, n=120, d=4)
+    targets = spark.createDataFrame([(0, t, float(x[t, 0]), float(abs(x[t, 1]))) for t in range(120)], "recording int, time_index int, angle double, vigor double")
+    tables = run_evaluation(df, targets, config)
+    values = lambda table, *columns: {tuple(r) if len(columns) > 1 else r[0] for r in tables[table].select(*columns).distinct().collect()}
+    said = json.loads(manifest(spark, tables, config))
+    assert all(t["rows"] for t in said["tables"].values()) and said["fits"]["all"] == 6
+    # sobi and jade keep the PCA's three axes, fastica all four
+    assert {(r["method"], r["n"]) for r in tables["models"].filter("fold = 0").groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()} == {("fastica", 4), ("sobi", 3), ("jade", 3)}
+    assert values("behavior_vigor", "null_strategy", "null_block_size") == {(None, None), ("block_shuffle", 5), ("block_shuffle", 10), ("circular_shift", None)}
+    assert values("behavior_bout_grid", "target_variant") == values("behavior_vigor_grid", "target_variant") == {"primary", "q0.75_smooth3", "q0.6_smooth1", "q0.6_smooth3"}
+    assert values("latent_metrics", "target_shift") == {0, 2} and values("markov_sufficiency", "target") == {"vigor", "angle"}
+    assert tables["cluster_stability"].count() == 2 * 3 * 6  # folds, fits, pairs of four labelings
+    assert tables["cluster_stability"].filter("NOT retained_jaccard BETWEEN 0 AND 1").count() == 0
+    matches = tables["energy_matches"].collect()
+    assert len(matches) == 2 * 3 * 6 and all(m["matched_share"] >= min(m["share"], 1) - 1e-9 for m in matches)
+    energy = {(r["fold"], r["variant"]): r for r in tables["variant_metadata"].collect()}
+    assert energy[0, "fastica/all/all"]["keep_components"] == [0, 1, 2, 3] and energy[0, "raw"]["keep_components"] is None

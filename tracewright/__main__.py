@@ -18,7 +18,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True)
     p.add_argument("--config", help="JSON settings")
     p.add_argument("--recording", action="append", help="only these recordings")
+    p.add_argument("--all-datasets", action="store_true", help="all recordings, which is also the default")
     p.add_argument("--list-datasets", action="store_true")
+    p.add_argument("--sample-rate", type=float, help="frames a second, where the settings don't say")
     p.add_argument("--provenance-only", action="store_true")
     return p
 
@@ -32,11 +34,18 @@ def main(args: list[str] | None = None) -> int:
         return 0
     frames, targets = spark.read.parquet(f"{a.data}/frames"), spark.read.parquet(f"{a.data}/targets")
     if a.list_datasets:
-        frames.groupBy("recording").count().orderBy("recording").show(1000, truncate=False)
+        for r in frames.groupBy("recording").count().orderBy("recording").toLocalIterator():
+            print(r["recording"], r["count"])
         return 0
+    if a.recording and a.all_datasets:
+        raise ValueError("give --recording or --all-datasets, not both")
     if a.recording:
         frames = frames.filter(F.col("recording").cast("string").isin(a.recording))
-    config = EvaluationConfig.from_json(a.config) if a.config else EvaluationConfig()
+        known = {r[0] for r in frames.select(F.col("recording").cast("string")).distinct().collect()}
+        if unknown := sorted(set(a.recording) - known):
+            raise KeyError(f"unknown recordings: {unknown}")
+    rate = {"sample_rate_hz": a.sample_rate} if a.sample_rate else {}
+    config = EvaluationConfig.from_json(a.config, **rate) if a.config else EvaluationConfig(**rate)
     tables = run_evaluation(frames, targets, config)
     write_tables(tables, output_path(a.output, "tables"))
     write_json(spark, {"manifest": manifest(spark, tables, config)}, output_path(a.output, "manifest"))

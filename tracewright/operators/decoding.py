@@ -5,6 +5,7 @@ metrics are aggregates over those rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,77 +20,103 @@ from .bss import _types
 from .folds import fold_edges
 from .metrics import classification_metrics, regression_metrics
 
-JOB = ("recording", "comparison", "train_version", "test_version", "null_strategy", "null_seed", "fold")
+JOB = ("recording", "target", "comparison", "train_version", "test_version", "null_strategy", "null_seed", "null_block_size", "fold")
 
 
-def decoding_jobs(variants: DataFrame, targets: DataFrame, edges: DataFrame, reference: str = "raw", transfer: bool = True, nulls: Sequence[tuple[str, int]] = ()) -> DataFrame:
-    """A row for each frame of each job: xa to train on, xb to test on, y, and the fold's edges.
+@dataclass(frozen=True)
+class Target:
+    """A column of the targets to decode: its values, or with a quantile whether they reach it over a fold's training frames."""
 
-    Comparisons: within each variant, from the reference to each other variant and back, and null targets on the reference.
-    """
-    raw = variants.filter(F.col("variant") == reference).select("recording", "time_index", F.col("x").alias("_raw"))
-    none = [F.lit(None).cast("string").alias("null_strategy"), F.lit(None).cast("int").alias("null_seed")]
-    base = variants.select("recording", "time_index", F.lit("within").alias("comparison"), F.col("variant").alias("train_version"), F.col("variant").alias("test_version"), *none, F.col("x").alias("xa"), F.col("x").alias("xb"))
-    parts = [base]
-    if transfer:
-        other = variants.filter(F.col("variant") != reference).join(raw, ["recording", "time_index"])
-        parts.append(other.select("recording", "time_index", F.lit("transfer_raw_to_clean").alias("comparison"), F.lit(reference).alias("train_version"), F.col("variant").alias("test_version"), *none, F.col("_raw").alias("xa"), F.col("x").alias("xb")))
-        parts.append(other.select("recording", "time_index", F.lit("transfer_clean_to_raw").alias("comparison"), F.col("variant").alias("train_version"), F.lit(reference).alias("test_version"), *none, F.col("x").alias("xa"), F.col("_raw").alias("xb")))
-    for strategy, seed in nulls:
-        parts.append(raw.select("recording", "time_index", F.lit("null_within").alias("comparison"), F.lit(reference).alias("train_version"), F.lit(reference).alias("test_version"), F.lit(strategy).alias("null_strategy"), F.lit(seed).alias("null_seed"), F.col("_raw").alias("xa"), F.col("_raw").alias("xb")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.join(targets.select("recording", "time_index", "y"), ["recording", "time_index"]).join(edges, ["recording"])
+    name: str
+    column: str
+    quantile: float | None = None
+
+
+@dataclass(frozen=True)
+class Null:
+    """Training targets in an order of draws.null_order; the size of blocks only counts for block_shuffle."""
+
+    strategy: str
+    seed: int
+    block_size: int | None = None
 
 
 def _lagged(x: np.ndarray, lags: Sequence[int], t: np.ndarray) -> np.ndarray:
     return np.concatenate([x[t - lag] for lag in lags], axis=1)
 
 
-def decode(jobs: DataFrame, task: str, lags: Sequence[int] = (0, 1, 2), shift: int = 0, alpha: float = 10.0, bout_quantile: float = 0.75, null_block: int = 60, null_min_shift: int = 60) -> DataFrame:
-    """Out-of-fold predictions. Training rows use no frame outside the training blocks, test rows none inside them. For classification the
-    state is y at or above its quantile over the fold's training frames.
+def _predicted(a: np.ndarray, y: np.ndarray, b: np.ndarray, states: bool, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions and scores of rows b by a ridge, or for states by a balanced logistic regression, of y on a."""
+    score = np.full(len(b), np.nan)
+    if not states:
+        w, c = models.ridge(a, y, alpha)
+        return b @ w + c, score
+    if (w := models.balanced_logistic(a, y)) is None:
+        return np.full(len(b), y[0]), score
+    score = models.logistic_score(w, b)
+    return (score > 0.5).astype(float), score
+
+
+def decode(
+    variants: DataFrame, targets: DataFrame, edges: DataFrame, wanted: Sequence[Target], lags: Sequence[int] = (0, 1, 2), shift: int = 0, alpha: float = 10.0,
+    transfer: bool = True, nulls: Sequence[Null] = (), null_min_shift: int = 60, reference: str = "raw",
+) -> DataFrame:
+    """Out-of-fold predictions of every target: within each variant, from the reference to each other variant and back, and of null targets on
+    the reference. A variant is shuffled once with the reference beside it; folds, targets and nulls are loops over its matrix. A variant with
+    frames that the reference lacks takes part within itself only.
+
+    Training rows use no frame outside the training blocks, test rows none inside them.
     """
-    if task not in ("regression", "classification"):
-        raise ValueError(f"unknown task {task!r}")
-    lags = sorted(set(lags))
-    schema = f"{_types(jobs, JOB)}, time_index int, n_train int, y_true double, y_pred double, y_score double"
+    lags, columns = sorted(set(lags)), list(dict.fromkeys(t.column for t in wanted))
+    at, is_reference = ["recording", "time_index"], F.col("variant") == reference
+    rows = variants.select("recording", "variant", "time_index", "x")
+    if transfer:
+        raw = rows.filter(is_reference).select(*at, F.col("x").alias("raw"))
+        own = rows.filter(is_reference).withColumn("raw", F.lit(None).cast(raw.schema["raw"].dataType))
+        rows = own.unionByName(rows.filter(~is_reference).join(raw, at, "left"))
+    ys = targets.select(*at, F.array(*(F.col(c).cast("double") for c in columns)).alias("ys"))
+    of_recording = edges.groupBy("recording").agg(F.sort_array(F.collect_list(F.array("fold", "start", "stop", "gap"))).alias("edges"))
+    rows = rows.join(ys, at).join(of_recording, "recording")
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("time_index", kind="stable")
-        first = own.iloc[0]
-        xa, xb, y = np.stack(own["xa"].to_list()), np.stack(own["xb"].to_list()), own["y"].to_numpy(float)
-        n, start, stop, gap = len(own), int(first["start"]), int(first["stop"]), int(first["gap"])
-        frame = np.arange(n)
-        train_frame = (frame < start - gap) | (frame >= stop + gap)
-        test_frame = (frame >= start) & (frame < stop)
-        t = np.arange(max(lags), n - shift)
-        lagged = np.stack([train_frame[t - lag] for lag in lags])
-        train, test = t[train_frame[t + shift] & lagged.all(axis=0)], t[test_frame[t + shift] & ~lagged.any(axis=0)]
-        if len(train) < 2 or not len(test):
-            return pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
-        if task == "classification":
-            y = (y >= np.quantile(y[train_frame], bout_quantile)).astype(float)
-        y_train = y[train + shift]
-        if isinstance(first["null_strategy"], str):
-            y_train = y_train[null_order(train, first["null_strategy"], int(first["null_seed"]), null_block, null_min_shift)]
-        a, b = _lagged(xa, lags, train), _lagged(xb, lags, test)
-        mean, std = models.standardizer(a)
-        a, b = (a - mean) / std, (b - mean) / std
-        score = np.full(len(test), np.nan)
-        if task == "regression":
-            w, c = models.ridge(a, y_train, alpha)
-            predicted = b @ w + c
-        elif (w := models.balanced_logistic(a, y_train)) is None:
-            predicted = np.full(len(test), y_train[0])
-        else:
-            score = models.logistic_score(w, b)
-            predicted = (score > 0.5).astype(float)
-        out = {k: [first[k]] * len(test) for k in JOB}
-        return pd.DataFrame(out | {"time_index": own["time_index"].to_numpy()[test], "n_train": len(train), "y_true": y[test + shift], "y_pred": predicted, "y_score": score})
-
-    out = jobs.groupBy(*JOB).applyInPandas(run, schema)
+        name, time, n = own["variant"].iloc[0], own["time_index"].to_numpy(), len(own)
+        x, y_of = np.stack(own["x"].to_list()), dict(zip(columns, np.stack(own["ys"].to_list()).astype(float).T, strict=True))
+        raw = np.stack(own["raw"].to_list()) if transfer and name != reference and own["raw"].notna().all() else None
+        pairs = [("within", name, name, x, x)]
+        if raw is not None:
+            pairs += [("transfer_raw_to_clean", reference, name, raw, x), ("transfer_clean_to_raw", name, reference, x, raw)]
+        frame, t, out = np.arange(n), np.arange(max(lags), n - shift), []
+        for fold, start, stop, gap in own["edges"].iloc[0]:
+            train_frame = (frame < start - gap) | (frame >= stop + gap)
+            test_frame = (frame >= start) & (frame < stop)
+            lagged = np.stack([train_frame[t - lag] for lag in lags])
+            train, test = t[train_frame[t + shift] & lagged.all(axis=0)], t[test_frame[t + shift] & ~lagged.any(axis=0)]
+            if len(train) < 2 or not len(test):
+                continue
+            for comparison, fitted_on, tested_on, xa, xb in pairs:
+                a, b = _lagged(xa, lags, train), _lagged(xb, lags, test)
+                mean, std = models.standardizer(a)
+                a, b = (a - mean) / std, (b - mean) / std
+                for target in wanted:
+                    y, states = y_of[target.column], target.quantile is not None
+                    if states:
+                        y = (y >= np.quantile(y[train_frame], target.quantile)).astype(float)
+                    known = y[train + shift]
+                    for null in (None, *(nulls if name == reference else ())):
+                        drawn = known if null is None else known[null_order(train, null.strategy, null.seed, null.block_size or 1, null_min_shift)]
+                        predicted, score = _predicted(a, drawn, b, states, alpha)
+                        kind = (comparison, None, None, None) if null is None else ("null_within", null.strategy, null.seed, null.block_size)
+                        out.append((own["recording"].iloc[0], target.name, kind[0], fitted_on, tested_on, *kind[1:], fold, len(train), time[test], y[test + shift], predicted, score))
+        return pd.DataFrame(out, columns=[*JOB, "n_train", "time_index", "y_true", "y_pred", "y_score"])
+
+    vectors = ["time_index", "y_true", "y_pred", "y_score"]
+    schema = (
+        f"{_types(rows, ['recording'])}, target string, comparison string, train_version string, test_version string, null_strategy string, null_seed int, null_block_size int, fold int, n_train int, "
+        "time_index array<int>, y_true array<double>, y_pred array<double>, y_score array<double>"
+    )
+    out = rows.groupBy("recording", "variant").applyInPandas(run, schema)
+    out = out.select(*JOB, "n_train", F.explode(F.arrays_zip(*vectors)).alias("_r")).select(*JOB, "n_train", "_r.*")
     return out.withColumn("y_score", F.nanvl("y_score", F.lit(None)))
 
 
@@ -99,18 +126,24 @@ def decoding_metrics(predictions: DataFrame, task: str) -> DataFrame:
     return classification_metrics(predictions, "y_true", "y_pred", JOB, "y_score")
 
 
-def run_decoding(variants: DataFrame, targets: DataFrame, task: str, n_splits: int = 5, gap: int = 14, transfer: bool = True, nulls: Sequence[tuple[str, int]] = (), **options) -> DataFrame:
-    lags, shift = options.get("lags", (0, 1, 2)), options.get("shift", 0)
+def run_decoding(
+    variants: DataFrame, targets: DataFrame, task: str, n_splits: int = 5, gap: int = 14, transfer: bool = True, nulls: Sequence[tuple[str, int]] = (), lags: Sequence[int] = (0, 1, 2), shift: int = 0,
+    alpha: float = 10.0, bout_quantile: float = 0.75, null_block: int = 60, null_min_shift: int = 60,
+) -> DataFrame:
+    """decode() of one target, y, over equal contiguous folds of the variant raw."""
+    if task not in ("regression", "classification"):
+        raise ValueError(f"unknown task {task!r}")
     edges = fold_edges(variants.filter("variant = 'raw'"), n_splits, gap, required_gap=max(max(lags), shift))
-    return decode(decoding_jobs(variants, targets, edges, transfer=transfer, nulls=nulls), task, **options)
+    drawn = [Null(strategy, seed, null_block if strategy == "block_shuffle" else None) for strategy, seed in nulls]
+    return decode(variants, targets, edges, [Target("y", "y", None if task == "regression" else bout_quantile)], lags, shift, alpha, transfer, drawn, null_min_shift)
 
 
-CAUSAL = ("recording", "variant", "fold", "transition")
+CAUSAL = ("recording", "variant", "fold", "transition", "target_shift")
 
 
-def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, latent_dim: int = 3, shift: int = 1, n_splits: int = 5, gap: int = 14, alpha: float = 10.0, bout_quantile: float = 0.75, transitions: Sequence[str] = ("linear",), seed: int = 0) -> DataFrame:
+def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, latent_dim: int = 3, shift: int | Sequence[int] = 1, n_splits: int = 5, gap: int = 14, alpha: float = 10.0, bout_quantile: float = 0.75, transitions: Sequence[str] = ("linear",), seed: int = 0, hidden: int = 16, rounds: int = 500) -> DataFrame:
     """Test rows of the latent-state model: z of the history, z of the next one as seen and as predicted, the training mean, heads for angle,
-    vigor and bout state, and one-step vigor from z alone and from z with its history.
+    vigor and bout state `shift` frames ahead (each of several shifts), and vigor and angle from z alone and from z with its history.
 
     targets(recording, time_index, angle, vigor). Everything is fitted on windows that lie in the training blocks.
     """
@@ -122,12 +155,15 @@ def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, lat
         raise ValueError(f"unknown transition models {sorted(bad)}")
     edges = fold_edges(variants.filter("variant = 'raw'"), n_splits, gap)
     jobs = variants.join(targets.select("recording", "time_index", "angle", "vigor"), ["recording", "time_index"]).join(edges, ["recording"]).withColumn("transition", F.explode(F.array(*map(F.lit, transitions))))
+    shifts = [shift] if isinstance(shift, int) else list(dict.fromkeys(shift))
+    jobs = jobs.withColumn("target_shift", F.explode(F.array(*map(F.lit, shifts))))
     vector = "array<double>"
-    schema = f"{_types(jobs, CAUSAL)}, time_index int, z {vector}, z_next {vector}, z_predicted {vector}, z_mean {vector}, angle double, angle_pred double, vigor double, vigor_pred double, bout_state int, bout_pred int, bout_score double, vigor_from_z double, vigor_from_history double, converged boolean"
+    schema = f"{_types(jobs, CAUSAL)}, time_index int, z {vector}, z_next {vector}, z_predicted {vector}, z_mean {vector}, angle double, angle_pred double, vigor double, vigor_pred double, bout_state int, bout_pred int, bout_score double, vigor_from_z double, vigor_from_history double, angle_from_z double, angle_from_history double, converged boolean"
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("time_index", kind="stable")
         first = own.iloc[0]
+        shift = int(first["target_shift"])
         x, angle, vigor = np.stack(own["x"].to_list()), own["angle"].to_numpy(float), own["vigor"].to_numpy(float)
         n, start, stop, g = len(own), int(first["start"]), int(first["stop"]), int(first["gap"])
         frame = np.arange(n)
@@ -148,7 +184,7 @@ def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, lat
             w, c = models.ridge(z_train, ahead_train - z_train, alpha)
             moved = z_test + z_test @ w + c
         else:
-            net = models.SmallNetwork(seed=seed).fit(z_train, ahead_train - z_train)
+            net = models.SmallNetwork(hidden, seed, rounds).fit(z_train, ahead_train - z_train)
             moved, converged = z_test + net.predict(z_test), net.converged
         head = lambda y: (lambda m: z_test @ m[0] + m[1])(models.ridge(z_train, y[train + shift], alpha))
         bout = (vigor >= np.quantile(vigor[train + shift], bout_quantile)).astype(int)
@@ -156,13 +192,14 @@ def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, lat
         score = np.full(len(test), np.nan) if model is None else models.logistic_score(model, z_test)
         state = np.full(len(test), bout[train[0] + shift]) if model is None else (score > 0.5).astype(int)
         with_history = lambda at, z: np.concatenate([z, (flat(at) - mean) / std], axis=1)
-        m = models.ridge(with_history(train, z_train), vigor[train + shift], alpha)
+        both = models.ridge(with_history(train, z_train), np.stack([vigor, angle], axis=1)[train + shift], alpha)
+        of_history = with_history(test, z_test) @ both[0] + both[1]
         out = {k: [first[k]] * len(test) for k in CAUSAL}
         return pd.DataFrame(
             out | {
                 "time_index": own["time_index"].to_numpy()[test], "z": list(z_test), "z_next": list(ahead_test), "z_predicted": list(moved), "z_mean": [ahead_train.mean(axis=0)] * len(test),
                 "angle": angle[test + shift], "angle_pred": head(angle), "vigor": vigor[test + shift], "vigor_pred": head(vigor), "bout_state": bout[test + shift], "bout_pred": state, "bout_score": score,
-                "vigor_from_z": head(vigor), "vigor_from_history": with_history(test, z_test) @ m[0] + m[1], "converged": converged,
+                "vigor_from_z": head(vigor), "vigor_from_history": of_history[:, 0], "angle_from_z": head(angle), "angle_from_history": of_history[:, 1], "converged": converged,
             }
         )
 
@@ -187,9 +224,11 @@ def latent_metrics(rows: DataFrame) -> DataFrame:
     return out.withColumns({"dynamic_mse_normalized": safe_divide("dynamic_mse", F.when(F.col("held_out_latent_variance") > 0, F.col("held_out_latent_variance"))), "dynamic_improvement_vs_persistence": 1 - safe_divide("dynamic_mse", F.when(F.col("persistence_mse") > 0, F.col("persistence_mse")))})
 
 
-def markov_sufficiency(rows: DataFrame) -> DataFrame:
-    """Error of the next vigor from the latent state alone and with its history; a ratio near 1 means that the state suffices."""
-    out = rows.groupBy(*CAUSAL).agg(rmse("vigor", "vigor_from_z").alias("rmse_z"), rmse("vigor", "vigor_from_history").alias("rmse_z_history"))
+def markov_sufficiency(rows: DataFrame, target: str = "vigor") -> DataFrame:
+    """Error of the coming vigor or angle from the latent state alone and with its history; a ratio near 1 means that the state suffices."""
+    if target not in ("vigor", "angle"):
+        raise ValueError(f"unknown sufficiency target {target!r}")
+    out = rows.groupBy(*CAUSAL).agg(rmse(target, f"{target}_from_z").alias("rmse_z"), rmse(target, f"{target}_from_history").alias("rmse_z_history"))
     return out.withColumn("sufficiency_ratio", safe_divide("rmse_z_history", "rmse_z"))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import safe_divide
+from ..functions.numeric import pearson, safe_divide
 from ..kernels import granger
 from .bss import _types
 
@@ -120,3 +120,16 @@ def cluster_agreement(labels: DataFrame, keys: Sequence[str] = REC) -> DataFrame
     return adjusted_rand(a.join(b, [*keys, "component"]).filter("left < right"), "_a", "_b", [*keys, "left", "right"])
 
 
+def labeling_stability(labels: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
+    """Agreement of every unordered pair of labelings(keys, labeling, component, cluster, cluster_rank, retained) with sorted names: the adjusted
+    Rand index, the Jaccard index of the retained components (1 if neither retains any) and Spearman's correlation of the components' cluster
+    ranks (NULL where either side is constant).
+    """
+    own = Window.partitionBy(*keys, "labeling")
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "labeling", "cluster_rank"))
+    ranked = labels.withColumn("_r", F.rank().over(own.orderBy("cluster_rank")) + (ties - 1) / F.lit(2.0))
+    side = lambda name: ranked.select(*keys, F.col("labeling").alias(name), "component", F.col("retained").alias(f"_kept_{name}"), F.col("_r").alias(f"_r_{name}"))
+    met = side("left").join(side("right"), [*keys, "component"]).filter("left < right")
+    both, either = F.count_if(F.col("_kept_left") & F.col("_kept_right")), F.count_if(F.col("_kept_left") | F.col("_kept_right"))
+    out = met.groupBy(*keys, "left", "right").agg(F.coalesce(safe_divide(both.cast("double"), either), F.lit(1.0)).alias("retained_jaccard"), pearson("_r_left", "_r_right").alias("rank_spearman"))
+    return cluster_agreement(labels, keys).join(out, [*keys, "left", "right"])

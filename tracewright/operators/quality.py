@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,22 +165,74 @@ def select_by_quality(table: DataFrame, strategy: str) -> DataFrame:
     return table.filter(F.col("recommendation") == "keep" if strategy == "ic_quality_strict_keep" else F.col("recommendation") != "drop")
 
 
-def removal_validation(components: DataFrame, mixing: DataFrame, reference: DataFrame, groups: DataFrame, keys: Sequence[str] = ("recording",)) -> DataFrame:
+def removal_validation(components: DataFrame, mixing: DataFrame, reference: DataFrame, groups: DataFrame, keys: Sequence[str] = ("recording",), chunk: int = 1024) -> DataFrame:
     """What removing each group(keys, group, component) of components does: removal only subtracts its own part, so nothing else is rebuilt.
 
-    reference(keys, time_index, neuron, value); the full reconstruction is compared with it before and after.
+    reference(keys, time_index, neuron, value); the full reconstruction is compared with it before and after. A component without a value at a
+    time adds nothing there, and cells without a reference value are left out. A task takes `chunk` frames, makes each group's part of them by
+    one product of matrices, and returns sums for each neuron, so rows grow with frames and not with their products with components.
     """
-    on = list(keys)
-    part = components.join(mixing, [*on, "component"]).withColumn("_part", F.col("value") * F.col("weight"))
-    full = part.groupBy(*on, "time_index", "neuron").agg(F.sum("_part").alias("_full"))
-    gone = part.join(groups, [*on, "component"]).groupBy(*on, "group", "time_index", "neuron").agg(F.sum("_part").alias("_gone"))
-    met = gone.join(full, [*on, "time_index", "neuron"]).join(reference.withColumnRenamed("value", "_ref"), [*on, "time_index", "neuron"])
-    met = met.withColumn("_left", F.col("_full") - F.col("_gone"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = met.groupBy(*on, "group").agg(
-        F.avg(F.abs("_gone")).alias("mean_abs_delta"), F.sqrt(F.avg(F.col("_gone") * F.col("_gone"))).alias("rms_delta"),
-        zero(pearson("_ref", "_full")).alias("reference_corr_full"), zero(pearson("_ref", "_left")).alias("reference_corr_removed"),
+    on, part = list(keys), F.floor(F.col("time_index") / chunk).cast("int").alias("part")
+    long = lambda df, c, is_reference: df.select(*on, part, "time_index", F.col(c).cast("int").alias("i"), F.col("value").cast("double").alias("value"), F.lit(is_reference).alias("is_reference"))
+    cells = long(components, "component", False).unionByName(long(reference, "neuron", True)).filter("value IS NOT NULL")
+    of_component = groups.groupBy(*on, "component").agg(F.collect_set("group").alias("groups"))
+    loads = mixing.groupBy(*on, "component").agg(F.sort_array(F.collect_list(F.struct(F.col("neuron").cast("int").alias("neuron"), F.col("weight").cast("double").alias("weight")))).alias("_l"))
+    model = loads.join(of_component, [*on, "component"], "left").select(*on, F.col("component").cast("int").alias("component"), F.col("_l.neuron").alias("neuron"), F.col("_l.weight").alias("weight"), "groups")
+    model = model.join(cells.select(*on, "part").distinct(), on)
+    model = model.toDF(*model.columns)  # columns of its own, as both sides come from cells
+    # fmt: off
+    sums = ["n", "abs_gone", "gone_gone", "ref", "ref_ref", "full", "full_full", "left", "left_left", "ref_full", "ref_left"]
+    # fmt: on
+
+    def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        columns = [*on, "group", "neuron", *sums]
+        if own.empty or model.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        time, row = np.unique(own["time_index"].to_numpy(), return_inverse=True)
+        is_ref, i, value = own["is_reference"].to_numpy(bool), own["i"].to_numpy(), own["value"].to_numpy()
+        known, neurons = model["component"].to_numpy(), np.unique(np.concatenate(model["neuron"].to_list()))
+        weight = np.zeros((len(known), len(neurons)))
+        for k, (at, w) in enumerate(zip(model["neuron"], model["weight"], strict=True)):
+            weight[k, np.searchsorted(neurons, at)] = w
+        z, ref = np.zeros((len(time), len(known))), np.full((len(time), len(neurons)), np.nan)
+        column = {int(c): k for k, c in enumerate(known)}
+        place = np.array([column.get(int(c), -1) for c in i[~is_ref]], int)
+        z[row[~is_ref][place >= 0], place[place >= 0]] = value[~is_ref][place >= 0]
+        inside = is_ref & np.isin(i, neurons)
+        ref[row[inside], np.searchsorted(neurons, i[inside])] = value[inside]
+        there = ~np.isnan(ref)
+        ref, full = np.where(there, ref, 0.0), np.where(there, z @ weight, 0.0)
+        members: dict = {}
+        for k, some in enumerate(model["groups"]):
+            for g in some if some is not None else ():
+                members.setdefault(g, []).append(k)
+        out = []
+        for g, of_group in members.items():
+            gone = np.where(there, z[:, of_group] @ weight[of_group], 0.0)
+            left = full - gone
+            of_neuron = [there, np.abs(gone), gone * gone, ref, ref * ref, full, full * full, left, left * left, ref * full, ref * left]
+            out.append(pd.DataFrame({c: [own[c].iloc[0]] * len(neurons) for c in on} | {"group": [g] * len(neurons), "neuron": neurons} | {s: v.sum(axis=0).astype(float) for s, v in zip(sums, of_neuron, strict=True)}))
+        return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+
+    types = {f.name: f.dataType.simpleString() for f in cells.schema} | {"group": groups.schema["group"].dataType.simpleString()}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*on, "group"]) + ", neuron int, " + ", ".join(f"`{s}` double" for s in sums)
+    by_part = [*on, "part"]
+    partial = cells.groupBy(*by_part).cogroup(model.groupBy(*by_part)).applyInPandas(run, schema)
+
+    def spread(c: str) -> Column:
+        """Population variance from sums; 0 where nothing but rounding is left."""
+        square = F.col(f"{c}_{c}") / F.col("n")
+        v = square - F.pow(F.col(c) / F.col("n"), 2)
+        return F.when(v > 1e-13 * square, v).otherwise(0.0)
+
+    def corr(other: str) -> Column:
+        scale = F.sqrt(spread("ref") * spread(other))
+        return F.coalesce(safe_divide(F.col(f"ref_{other}") / F.col("n") - F.col("ref") * F.col(other) / (F.col("n") * F.col("n")), F.when(scale > 0, scale)), F.lit(0.0))
+
+    of_neuron = partial.groupBy(*on, "group", "neuron").agg(*(F.sum(s).alias(s) for s in sums)).filter("n > 0")
+    of_neuron = of_neuron.withColumn("_r", spread("left") / F.greatest(spread("ref"), F.lit(EPS)))
+    out = of_neuron.groupBy(*on, "group").agg(*(F.sum(s).alias(s) for s in sums), median("_r").alias("variance_ratio_median_removed")).select(
+        *on, "group", (F.col("abs_gone") / F.col("n")).alias("mean_abs_delta"), F.sqrt(F.col("gone_gone") / F.col("n")).alias("rms_delta"),
+        corr("full").alias("reference_corr_full"), corr("left").alias("reference_corr_removed"), "variance_ratio_median_removed",
     )
-    ratio = met.groupBy(*on, "group", "neuron").agg((F.var_pop("_left") / F.greatest(F.var_pop("_ref"), F.lit(EPS))).alias("_r"))
-    ratio = ratio.groupBy(*on, "group").agg(median("_r").alias("variance_ratio_median_removed"))
-    return out.join(ratio, [*on, "group"]).withColumn("reference_corr_delta", F.col("reference_corr_removed") - F.col("reference_corr_full"))
+    return out.withColumn("reference_corr_delta", F.col("reference_corr_removed") - F.col("reference_corr_full"))

@@ -301,6 +301,48 @@ def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.cluster_agreement(parts)
 
 
+def _labelings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four clusterings of the neurons, by their numbers and by the sign and size of their mean, with cluster ranks and retained neurons."""
+    own = traces(spark, sf_dir).groupBy("recording", F.col("neuron").alias("component")).agg(F.avg("value").alias("mean"))
+    n = F.col("component")
+    clusters = {"sign": F.when(F.col("mean") > 0, 0).otherwise(1), "size": F.when(F.abs("mean") > 0.02, 0).when(F.abs("mean") > 0.005, 1).otherwise(2), "modulo": n % 3, "one": F.lit(0)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("labeling"), v.cast("int").alias("cluster")) for k, v in clusters.items()))).alias("_l")
+    rows = own.select("recording", "component", each).select("recording", "component", "_l.*")
+    return rows.withColumns({"cluster_rank": F.col("cluster") + 1, "retained": F.col("cluster") == 0})
+
+
+def labeling_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graphs.labeling_stability(_labelings(spark, sf_dir)), "recording", "left", "right")
+
+
+LABELINGS = f"""WITH {LONG}, m AS (SELECT recording, neuron, avg(value) AS mean FROM traces GROUP BY 1, 2),
+c AS (SELECT recording, neuron, 'sign' AS l, CASE WHEN mean > 0 THEN 0 ELSE 1 END AS k FROM m UNION ALL SELECT recording, neuron, 'size', CASE WHEN abs(mean) > 0.02 THEN 0 WHEN abs(mean) > 0.005 THEN 1 ELSE 2 END FROM m
+ UNION ALL SELECT recording, neuron, 'modulo', neuron % 3 FROM m UNION ALL SELECT recording, neuron, 'one', 0 FROM m),
+r AS (SELECT *, rank() OVER (PARTITION BY recording, l ORDER BY k) + (count(*) OVER (PARTITION BY recording, l, k) - 1) / 2.0 AS r FROM c),
+p AS (SELECT a.recording, a.l AS "left", b.l AS "right", a.k AS ka, b.k AS kb, a.r AS ra, b.r AS rb FROM r a JOIN r b ON a.recording = b.recording AND a.neuron = b.neuron AND a.l < b.l),
+s AS (SELECT recording, "left", "right", coalesce(count(*) FILTER (ka = 0 AND kb = 0) / nullif(count(*) FILTER (ka = 0 OR kb = 0), 0), 1.0) AS j, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS rho, count(*) * (count(*) - 1) / 2.0 AS total FROM p GROUP BY 1, 2, 3),
+i AS (SELECT recording, "left", "right", sum(n * (n - 1) / 2.0) AS i FROM (SELECT recording, "left", "right", ka, kb, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1, 2, 3),
+x AS (SELECT recording, "left", "right", sum(n * (n - 1) / 2.0) AS x FROM (SELECT recording, "left", "right", ka, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1, 2, 3),
+y AS (SELECT recording, "left", "right", sum(n * (n - 1) / 2.0) AS y FROM (SELECT recording, "left", "right", kb, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1, 2, 3)
+SELECT recording, "left", "right", round((i - x * y / total) / nullif((x + y) / 2 - x * y / total, 0), 6) + 0.0 AS adjusted_rand, round(j, 6) + 0.0 AS retained_jaccard, round(rho, 6) + 0.0 AS rank_spearman FROM s JOIN i USING (recording, "left", "right") JOIN x USING (recording, "left", "right") JOIN y USING (recording, "left", "right")"""
+
+
+def energy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the frames' energy that every fit gives back with all of its components, and the rank of the PCA that holds as much: for a
+    square fit all of it, and for a fit of 8 components as much as 8 axes do, whatever the rotation.
+    """
+    rows = frames(spark, sf_dir).select("recording", F.lit(0).alias("fold"), "time_index", F.lit("train").alias("role"), "x")
+    fitted = saved(bss.fit_bss(rows, bss.fit_specs(("infomax", "sobi"), (None, 8)), ("recording", "fold"), rounds=20), "models")
+    kept = fitted.select("recording", "fold", "spec", "component", F.lit("all").alias("name"))
+    shares = saved(bss.energy_shares(fitted, kept, rows), "shares")
+    matched = bss.matched_pca(rows, shares).filter("sources IS NOT NULL").select("recording", F.explode("sources").alias("source"), "variant")
+    return shares.join(matched, ["recording", "source"]).select("recording", "source", (F.abs(1 - F.col("share")) < 1e-9).alias("whole"), "variant")
+
+
+ENERGY_SHARES = f"""WITH {WIDE}, r AS (SELECT DISTINCT recording FROM wide), m AS (SELECT unnest(['infomax', 'sobi']) AS m)
+SELECT recording, m || '/all' AS source, true AS whole, 'pca_energy_match/rank64' AS variant FROM r, m UNION ALL SELECT recording, m || '/components8/all', false, 'pca_energy_match/rank8' FROM r, m"""
+
+
 def baseline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PCA, random subspace and latent benchmarks, and causal low-pass, fitted on the training rows of each fold."""
     w = frames(spark, sf_dir).select("recording", "time_index", "x")
@@ -336,10 +378,10 @@ QUERIES = {
     "reconstruct": reconstruction, "cluster_ranking": cluster_ranking, "component_selection": component_selection, "temporal_features": temporal_features, "loading_features": loading_features,
     "behavior_features": behavior_features, "component_scores": component_scores, "removal_validation": removal_validation, "graph_edge_counts": graph_edge_counts, "graph_instability": graph_instability,
     "graph_recovery": graph_recovery, "graph_significance": graph_significance, "explained_variance": explained_variance, "bss_round_trip": bss_round_trip, "component_spectra": component_spectra,
-    "spectral_clusters": spectral_clusters, "cluster_stability": cluster_stability, "baseline_variants": baseline_variants, "granger_graph": granger_graph, "var_graph": var_graph,
+    "spectral_clusters": spectral_clusters, "cluster_stability": cluster_stability, "labeling_stability": labeling_stability, "energy_shares": energy_shares, "baseline_variants": baseline_variants, "granger_graph": granger_graph, "var_graph": var_graph,
 }
 ORACLES = {
     "reconstruct": RECONSTRUCTION, "cluster_ranking": CLUSTER_RANKING, "component_selection": COMPONENT_SELECTION, "temporal_features": TEMPORAL, "loading_features": LOADING, "behavior_features": BEHAVIOR,
     "component_scores": SCORES, "removal_validation": REMOVAL, "graph_edge_counts": EDGE_COUNTS, "graph_instability": INSTABILITY, "graph_recovery": RECOVERY, "graph_significance": SIGNIFICANCE,
-    "explained_variance": EXPLAINED, "bss_round_trip": ROUND_TRIP,
+    "explained_variance": EXPLAINED, "bss_round_trip": ROUND_TRIP, "labeling_stability": LABELINGS, "energy_shares": ENERGY_SHARES,
 }

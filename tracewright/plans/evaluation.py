@@ -11,7 +11,7 @@ from ..pipeline.evaluation import EvaluationConfig, LatentConfig, run_evaluation
 from ..scratch import saved
 from ..sources.panels import frames, traces, wide_form
 from .metrics import _rounded
-from .preprocess import LONG
+from .preprocess import LONG, WIDE
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,26 @@ def latent_state_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(decoding.latent_metrics(rows).join(decoding.markov_sufficiency(rows), list(decoding.CAUSAL)), *decoding.CAUSAL)
 
 
+def decoding_one_neuron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding of the level from the first neuron of raw and smoothed frames, within and between them, which has a closed form."""
+    one = _variants(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
+    t = frames(spark, sf_dir).select("recording", "time_index", F.col("level").alias("y"))
+    p = decoding.run_decoding(one, t, "regression", 4, 6, lags=(0,))
+    own = p.groupBy("recording", "comparison", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("n_train").alias("n_train"), F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))
+    return _rounded(own.join(decoding.decoding_metrics(p, "regression").filter("test_version = 'smooth' OR comparison = 'transfer_clean_to_raw'").select("recording", "comparison", "fold", "rmse", "r2"), ["recording", "comparison", "fold"]), "recording", "comparison", "fold")
+
+
+ONE_NEURON = f"""WITH {WIDE}, e AS (SELECT recording, fold, CAST(round_even(fold * n / 4.0, 0) AS INTEGER) AS start, CAST(round_even((fold + 1) * n / 4.0, 0) AS INTEGER) AS stop FROM (SELECT recording, max(time_index) + 1 AS n FROM wide GROUP BY 1), (SELECT CAST(unnest(range(4)) AS INTEGER) AS fold)),
+b AS (SELECT recording, time_index, level AS y, x[1] AS raw, (x[1] + coalesce(lag(x[1]) OVER (PARTITION BY recording ORDER BY time_index), x[1])) / 2 AS smooth FROM wide),
+v AS (SELECT recording, time_index, y, 'within' AS comparison, 'raw' AS test_version, raw AS a, raw AS b FROM b UNION ALL SELECT recording, time_index, y, 'within', 'smooth', smooth, smooth FROM b
+ UNION ALL SELECT recording, time_index, y, 'transfer_raw_to_clean', 'smooth', raw, smooth FROM b UNION ALL SELECT recording, time_index, y, 'transfer_clean_to_raw', 'raw', smooth, raw FROM b),
+m AS (SELECT recording, comparison, test_version, fold, count(*) AS n_train, avg(a) AS ma, avg(y) AS my, covar_pop(a, y) / var_pop(a) * count(*) / (count(*) + 10.0) AS slope FROM v JOIN e USING (recording) WHERE time_index < start - 6 OR time_index >= stop + 6 GROUP BY 1, 2, 3, 4),
+p AS (SELECT recording, comparison, test_version, fold, n_train, y, my + slope * (b - ma) AS f FROM v JOIN e USING (recording) JOIN m USING (recording, comparison, test_version, fold) WHERE time_index >= start AND time_index < stop),
+k AS (SELECT recording, comparison, fold, count(*) AS n, min(n_train) AS n_train, avg(y) AS y_true, avg(f) AS y_pred FROM p GROUP BY 1, 2, 3),
+s AS (SELECT recording, comparison, fold, sqrt(avg((y - f) * (y - f))) AS rmse, 1 - sum((y - f) * (y - f)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM p WHERE test_version = 'smooth' OR comparison = 'transfer_clean_to_raw' GROUP BY 1, 2, 3)
+SELECT recording, comparison, fold, n, n_train, round(y_true, 6) + 0.0 AS y_true, round(y_pred, 6) + 0.0 AS y_pred, round(rmse, 6) + 0.0 AS rmse, round(r2, 6) + 0.0 AS r2 FROM k JOIN s USING (recording, comparison, fold)"""
+
+
 def ridge_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("recording", "neuron").orderBy("time_index")
     rows = traces(spark, sf_dir).withColumn("next", F.lead("value", 1).over(w)).filter(F.col("next").isNotNull())
@@ -65,12 +85,12 @@ def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small configuration end to end; the trace table of all folds and variants with the decoding of vigor beside it."""
     config = EvaluationConfig(
         n_splits=2, gap=6, bss_methods=("fastica",), n_components=6, n_clusters=3, keep_cluster_counts=(1,), selection_strategies=("low_frequency", "all"), baseline_ranks=(6,), lowpass_cutoffs_hz=(0.4,),
-        ic_quality_selection_strategies=("ic_quality_nonartifact",), uncertainty_n_bootstrap=200, uncertainty_n_permutations=200, latent=LatentConfig(window=4), bss_max_iter=100,
+        ic_quality_selection_strategies=("ic_quality_nonartifact",), uncertainty_n_bootstrap=200, uncertainty_n_permutations=200, latent=LatentConfig(window=4, target_shifts=(1,), ridge_alpha=10.0), bss_max_iter=100, feature_start_bin=0, welch_nperseg=64, welch_noverlap=32,
     )
     tables = run_evaluation(frames(spark, sf_dir), _targets(spark, sf_dir), config)
     vigor = tables["behavior_vigor"].filter("comparison = 'within'").select(F.split("recording", "#")[0].cast("int").alias("recording"), "fold", F.col("test_version").alias("variant"), r6("rmse").alias("vigor_rmse"))
     return _rounded(tables["trace_metrics"], "recording", "fold", "variant").join(vigor, ["recording", "fold", "variant"])
 
 
-QUERIES = {"decoding_regression": decoding_regression, "decoding_classification": decoding_classification, "latent_state_metrics": latent_state_metrics, "ridge_one_feature": ridge_one_feature, "spectral_preservation": spectral_preservation, "full_evaluation": full_evaluation}
-ORACLES = {"ridge_one_feature": RIDGE}
+QUERIES = {"decoding_one_neuron": decoding_one_neuron, "decoding_regression": decoding_regression, "decoding_classification": decoding_classification, "latent_state_metrics": latent_state_metrics, "ridge_one_feature": ridge_one_feature, "spectral_preservation": spectral_preservation, "full_evaluation": full_evaluation}
+ORACLES = {"ridge_one_feature": RIDGE, "decoding_one_neuron": ONE_NEURON}
