@@ -10,8 +10,11 @@ from .mixing import op2_mixing
 from .packing import op8_packing
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op4_quality_rules
+from .spelling import op11_spelling
+from .token_counts import op13_token_counts
 from .url_filters import OP7_SQL, op7_url_filters
 from .warc import OP1_SQL, op1_warc
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -25,5 +28,8 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
     "op10_language_id_pages": op10_language_id_pages,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op7_url_filters": OP7_SQL}
