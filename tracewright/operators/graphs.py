@@ -11,26 +11,30 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pearson, safe_divide
 from ..kernels import granger
+from . import lagged
 from .bss import _types
 
 REC = ("recording",)
 
 
-def dependence_tests(wide: DataFrame, depths: Sequence[int], method: str = "cgc", draws: int = 1000, seed: int = 0, keys: Sequence[str] = REC, alpha: float = 1.0) -> DataFrame:
+def dependence_tests(wide: DataFrame, depths: Sequence[int], method: str = "cgc", draws: int = 1000, seed: int = 0, keys: Sequence[str] = REC, alpha: float = 1.0, block: int = 16) -> DataFrame:
     """tests(keys, depth, source, lag, target, corr, corr_p, inv_corr, inv_p) of each panel at each conditioning depth.
 
-    Each (panel, depth) is a group of its own and tests all its targets. Pairs whose corr_p exceeds alpha skip the conditional test (inv_p is 1).
+    Each (panel, depth, block of sources) is a group of its own, as shifts need whole series; pairs whose corr_p exceeds alpha skip the conditional
+    test (inv_p is 1).
     """
-    jobs = wide.select(*keys, "time_index", "x").withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+    blocks = F.sequence(F.lit(0), F.greatest(F.size("x") - 1, F.lit(0)), F.lit(block))
+    jobs = wide.select(*keys, "time_index", "x").withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("_from", F.explode(blocks))
 
     def test(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("time_index", kind="stable")
-        found = granger.dependence(np.stack(own["x"].to_list()), int(own["depth"].iloc[0]), method, draws, seed, alpha)
+        x, start = np.stack(own["x"].to_list()), int(own["_from"].iloc[0])
+        found = granger.dependence(x, int(own["depth"].iloc[0]), method, draws, seed, alpha, range(start, min(start + block, x.shape[1])))
         n = len(found["corr"])
         return pd.DataFrame({k: [own[k].iloc[0]] * n for k in (*keys, "depth")} | found)
 
     schema = f"{_types(wide, keys)}, depth int, source int, lag int, target int, corr double, corr_p double, inv_corr double, inv_p double"
-    return jobs.groupBy(*keys, "depth").applyInPandas(test, schema)
+    return jobs.groupBy(*keys, "depth", "_from").applyInPandas(test, schema)
 
 
 def significant_edges(tests: DataFrame, alpha: float = 0.01, beta: float = 0.001, n_lags: int | None = None, simulation: bool = False, keys: Sequence[str] = REC) -> DataFrame:
@@ -45,17 +49,13 @@ def significant_edges(tests: DataFrame, alpha: float = 0.01, beta: float = 0.001
 
 
 def var_edges(wide: DataFrame, depths: Sequence[int], threshold: float = 0.08, keys: Sequence[str] = REC) -> DataFrame:
-    """Edges whose least-squares VAR coefficient exceeds the threshold in size at any lag, off the diagonal."""
-    jobs = wide.select(*keys, "time_index", "x").withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
-
-    def fit(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("time_index", kind="stable")
-        b = np.abs(granger.var_coefficients(np.stack(own["x"].to_list()), int(own["depth"].iloc[0]))).max(axis=0)
-        np.fill_diagonal(b, 0)
-        s, t = np.nonzero(b > threshold)
-        return pd.DataFrame({k: [own[k].iloc[0]] * len(s) for k in (*keys, "depth")} | {"source": s, "target": t, "weight": b[s, t]})
-
-    return jobs.groupBy(*keys, "depth").applyInPandas(fit, f"{_types(wide, keys)}, depth int, source int, target int, weight double")
+    """Edges whose least-squares VAR coefficient exceeds the threshold in size at any lag, off the diagonal; weight is the largest size."""
+    out = None
+    for depth in dict.fromkeys(depths):
+        b = lagged.var_coefficients(wide, depth, keys).filter("source <> target").groupBy(*keys, "source", "target").agg(F.max(F.abs("coefficient")).alias("weight"))
+        own = b.filter(F.col("weight") > threshold).select(*keys, F.lit(depth).alias("depth"), "source", "target", "weight")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def off_diagonal(edges: DataFrame) -> DataFrame:
@@ -93,10 +93,11 @@ def recovery(predicted: DataFrame, truth: DataFrame, nodes: int, keys: Sequence[
     """Confusion counts over ordered pairs, accuracy, precision, recall, fpr, balanced accuracy, F1 and Hamming distance to truth(source, target)."""
     p = off_diagonal(predicted).select(*keys, "source", "target").distinct().withColumn("_p", F.lit(1))
     t = truth.filter("source <> target").select("source", "target").distinct()
-    units = predicted.select(*keys).distinct()
-    met = p.join(units.join(F.broadcast(t)).withColumn("_t", F.lit(1)), [*keys, "source", "target"], "full_outer")
+    hits = p.join(t.withColumn("_t", F.lit(1)), ["source", "target"], "left").groupBy(*keys).agg(F.count("_t").alias("_hit"), F.count(F.lit(1)).alias("_all"))
+    size = t.agg(F.count(F.lit(1)).alias("_true"))  # one row
     one = lambda c: F.coalesce(F.col(c), F.lit(0))
-    c = met.groupBy(*keys).agg(F.sum(one("_p") * one("_t")).alias("tp"), F.sum(one("_p") * (1 - one("_t"))).alias("fp"), F.sum((1 - one("_p")) * one("_t")).alias("fn"))
+    c = predicted.select(*keys).distinct().join(hits, list(keys), "left").crossJoin(F.broadcast(size))
+    c = c.select(*keys, one("_hit").alias("tp"), (one("_all") - one("_hit")).alias("fp"), (F.col("_true") - one("_hit")).alias("fn"))
     c = c.withColumn("tn", F.lit(nodes * (nodes - 1)) - F.col("tp") - F.col("fp") - F.col("fn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     zero = lambda a, b: F.coalesce(safe_divide(a.cast("double"), b), F.lit(0.0))

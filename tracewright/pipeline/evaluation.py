@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bss, decoding, folds, graphs, inference, metrics, preprocess, quality
+from ..operators import bss, decoding, folds, graphs, inference, lagged, metrics, preprocess, quality
 from ..scratch import saved
 from ..sources.panels import long_form
 
@@ -260,7 +260,7 @@ def run_evaluation(frames: DataFrame, targets: DataFrame, config: EvaluationConf
     spectra = saved(bss.panel_spectra(held_out, config.sample_rate_hz, config.welch_nperseg, config.welch_noverlap, [*KEYS, "variant"]), "held-out-spectra")
     trace = trace.join(metrics.spectral_preservation(spectra, config.sample_rate_hz, config.ranking_fmin_hz, config.ranking_fmax_hz, keys=KEYS), [*KEYS, "variant"])
     lags = sorted({lag for lag in (*config.decoder_lags, *config.sobi_lags) if lag > 0})
-    temporal = metrics.autocorrelation_change(long, lags, keys=KEYS)
+    temporal = lagged.temporal_dependence_change(held_out, lags, keys=KEYS)
     latent = saved(_latent(variants, targets, edges, config), "latent")
     sufficiency = None
     for target in config.causal_sufficiency_targets:

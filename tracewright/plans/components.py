@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import pearson, rounded as r6
 from ..operators import bss, folds, graphs, quality
 from ..scratch import saved
-from ..sources.panels import frames, table, traces, wide_form
+from ..sources.panels import frames, table, traces
 from .metrics import _rounded
 from .preprocess import LONG, WIDE
 
@@ -353,32 +353,11 @@ def baseline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("recording", "fold", "variant", "role").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), 4).alias("energy"))
 
 
-def granger_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation panels: monthly revenue of suppliers' regions, tested at depths 1 and 2 by both conditioning rules."""
-    panel = _region_panel(spark, sf_dir)
-    parts = [graphs.significant_edges(graphs.dependence_tests(panel, [1, 2], m, 200, 7), 0.05, 0.05).withColumn("method", F.lit(m)) for m in ("cgc", "fcgc")]
-    return _rounded(parts[0].unionByName(parts[1]), "recording", "depth", "source", "target", "method")
-
-
-def var_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(graphs.var_edges(_region_panel(spark, sf_dir), [1, 2]), "recording", "depth", "source", "target")
-
-
-def _region_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
-    met = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
-    week = F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 14).cast("int")
-    sums = met.groupBy(F.col("l_returnflag").alias("recording"), week.alias("time_index"), F.col("n_regionkey").cast("int").alias("neuron")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
-    grid = sums.select("recording", "time_index").distinct().withColumn("neuron", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    full = grid.join(sums, ["recording", "time_index", "neuron"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return wide_form(full)
-
-
 QUERIES = {
     "reconstruct": reconstruction, "cluster_ranking": cluster_ranking, "component_selection": component_selection, "temporal_features": temporal_features, "loading_features": loading_features,
     "behavior_features": behavior_features, "component_scores": component_scores, "removal_validation": removal_validation, "graph_edge_counts": graph_edge_counts, "graph_instability": graph_instability,
     "graph_recovery": graph_recovery, "graph_significance": graph_significance, "explained_variance": explained_variance, "bss_round_trip": bss_round_trip, "component_spectra": component_spectra,
-    "spectral_clusters": spectral_clusters, "cluster_stability": cluster_stability, "labeling_stability": labeling_stability, "energy_shares": energy_shares, "baseline_variants": baseline_variants, "granger_graph": granger_graph, "var_graph": var_graph,
+    "spectral_clusters": spectral_clusters, "cluster_stability": cluster_stability, "labeling_stability": labeling_stability, "energy_shares": energy_shares, "baseline_variants": baseline_variants,
 }
 ORACLES = {
     "reconstruct": RECONSTRUCTION, "cluster_ranking": CLUSTER_RANKING, "component_selection": COMPONENT_SELECTION, "temporal_features": TEMPORAL, "loading_features": LOADING, "behavior_features": BEHAVIOR,
