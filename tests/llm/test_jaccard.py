@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty, words
 from tracewright.llm._components import components
-from tracewright.llm.jaccard_join import jaccard_join, linked, near_pairs, prefix_depth, sorted_forest, wanted_depths
+from tracewright.llm.jaccard_join import jaccard_join, linked, near_pairs, prefix_depth, sorted_forest, telling, wanted_depths, wanted_edges
 
 
 def truth(rows):
@@ -104,11 +105,61 @@ def test_neighbours_in_the_sorted_labels(spark):
             if shared >= 2:
                 seen.add((a, c, shared))
     assert {(x["a"], x["c"], x["shared"]) for x in found} == seen and len(found) >= len(seen)
-    groups = {}
     for x in found:
-        groups.setdefault(x["shared"], []).append((x["head"], x["c"]))
-    for shared, pairs in groups.items():
-        assert all(any(labels[h, t, :shared].tolist() == labels[c, t, :shared].tolist() for t in range(2)) for h, c in pairs)
+        t, c = x["tree"], x["c"]
+        for shared, head in zip((2, 3, 4), x["heads"], strict=True):  # rows between the head and c share as much
+            assert labels[head, t, :shared].tolist() == labels[c, t, :shared].tolist() if shared <= x["shared"] else head == c
+    for t in range(2):
+        alike = {}
+        for i in range(200):
+            alike.setdefault(tuple(labels[i, t, :2]), set()).add(i)
+        ranges = {}
+        for x in found:
+            if x["tree"] == t:
+                ranges.setdefault(x["range"], set()).update((x["a"], x["c"]))
+        assert sorted(map(sorted, ranges.values())) == sorted(sorted(g) for g in alike.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_a_range_hangs_together_down_to_the_depth_that_one_of_it_wants(spark, tasks):
+    """Three clusters and a single row share 7 of 10 values: rows want 10, one in the middle wants 7, so the pairs across clusters are candidates."""
+    rows = [[1] * 7 + [k] * 3 for k in (1, 1, 2, 2, 3, 4, 4)] + [[2] * 7 + [k] * 3 for k in (1, 1, 2, 2)]
+    labels = [bytearray(np.array(x, ">u2").tobytes()) for x in rows]
+    classes = spark.createDataFrame(list(enumerate(labels)), "c long, labels binary").repartition(3)
+    depths = spark.createDataFrame([(i, 7 if i == 4 else 10) for i in range(len(rows))], "c long, depth int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        near = sorted_forest(classes, 1, 10, 7)
+        groups = {}
+        for r in components(wanted_edges(near, depths, 7)).collect():
+            groups.setdefault(r["root"], set()).add(r["node"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4, 5, 6], [7, 8], [9, 10]]
+
+
+@pytest.mark.parametrize("size", [100, 1000])
+def test_links_do_not_depend_on_the_size_of_their_group(spark, size):
+    """A chain of texts of which only neighbours are alike, with the same texts at its start: compared whole in blocks, or shingle by shingle."""
+    tokens = [f"w{i}" for i in range(4 * size + 120)]
+    rows = [(i, " ".join(tokens[4 * i : 4 * i + 100])) for i in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard_join(docs, block_classes=128, target_recall=0.99999).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(96)} for _, t in rows[:60]]
+    for i in range(40):
+        links = sum(9 * len(sets[i] & s) >= 4 * (len(sets[i]) + len(s)) for s in sets) - 1
+        assert found[i] == (links, 0)
+
+
+def test_shingles_that_tell():
+    for size in range(1, 60):
+        for t in (0.5, 0.8, 0.95):
+            a = np.arange(size)
+            for other in range(1, size + 1):  # the worst pair: what they share are their largest
+                shared = math.ceil(t * (size + other) / (1 + t) - 1e-9)
+                if shared <= other:
+                    assert size - shared < telling(size, t) and other - shared < telling(other, t), (a, other)
 
 
 def test_prefixes_stay_long_where_matches_are_close(spark):

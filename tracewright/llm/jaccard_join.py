@@ -8,13 +8,15 @@ Matches start at whole labels and their prefixes are shortened for each class by
 neighbour estimates their similarity s, 1 - (1 - s ** d) ** trees is how likely such a pair meets by prefixes of d values, and by the
 inverses of these probabilities the recall of the class's matches at depth d is estimated. A class keeps the longest prefixes whose estimate
 reaches target_recall. No prefix gets shorter than that at which even pairs at the threshold itself reach it (prefix_depth), so a class
-with faint evidence only is searched as deep as that. Neighbours are linked where either of them wants prefixes as short as theirs.
+with faint evidence only is searched as deep as that. The rows of a range that share as much as the faintest class in it wants hang together.
 
 Linked classes form candidate groups, and in each group every pair is compared exactly, by the intersections of its shingle sets: large
 groups are cut into blocks and each pair of blocks is one task, which returns one row for each class, its number of links and its place in
-the task's components. A large group that holds together only by chains of small trie nodes is compared node by node instead, if that
-makes fewer than half the pairs; a pair that shares several nodes counts in the first. So no row is made for a pair. The work in a group
-grows with the square of its different texts (or of its nodes), spread evenly over tasks; a set is sent once for each block of its group.
+the task's components. A large group of which most pairs have little in common is compared shingle by shingle instead, if that makes fewer than
+half the pairs: sets as near as the threshold share one of their first few shingles by hash (prefix filter), so classes that share
+none of these can't be linked, and a pair that shares several counts in the first. Both ways find the same links, so a group's size
+decides its cost only. No row is made for a pair. The work in a group grows with the square of its different texts (or of those with a
+shingle in common), spread evenly over tasks; a set is sent once for each block of its group, or for each such shingle.
 
 A text of 1 to n - 1 words has one shingle, all its words. Texts without words (null, empty, blank) have no links and stand alone. Sets are
 of 64-bit hashes of whole texts' shingles. Repeated rows are copies of each other. An empty table gives an empty result.
@@ -22,6 +24,7 @@ of 64-bit hashes of whole texts' shingles. Repeated rows are copies of each othe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,10 +92,10 @@ def text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(whole), F.xxhash64(F.lit(0x51ED270B), whole)
 
 
-def near_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the threshold, as a matrix left x right. Exact: intersections are counted."""
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of every left with every right set, as a matrix."""
     same = left is right
-    sizes = [np.array([len(s) for s in sets], float) for sets in (left, right)]
+    sizes = [np.array([len(s) for s in sets], np.int64) for sets in (left, right)]
     values, place = np.unique(np.concatenate(left if same else [*left, *right]), return_inverse=True)
     cut = int(sizes[0].sum())
     places = (place, place) if same else (place[:cut], place[cut:])
@@ -101,7 +104,7 @@ def near_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float
     column, total = np.cumsum(shared) - 1, int(shared.sum())
     cells = []
     for where, size in zip(places, sizes, strict=True):
-        row, use = np.repeat(np.arange(len(size)), size.astype(int)), shared[where]
+        row, use = np.repeat(np.arange(len(size)), size), shared[where]
         row, at = row[use], column[where[use]]
         order = np.argsort(at, kind="stable")
         cells.append((row[order], at[order]))
@@ -115,12 +118,23 @@ def near_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float
             part[row[a:b], at[a:b] - first] = 1
             parts.append(part)
         common += parts[0] @ parts[-1].T
-    near = common.astype(float) * (1 + threshold) >= threshold * (sizes[0][:, None] + sizes[1][None, :]) - 1e-9
-    if same:
+    return common
+
+
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets reach the threshold, as a matrix left x right. Exact: intersections are counted."""
+    sizes = [np.array([len(s) for s in sets], float) for sets in (left, right)]
+    near = common_counts(left, right).astype(float) * (1 + threshold) >= threshold * (sizes[0][:, None] + sizes[1][None, :]) - 1e-9
+    if left is right:
         np.fill_diagonal(near, False)
     return near
 
 
+def telling(size: int, threshold: float) -> int:
+    """How many of its least shingles a set of this size has to show: two sets as near as the threshold share one of them."""
+    return size - math.ceil(threshold * size - 1e-9) + 1
+
+
 def linked(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
     """Which pairs reach the threshold, as a symmetric matrix; with side, only pairs of different sides."""
     near = near_pairs(sets, sets, threshold)
@@ -152,8 +166,9 @@ def _roots_across(near: np.ndarray) -> np.ndarray:
 
 
 def sorted_forest(classes: DataFrame, trees: int, label_values: int, floor: int) -> DataFrame:
-    """Neighbours in the trees' sorted labels: a (the row before), c, `shared` (the values of their common prefix, floor at least) and head, the
-    first row of the range in which c shares such a prefix.
+    """Neighbours in the trees' sorted labels: a (the row before), c, `shared` (the values of their common prefix, floor at least), heads (the first
+    row of the range of rows that share as many values as c, for floor, floor + 1, ... values) and range (which all rows of c's range of
+    floor values have alike).
 
     Each task also has its first and last row; where ranges of two tasks touch, the driver (two rows for each task) links these.
     """
@@ -161,7 +176,7 @@ def sorted_forest(classes: DataFrame, trees: int, label_values: int, floor: int)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = classes.select("c", "labels", tree.alias("tree")).select(F.col("tree").cast("byte").alias("tree"), F.substring("labels", F.col("tree") * width + 1, width).alias("label"), "c")
     ranges = rows.repartitionByRange("tree", "label", "c").sortWithinPartitions("tree", "label", "c")
-    names = ["a", "c", "head", "shared", "tree", "label", "last"]
+    names = ["a", "c", "heads", "shared", "tree", "label", "last"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depths = np.arange(floor, label_values + 1)
@@ -174,7 +189,7 @@ def sorted_forest(classes: DataFrame, trees: int, label_values: int, floor: int)
             raw = b"".join(batch.column(1).to_pylist())
             values = np.frombuffer(raw, ">u2").reshape(n, label_values)
             if before is None:
-                yield edge(batch, 0, False)
+                yield edge(batch, 0, np.full(len(depths), c[0]), False)
                 before = (-1, values[0], -1, np.full(len(depths), -1, np.int64))
             t = np.concatenate([[before[0]], trees_])
             v = np.concatenate([before[1][None], values])
@@ -184,28 +199,37 @@ def sorted_forest(classes: DataFrame, trees: int, label_values: int, floor: int)
             heads = np.where(at >= 0, c[at], before[3][None])
             hit = np.flatnonzero(shared >= floor)
             previous = np.concatenate([[before[2]], c])[:-1]
-            nothing = pa.nulls(len(hit), pa.int8()), pa.nulls(len(hit), pa.binary()), pa.nulls(len(hit), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(previous[hit]), pa.array(c[hit]), pa.array(heads[hit, shared[hit] - floor]), pa.array(shared[hit].astype(np.int32)), *nothing], names)
+            nothing = pa.nulls(len(hit), pa.binary()), pa.nulls(len(hit), pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * len(depths)), pa.array(heads[hit].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(previous[hit]), pa.array(c[hit]), lists, pa.array(shared[hit].astype(np.int32)), pa.array(trees_[hit]), *nothing], names)
             before = (trees_[-1], values[-1], c[-1], heads[-1])
             final = batch.slice(n - 1, 1)
         if before is not None:
-            yield edge(final, 0, True)
+            yield edge(final, 0, before[3], True)
 
-    def edge(batch: pa.RecordBatch, at: int, last: bool) -> pa.RecordBatch:
+    def edge(batch: pa.RecordBatch, at: int, heads: np.ndarray, last: bool) -> pa.RecordBatch:
         one = batch.slice(at, 1)
-        none = pa.nulls(1, pa.int64())
-        return pa.RecordBatch.from_arrays([none, one.column(2), none, pa.nulls(1, pa.int32()), one.column(0), one.column(1), pa.array([last])], names)
-
-    found = saved(ranges.mapInArrow(scan, "a long, c long, head long, shared int, tree byte, label binary, last boolean"), "forest")
-    ends = sorted((r["tree"], bytes(r["label"]), r["c"], r["last"]) for r in found.filter("a IS NULL").select("tree", "label", "c", "last").collect())  # two rows for each task
-    touching = []
-    for (t1, v1, c1, last1), (t2, v2, c2, last2) in zip(ends, ends[1:], strict=False):
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), one.column(2), pa.array([heads.tolist()], pa.list_(pa.int64())), pa.nulls(1, pa.int32()), one.column(0), one.column(1), pa.array([last])], names)
+
+    found = saved(ranges.mapInArrow(scan, "a long, c long, heads array<long>, shared int, tree byte, label binary, last boolean"), "forest")
+    # two rows for each task, in the order of the tasks' ranges; the first of a task comes before its last
+    ends = sorted(((r["tree"], bytes(r["label"]), r["c"], r["last"], r["heads"]) for r in found.filter("a IS NULL").select("tree", "label", "c", "last", "heads").collect()), key=lambda e: e[:4])
+    inner = found.filter("a IS NOT NULL").select("a", "c", "shared", "heads", "tree", F.col("heads")[0].alias("range"))
+    touching, range_of = [], {}
+    for (t1, v1, c1, last1, heads1), (t2, v2, c2, last2, _) in zip(ends, ends[1:], strict=False):
         if last1 and not last2 and t1 == t2:
             x, y = (np.frombuffer(v, ">u2") for v in (v1, v2))
             if (shared := int(np.cumprod(x == y).sum())) >= floor:
-                touching.append((c1, c2, c1, shared))
-    inner = found.filter("a IS NOT NULL").select("a", "c", "head", "shared")
-    return inner.unionByName(classes.sparkSession.createDataFrame(touching, inner.schema)) if touching else inner
+                one = range_of.get((t1, heads1[0]), heads1[0])
+                range_of[t1, c2] = one
+                touching.append((c1, c2, shared, [h if d <= shared else c2 for d, h in enumerate(heads1, floor)], t1, one))
+    if not touching:
+        return inner
+    spark = classes.sparkSession
+    other = spark.createDataFrame([(t, c, one) for (t, c), one in range_of.items()], "tree byte, range long, _one long")  # a row for each task at most
+    inner = inner.join(F.broadcast(other), ["tree", "range"], "left").withColumn("range", F.coalesce("_one", "range")).drop("_one")
+    columns = ["a", "c", "shared", "heads", "tree", "range"]
+    return inner.select(*columns).unionByName(spark.createDataFrame(touching, inner.select(*columns).schema))
 
 
 def wanted_depths(neighbours: DataFrame, trees: int, label_values: int, floor: int, threshold: float, target_recall: float) -> DataFrame:
@@ -223,6 +247,15 @@ def wanted_depths(neighbours: DataFrame, trees: int, label_values: int, floor: i
     return sums.select("c", F.coalesce(*reversed(reached), F.lit(floor)).alias("depth"))
 
 
+def wanted_edges(neighbours: DataFrame, depths: DataFrame, floor: int) -> DataFrame:
+    """Edges u, v that let each range hang together down to the shortest prefix that a class in it wants."""
+    near = neighbours.join(depths.select("c", F.col("depth").alias("_d1")), "c").join(depths.select(F.col("c").alias("a"), F.col("depth").alias("_d2")), "a")
+    near = saved(near.select(F.concat_ws(":", "tree", "range").alias("_range"), "c", "heads", F.least("_d1", "_d2").alias("_d")), "near")
+    least = saved(near.groupBy("_range").agg(F.min("_d").alias("_depth"), F.count(F.lit(1)).alias("_n")), "ranges")  # all of a range are a or c in a row
+    met = lookup(near.select("_range", "c", "heads"), least, "_range", "_n", "c")
+    return met.select(F.col("c").alias("u"), F.element_at("heads", F.col("_depth") - floor + 1).alias("v")).filter("u <> v")
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, threshold: float = 0.8, trees: int = 24, label_values: int = 10, target_recall: float = 0.995, block_classes: int = 128, widest_block: int = 2048, seed: int = 3) -> DataFrame:
     """A row for each row of docs: doc_id, h1 and h2 (its text's hash), class_id (smallest doc_id of all documents linked to it directly or by
     others), n_links (other rows that it links to, copies included), n_copies (rows with its text), first_h1 and first_h2 (the text that
@@ -247,25 +280,14 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     floor = prefix_depth(threshold, trees, label_values, target_recall)
     neighbours = sorted_forest(classes, trees, label_values, floor)
     depths = saved(wanted_depths(neighbours, trees, label_values, floor, threshold, target_recall), "depths")
-    near = neighbours.join(depths.withColumnRenamed("depth", "d1"), "c").join(depths.select(F.col("c").alias("a"), F.col("depth").alias("d2")), "a")
-    groups = components(near.filter(F.least("d1", "d2") <= F.col("shared")).select(F.col("c").alias("u"), F.col("head").alias("v")))
-
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = saved(groups.join(sizes, "root").select(F.col("node").alias("c"), "root", "size"), "members")
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * (2 * label_values) + 1, F.lit(2 * floor))))
-    large = members.filter(F.col("size") > block_classes).join(classes.select("c", nodes.alias("nodes")), "c")
-    in_nodes = large.select("c", "root", "size", F.posexplode("nodes").alias("tree", "unit"))
-    node_sizes = in_nodes.groupBy("root", "size", "tree", "unit").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    by_node = node_sizes.groupBy("root", "size").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1)).alias("pairs")).filter(F.col("pairs") * 2 < F.col("size").cast("double") * (F.col("size") - 1))
-    by_node = saved(by_node.select("root", F.lit(True).alias("by_node")), "by-node")
-    whole = members.join(by_node, "root", "left_anti").select("c", F.col("root").alias("unit"), F.lit(-1).alias("tree"), "size")
-    apart = in_nodes.join(by_node, "root").join(node_sizes.select("root", "tree", "unit", "m"), ["root", "tree", "unit"]).select("c", "unit", "tree", F.col("m").alias("size"))
-    blocks = F.when(F.col("size") <= block_classes, 1).otherwise(F.greatest(F.least(F.ceil(F.col("size") / block_classes), F.lit(24)), F.ceil(F.col("size") / widest_block))).cast("int")
-    units = whole.unionByName(apart).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c", "unit"), F.col("blocks")).cast("int"))
+    groups = saved(components(wanted_edges(neighbours, depths, floor)).select(F.col("node").alias("c"), F.col("root").cast("string").alias("root")), "groups")
+
+    sizes = saved(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    members = saved(lookup(groups, sizes, "root", "size", "c"), "members")
 
     own_id = F.xxhash64(never_null(F.col("doc_id")))
-    of_text = members.select("c", "root").join(by_node, "root", "left").join(classes.select("c", "h1", "h2", "first_id", "copies", nodes.alias("nodes")), "c")
-    of_text = of_text.select("c", "h1", "h2", "copies", F.xxhash64(never_null(F.col("first_id"))).alias("own"), F.when(F.col("by_node"), F.col("nodes")).alias("nodes"))
+    of_text = members.join(classes.select("c", "h1", "h2", "first_id", "copies"), "c")
+    of_text = of_text.select("c", "h1", "h2", "copies", (F.col("size") > block_classes).alias("large"), F.xxhash64(never_null(F.col("first_id"))).alias("own"))
     # members grow with the documents: never broadcast, however small they are here
     found = rows.withColumn("own", own_id).select("own", "h1", "h2", "text").join(of_text.hint("merge"), ["own", "h1", "h2"]).dropDuplicates(["own", "h1", "h2"])
 
@@ -279,28 +301,43 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
                 h, doc = h[new], doc[new]
                 edge = np.searchsorted(doc, np.arange(t.n + 1))
-                keep = ["c", "copies", "nodes"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], [*keep, "set"])
+                own = [h[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                first = [one[: telling(len(one), threshold)].view(np.int64).tolist() if large else None for one, large in zip(own, batch.column("large").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("copies"), pa.array(first, pa.list_(pa.int64())), pa.array([one.tobytes() for one in own], pa.binary())], ["c", "copies", "first", "set"])
+
+    with_sets = saved(found.select("c", "copies", "large", "text").mapInArrow(sets, "c long, copies long, first array<long>, set binary"), "sets")
+
+    in_shingles = members.filter(F.col("size") > block_classes).join(with_sets.select("c", "first").hint("merge"), "c").select("c", "root", "size", F.explode("first").alias("shingle"))
+    shared_by = saved(in_shingles.groupBy("root", "size", "shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-shingles")
+    apart = shared_by.groupBy("root", "size").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1)).alias("pairs")).filter(F.col("pairs") * 2 < F.col("size").cast("double") * (F.col("size") - 1))
+    apart = saved(apart.select("root", "size", F.lit(True).alias("apart")), "apart")
+    flagged = lambda rows, spread: lookup(rows, apart.select("root", "apart", F.col("size").alias("_size")), "root", "_size", spread).drop("_size")
+    whole = flagged(members, "c").filter("apart IS NULL").select("c", "root", F.lit(None).cast("long").alias("shingle"), "size")
+    both = F.concat_ws(":", "root", "shingle").alias("_both")
+    each = lookup(flagged(in_shingles, "c").filter("apart").select("c", "root", "shingle", both), shared_by.select(both, "m"), "_both", "m", "c")
+    units = whole.unionByName(each.filter("m > 1").select("c", "root", "shingle", F.col("m").alias("size")))
+    blocks = F.when(F.col("size") <= block_classes, 1).otherwise(F.greatest(F.least(F.ceil(F.col("size") / block_classes), F.lit(24)), F.ceil(F.col("size") / widest_block))).cast("int")
+    units = units.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c", "root", "shingle"), F.col("blocks")).cast("int"))
 
-    with_sets = saved(found.select("c", "copies", "nodes", "text").mapInArrow(sets, "c long, copies long, nodes array<long>, set binary"), "sets")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = units.join(with_sets.hint("merge"), "c").select("unit", "tree", "block", other, "c", "copies", "nodes", "set")
-    task = [F.col("unit"), F.col("tree"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    keys = ["unit", "tree", "i", "j"]
-    tasks = tasks.select(*task, "c", "block", "copies", "nodes", "set").repartitionByRange(*keys).sortWithinPartitions(*keys, "c")  # ranges of even size, no task cut
+    tasks = units.join(with_sets.hint("merge"), "c").select("root", "shingle", "block", other, "c", "copies", "set")
+    task = [F.col("root"), F.col("shingle"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    keys = ["root", "shingle", "i", "j"]
+    tasks = tasks.select(*task, "c", "block", "copies", "set").repartitionByRange(*keys).sortWithinPartitions(*keys, "c")  # ranges of even size, no task cut
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
 
         def result() -> pa.RecordBatch:
-            _, tree, i, j = now
+            _, shingle, i, j = now
             sides = [held] if i == j else [[r for r in held if r[1] == k] for k in (i, j)]
-            lists = [[np.frombuffer(r[4], np.uint64) for r in side] for side in sides]
+            lists = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
             near = near_pairs(lists[0], lists[-1], threshold) if all(lists) else np.zeros((len(lists[0]), len(lists[-1])), bool)
-            for t in range(tree):  # a pair counts in the first tree in which it shares a node
-                of = [np.array([r[3][t] for r in side], np.int64) for side in sides]
-                near &= of[0][:, None] != of[-1][None, :]
+            if shingle is not None and near.any():  # a pair counts in the first shingle that it shares
+                at = np.uint64(shingle % 2**64)
+                before = [[one[: np.searchsorted(one[: telling(len(one), threshold)], at)] for one in side] for side in lists]
+                near &= common_counts(before[0], before[-1]) == 0
             c = np.array([r[0] for side in sides for r in side], np.int64)
             copies = [np.array([r[2] for r in side], np.int64) for side in sides]
             links = near @ copies[-1] if i == j else np.concatenate([near @ copies[1], copies[0] @ near])
@@ -308,22 +345,23 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
             return pa.RecordBatch.from_arrays([pa.array(c), pa.array(c[roots]), pa.array(links)], ["u", "v", "links"])
 
         for batch in batches:
-            for *task, c, block, copies, nodes_, one in zip(*(batch.column(x).to_pylist() for x in (*keys, "c", "block", "copies", "nodes", "set")), strict=True):
+            for *task, c, block, copies, one in zip(*(batch.column(x).to_pylist() for x in (*keys, "c", "block", "copies", "set")), strict=True):
                 if task != now:
                     if held:
                         yield result()
                     now, held = task, []
-                held.append((c, block, copies, nodes_, one))
+                held.append((c, block, copies, one))
         if held:
             yield result()
 
     compared = saved(tasks.mapInArrow(compare, "u long, v long, links long"), "links")
     linked_to = components(compared.select("u", "v")).select(F.col("node").alias("c"), "root")
     links = compared.groupBy(F.col("u").alias("c")).agg(F.sum("links").alias("links"))
-    named = classes.select("c", "h1", "h2", "first_id", "copies").join(linked_to, "c", "left").join(links, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("c", "h1", "h2", "first_id", "copies").join(linked_to, "c", "left").join(links, "c", "left").withColumn("root", F.coalesce("root", "c").cast("string"))
+    named = saved(named, "named")
     null_last = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h1", "h2")
-    heads = named.groupBy("root").agg(F.min(null_last).alias("first"))
-    classed = named.join(heads, "root").select(
+    heads = saved(named.groupBy("root").agg(F.min(null_last).alias("first"), F.count(F.lit(1)).alias("_n")), "heads")
+    classed = lookup(named, heads, "root", "_n", "c").select(
         F.concat_ws(":", "h1", "h2").alias("_key"), F.col("first.first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("copies").alias("n_copies"), F.col("first.h1").alias("first_h1"), F.col("first.h2").alias("first_h2"),
     )
