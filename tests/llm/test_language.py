@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty
@@ -87,7 +88,9 @@ def test_posteriors_equal_bayes_rule_by_hand(spark):
             by_suffix = (sum(r[2] == x for r in like_suffix) - own(x) + strength * base) / (len(like_suffix) - less + strength)
             by_host = (sum(r[2] == x for r in like_host) - own(x) + strength * by_suffix) / (len(like_host) - less + strength)
             declared = 0.0 if lang is None else math.log10(reliability if x == lang else (1 - reliability) / (len(languages) - 1))
-            logs.append(sum(math.log10((endings[x, bucket_of(w)] + 0.5) / total[x]) for w in words(t)) + declared + math.log10(by_host))
+            mine = Counter(bucket_of(w) for w in words(t)) if x == lang else Counter()
+            text_log = sum(math.log10((endings[x, bucket_of(w)] - mine[bucket_of(w)] + 0.5) / (total[x] - sum(mine.values()))) for w in words(t))
+            logs.append(text_log + declared + math.log10(by_host))
         posterior = [10 ** (v - max(logs)) for v in logs]
         best = languages[logs.index(max(logs))]
         assert got[i]["language"] == best or max(posterior[languages.index(got[i]["language"])] for _ in [0]) > 1 - 1e-9
@@ -103,3 +106,18 @@ def test_ties_and_names_of_columns(spark):
     assert all(r[n] == 5 + i for r in out.collect() for i, n in enumerate(names))
     tied = spark.createDataFrame([(1, "x", "b", "h"), (2, "x", "a", "h"), (3, "y", None, "h")], "doc_id long, text string, lang string, source string")
     assert {r["doc_id"]: r["language"] for r in language_id(tied).collect()}[3] == "a"  # equally often declared: by name
+
+
+def test_a_wrong_declaration_does_not_vote_for_itself(spark):
+    rows = [(i, "und der die das nicht " * 4, "de", "h") for i in range(20)] + [(100 + i, "the and of with from " * 4, "en", "h") for i in range(20)]
+    rows.append((300, "zebra quilt " * 30 + "the and of", "de", "h"))  # its rare endings only occur here
+    out = {r["doc_id"]: r for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[300]["posterior"] < 0.99 or out[300]["language"] == "en"
+
+
+def test_bounds_raise(spark):
+    docs = spark.createDataFrame([(i, "a b", f"l{i}", "h") for i in range(5)], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError):
+        language_id(docs, most_languages=4)
+    with pytest.raises(ValueError):
+        ending_counts(docs.selectExpr("text AS _text", "lang AS _lang"), ["l0", "l1"], 16, most_cells=1)

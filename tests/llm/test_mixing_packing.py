@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.texts import documents, empty, words
-from tracewright.llm.mixing import capped_targets, mixed, mixed_texts, sainte_lague
+from tracewright.llm.mixing import capped_targets, even_quota, mixed, mixed_texts, sainte_lague, times_taken
 from tracewright.llm.packing import combinations, nonnegative_counts, pack, packed
 
 
@@ -29,6 +29,29 @@ def test_seats_by_highest_quotients():
         assert got.sum() == sum(wanted) and (got == wanted).all()
 
 
+def test_a_shards_quota_is_that_of_the_whole_list():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        size = int(r.integers(1, 9))
+        blocks, quota = int(r.integers(1, 60)), int(r.integers(0, 170))
+        full = [min(size, blocks - at) for at in range(0, blocks, size)]
+        quota = min(quota, 3 * blocks)
+        wanted = by_quotients(full, quota % blocks, full)
+        assert [even_quota(blocks, quota, k, size) for k in range(len(full))] == [quota // blocks * n + w for n, w in zip(full, wanted, strict=True)]
+
+
+def test_a_source_of_ten_billion_blocks_takes_no_list():
+    import time
+
+    began, cache = time.perf_counter(), {}
+    size = 32 * 10**10 - 5
+    for k in range(200):
+        first = k * 49_999_999
+        taken = times_taken(size, 7 * 10**9 + 3, 0, first, first + 2000, 32, 1024, 20, cache)
+        assert len(taken) == 2001 and set(taken) <= {0, 1} and 0.6 < taken.mean() < 0.8
+    assert time.perf_counter() - began < 1
+
+
 def test_targets_stop_at_three_times_the_size():
     t = capped_targets([100, 10, 10], [1, 2, 3], 3)
     assert t == [pytest.approx(60), 30, 30] and capped_targets([0, 0], [1, 2], 3) == [0, 0]

@@ -41,8 +41,9 @@ def test_run_is_the_stages(spark):
 
 
 def test_names_of_columns_do_not_matter_to_the_stages(spark):
-    names = ["verdict", "k1", "k2", "h1", "h2", "id", "row", "kept_", "_h1", "_taken", "_copies", "mix_", "_words", "_key", "_hot", "_meet"]
+    names = ["verdict", "k1", "k2", "h1", "h2", "id", "row", "kept_", "_h1", "_taken", "_copies", "mix_", "_words", "_key", "_hot", "_meet", "a.b", "text.x", "a`b"]
     docs = documents(spark).select("*", *(F.lit(7 + i).alias(n) for i, n in enumerate(names)))
+    assert cp.pack_sequences(spark, docs, "").count() > 0
     for _, stage in cp.STAGES[:-1]:
         docs = saved(stage(spark, docs, ""), "t")
         assert docs.columns[-len(names) :] == names

@@ -15,3 +15,8 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def quoted(name: str) -> str:
+    """The name as a reference that dots and other signs in it don't change."""
+    return "`" + name.replace("`", "``") + "`"

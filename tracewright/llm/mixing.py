@@ -8,8 +8,8 @@ A shard is shard_blocks consecutive blocks of a source; the source's quota goes
 shard every block is taken quota div blocks times, and as many as remain, picked by a seeded permutation, once more. So no word is taken
 more than most_repeats times, and a source misses its target by about a block.
 
-Documents are ranked in hash shards whose number grows with the square root of the rows, so neither a shard nor the list of a source's
-shards is large, whatever a source holds. The plan is made from a few bytes a row; texts are measured once and meet their runs by a row
+Documents are ranked in hash shards whose number grows with the square root of the rows. A shard's quota is a closed form of its source's size, so
+no task holds a list of a source's shards. The plan is made from a few bytes a row; texts are measured once and meet their runs by a row
 number. One row for each source is all that reaches the driver, most_sources at most. Null and empty texts have no words and
 take nothing; an empty table gives an empty mix; rows equal in id and text follow each other in the stream; reruns agree.
 """
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..scratch import saved
+from ._names import quoted
 from ._skew import never_null
 from ._text import Texts, slices, small_batches
 
@@ -105,29 +106,44 @@ def times_taken(size: int, quota: int, stream: int, first: int, last: int, block
         if (stream, shard) not in cache:
             if len(cache) > 4096:
                 cache.clear()
-            if ("quotas", stream) not in cache:
-                full = np.full(-(-blocks // shard_blocks), shard_blocks, np.int64)
-                full[-1] = blocks - shard_blocks * (len(full) - 1)
-                cache["quotas", stream] = full, _even_quotas(full, quota)
-            full, quotas = cache["quotas", stream]
-            n, q = int(full[shard]), int(quotas[shard])
+            n = min(shard_blocks, blocks - shard * shard_blocks)
+            q = even_quota(blocks, quota, shard, shard_blocks)
             cache[stream, shard] = q // n + extra_blocks(seed, stream, shard, n, q)
         at = shard * shard_blocks
         out.append(cache[stream, shard][max(first - at, 0) : last - at + 1])
     return np.concatenate(out)
 
 
-def _even_quotas(full: np.ndarray, quota: int) -> np.ndarray:
-    """Sainte-Lague among a source's shards; the rounds that all blocks share are given first."""
-    blocks = int(full.sum())
-    return full * (quota // blocks) + sainte_lague(full, quota % blocks, full)
+def even_quota(blocks: int, quota: int, shard: int, shard_blocks: int) -> int:
+    """The shard's part of its source's quota by Sainte-Lague among the source's shards; the rounds that all blocks share are given first.
+
+    All shards but the last are of one size, so they take turns, and only how many seats the last one gets has to be searched: its m-th has a
+    quotient of rest / (2m - 1), and before it each other shard gets its seats with quotients of as much or more.
+    """
+    shards = -(-blocks // shard_blocks)
+    rest = blocks - shard_blocks * (shards - 1)
+    rounds, seats = divmod(quota, blocks)
+    low, high = (seats, seats) if shards == 1 else (0, min(rest, seats))
+    while low < high:  # the most seats of the last shard that come with all seats before them
+        m = (low + high + 1) // 2
+        ahead = min(shard_blocks, (shard_blocks * (2 * m - 1) + rest) // (2 * rest))
+        if (shards - 1) * ahead + m <= seats:
+            low = m
+        else:
+            high = m - 1
+    if shard == shards - 1:
+        return rounds * rest + low
+    each, more = divmod(seats - low, shards - 1)
+    return rounds * shard_blocks + each + (shard < more)
 
 
 def _planned(rows: DataFrame, weights: Sequence[int], most_repeats: int, block_words: int, shard_blocks: int, seed: int, most_sources: int) -> DataFrame:
     """id and the struct `mix` for each of the rows (id, size, stream, doc, content): a few bytes a row, no texts."""
     spark = rows.sparkSession
     shards = max(1, int(np.ceil(np.sqrt(rows.count()))))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc", "content", F.lit(seed)), F.lit(shards)).cast("int"))
+    # rows without words have no place in a stream, so that masses of them are dealt out by their numbers
+    dealt = F.when(F.col("size") > 0, F.xxhash64("doc", "content", F.lit(seed))).otherwise(F.xxhash64("id"))
+    rows = rows.withColumn("shard", F.pmod(dealt, F.lit(shards)).cast("int"))
     cells = rows.groupBy("stream", "shard").agg(F.sum("size").alias("words"))
     found = cells.groupBy("stream").agg(F.sum("words").alias("n")).limit(most_sources + 1).collect()  # one row for each source
     if len(found) > most_sources:
@@ -178,10 +194,11 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     """
     small_batches(docs.sparkSession)
     carried = [c for c in (docs.columns if carried is None else carried) if c != "mix"]
-    measures = [F.monotonically_increasing_id().alias("id"), word_count(docs[text]).alias("size"), never_null(docs[source]).alias("stream"), F.xxhash64(docs[doc_id]).alias("doc"), F.xxhash64(docs[text]).alias("content")]
-    rows = saved(docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), *measures), "mix-rows")
+    of = lambda c: docs[quoted(c)]
+    measures = [F.monotonically_increasing_id().alias("id"), word_count(of(text)).alias("size"), never_null(of(source)).alias("stream"), F.xxhash64(of(doc_id)).alias("doc"), F.xxhash64(of(text)).alias("content")]
+    rows = saved(docs.select(F.struct(*(of(c).alias(f"c{i}") for i, c in enumerate(carried))).alias("row"), *measures), "mix-rows")
     plan = saved(_planned(rows.drop("row"), weights, most_repeats, block_words, shard_blocks, seed, most_sources), "mix-runs")
-    return rows.select("id", "row").join(plan, "id").select(*(F.col("row").getField(c).alias(c) for c in carried), "mix")
+    return rows.select("id", "row").join(plan, "id").select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(carried)), "mix")
 
 
 def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -192,7 +209,7 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     names = [c for c in docs.columns if c != "mix"]
     place = names.index(text)
     rows = mixed(docs, text, **options).filter("mix.taken > 0")
-    flat = rows.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("mix.runs").alias("runs"))
+    flat = rows.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)), F.col("mix.runs").alias("runs"))
     schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in docs.schema if f.name != "mix"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +227,11 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
                 spans = [t.bytes[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
                 texts = pa.array([b"\n".join(spans[a:b]) for a, b in zip(new, [*new[1:], len(spans)], strict=True)], pa.binary()).cast(pa.string())
                 out = batch.take(pa.array(row[new]))
-                yield pa.RecordBatch.from_arrays([texts if i == place else out.column(i) for i in range(len(names))], names)
+                yield pa.RecordBatch.from_arrays([texts if i == place else out.column(i) for i in range(len(names))], numbers)
 
-    return flat.mapInArrow(cut, schema)
+    numbers = [f"c{i}" for i in range(len(names))]
+    numbered = StructType([StructField(n, f.dataType) for n, f in zip(numbers, schema, strict=True)])
+    return flat.mapInArrow(cut, numbered).select(*(F.col(n).alias(c) for n, c in zip(numbers, names, strict=True)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,15 +149,19 @@ def quality_rules(docs: DataFrame, text: str = "text", verdict: str = "quality_v
     """docs with one struct column more (named by `verdict`, replacing one of that name) with the fields of VERDICT."""
     small_batches(docs.sparkSession)
     rest = docs.drop(verdict)
-    schema = T.StructType([*rest.schema.fields, T.StructField(verdict, VERDICT)])
+    names = rest.columns
+    numbers = [f"c{i}" for i in range(len(names))]
+    place = names.index(text)
+    rows = rest.toDF(*numbers)
+    schema = T.StructType([*rows.schema.fields, T.StructField("verdict", VERDICT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
-                found = judged(batch.column(text), min_words, max_covered, max_longest)
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, verdict])
+            for batch in slices(whole, numbers[place]):
+                found = judged(batch.column(place), min_words, max_covered, max_longest)
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*numbers, "verdict"])
 
-    return rest.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, verdict)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
