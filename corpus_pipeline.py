@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm._names import unused
+from tracewright.llm._names import quoted, unused
 from tracewright.llm._skew import never_null
 from tracewright.llm.jaccard_join import jaccard_join, text_keys
 from tracewright.llm.language_id import language_id
@@ -23,16 +23,14 @@ from tracewright.scratch import saved, ship
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; their columns unchanged."""
     (verdict,) = unused(docs.columns, "verdict")
-    return quality_rules(docs, verdict=verdict).filter(F.col(verdict).getField("kept")).select(*docs.columns)
+    return quality_rules(docs, verdict=verdict).filter(F.col(verdict).getField("kept")).select(*map(quoted, docs.columns))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear. Rows of equal text, declared language and source share a decision, so a hash of these finds them."""
-    evidence = [docs[c] for c in ("text", "lang", "source")]
-    k1, k2 = (F.xxhash64(*salt, *evidence, *(c.isNull() for c in evidence)) for salt in ([], [F.lit(10)]))
-    rows = docs.select(*evidence, k1.alias("k1"), k2.alias("k2"))
-    rejected = saved(language_id(rows).filter("NOT kept").select("k1", "k2").distinct(), "rejected")
-    return docs.join(rejected, (k1 == rejected["k1"]) & (k2 == rejected["k2"]), "left_anti")
+    """Documents whose language is clear; each row goes through the operator whole."""
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "text", "lang", "source")
+    kept = language_id(rows).filter("kept")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +39,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     keys = ["h1", "h2", "id"]
     stays = stays.select("h1", "h2", never_null(F.col("doc_id")).alias("id")).distinct()
     h1, h2 = text_keys(docs["text"])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), h1.alias("h1"), h2.alias("h2"), never_null(docs["doc_id"]).alias("id"))
-    return rows.join(stays, keys, "left_semi").dropDuplicates(keys).select("row.*")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), h1.alias("h1"), h2.alias("h2"), never_null(docs["doc_id"]).alias("id"))
+    return rows.join(stays, keys, "left_semi").dropDuplicates(keys).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each copy of a document that it takes, with the words taken in that copy as its text."""
-    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
