@@ -266,3 +266,28 @@ def test_a_settings_file_with_every_name_runs(spark, tmp_path):
     assert len(matches) == 2 * 3 * 6 and all(m["matched_share"] >= min(m["share"], 1) - 1e-9 for m in matches)
     energy = {(r["fold"], r["variant"]): r for r in tables["variant_metadata"].collect()}
     assert energy[0, "fastica/all/all"]["keep_components"] == [0, 1, 2, 3] and energy[0, "raw"]["keep_components"] is None
+
+
+def test_more_units_than_exact_flips_take_raise(spark):
+    df = spark.createDataFrame([("m", float(i)) for i in range(21)], "method string, d double")
+    with pytest.raises(Exception, match="20 differences"):
+        inference.exact_sign_flip(df, "d", ["method"]).collect()
+
+
+def test_latent_states_of_given_edges_are_those_of_their_fold(spark):
+    r = np.random.default_rng(3)
+    x = np.cumsum(r.normal(size=(160, 4)), axis=0)
+    df = spark.createDataFrame([(0, "raw", t, [float(v) for v in x[t]]) for t in range(160)], "recording int, variant string, time_index int, x array<double>")
+    targets = spark.createDataFrame([(0, t, float(x[t, 0]), float(abs(x[t, 1]))) for t in range(160)], "recording int, time_index int, angle double, vigor double")
+    options = {"window": 3, "latent_dim": 2, "shift": (1, 2), "n_splits": 4, "gap": 4, "transitions": ("linear", "mlp"), "rounds": 20}
+    every = {tuple(map(str, v)) for v in decoding.latent_states(df, targets, **options).filter("fold = 2").collect()}
+    edges = folds.fold_edges(df, 4, 4).filter("fold = 2")
+    own = decoding.latent_states(df, targets, edges=edges, **options).collect()
+    assert {tuple(map(str, v)) for v in own} == every and {(v["transition"], v["target_shift"]) for v in own} == {(a, b) for a in ("linear", "mlp") for b in (1, 2)}
+
+
+def test_report_is_ordered_and_says_what_it_leaves_out(spark):
+    from tracewright.operators import reports
+
+    page = reports.html_report(spark.range(5).withColumn("recommendation", F.lit("keep")).orderBy(F.desc("id")), "t", 2)
+    assert page.index("<td>0</td>") < page.index("<td>1</td>") and "<td>2</td>" not in page and "3 more rows" in page

@@ -4,7 +4,7 @@ metrics are aggregates over those rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,11 +141,15 @@ def run_decoding(
 CAUSAL = ("recording", "variant", "fold", "transition", "target_shift")
 
 
-def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, latent_dim: int = 3, shift: int | Sequence[int] = 1, n_splits: int = 5, gap: int = 14, alpha: float = 10.0, bout_quantile: float = 0.75, transitions: Sequence[str] = ("linear",), seed: int = 0, hidden: int = 16, rounds: int = 500) -> DataFrame:
+def latent_states(
+    variants: DataFrame, targets: DataFrame, window: int = 10, latent_dim: int = 3, shift: int | Sequence[int] = 1, n_splits: int = 5, gap: int = 14, alpha: float = 10.0, bout_quantile: float = 0.75,
+    transitions: Sequence[str] = ("linear",), seed: int = 0, hidden: int = 16, rounds: int = 500, edges: DataFrame | None = None,
+) -> DataFrame:
     """Test rows of the latent-state model: z of the history, z of the next one as seen and as predicted, the training mean, heads for angle,
     vigor and bout state `shift` frames ahead (each of several shifts), and vigor and angle from z alone and from z with its history.
 
-    targets(recording, time_index, angle, vigor). Everything is fitted on windows that lie in the training blocks.
+    targets(recording, time_index, angle, vigor). Everything is fitted on windows that lie in the training blocks: of equal folds of the variant
+    raw, or of edges(recording, fold, start, stop, gap). Each variant is shuffled once for each fold; shifts and transitions are loops, and transitions share a fit of the axes.
     """
     if window < 2 or latent_dim < 1 or not 0 <= bout_quantile <= 1:
         raise ValueError("window >= 2, latent_dim >= 1 and a quantile are needed")
@@ -153,17 +157,20 @@ def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, lat
         raise ValueError(f"gap {gap} is under the required {window - 1}")
     if bad := set(transitions) - {"linear", "mlp"}:
         raise ValueError(f"unknown transition models {sorted(bad)}")
-    edges = fold_edges(variants.filter("variant = 'raw'"), n_splits, gap)
-    jobs = variants.join(targets.select("recording", "time_index", "angle", "vigor"), ["recording", "time_index"]).join(edges, ["recording"]).withColumn("transition", F.explode(F.array(*map(F.lit, transitions))))
+    edges = fold_edges(variants.filter("variant = 'raw'"), n_splits, gap) if edges is None else edges.select("recording", "fold", "start", "stop", "gap")
+    jobs = variants.join(targets.select("recording", "time_index", "angle", "vigor"), ["recording", "time_index"]).join(edges, ["recording"])
     shifts = [shift] if isinstance(shift, int) else list(dict.fromkeys(shift))
-    jobs = jobs.withColumn("target_shift", F.explode(F.array(*map(F.lit, shifts))))
+    types = f"{_types(jobs, ['recording', 'variant', 'fold'])}, transition string, target_shift int"
     vector = "array<double>"
-    schema = f"{_types(jobs, CAUSAL)}, time_index int, z {vector}, z_next {vector}, z_predicted {vector}, z_mean {vector}, angle double, angle_pred double, vigor double, vigor_pred double, bout_state int, bout_pred int, bout_score double, vigor_from_z double, vigor_from_history double, angle_from_z double, angle_from_history double, converged boolean"
+    schema = f"{types}, time_index int, z {vector}, z_next {vector}, z_predicted {vector}, z_mean {vector}, angle double, angle_pred double, vigor double, vigor_pred double, bout_state int, bout_pred int, bout_score double, vigor_from_z double, vigor_from_history double, angle_from_z double, angle_from_history double, converged boolean"
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("time_index", kind="stable")
+        parts = [part for shift in shifts for part in of_shift(own, shift)]
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
+
+    def of_shift(own: pd.DataFrame, shift: int) -> Iterator[pd.DataFrame]:
         first = own.iloc[0]
-        shift = int(first["target_shift"])
         x, angle, vigor = np.stack(own["x"].to_list()), own["angle"].to_numpy(float), own["vigor"].to_numpy(float)
         n, start, stop, g = len(own), int(first["start"]), int(first["stop"]), int(first["gap"])
         frame = np.arange(n)
@@ -173,19 +180,12 @@ def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, lat
         train = t[span.all(axis=0) & train_frame[t + shift]]
         test = t[~span.any(axis=0) & test_frame[t] & test_frame[t + shift]]
         if len(train) <= latent_dim or not len(test):
-            return pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
+            return
         flat = lambda at: np.concatenate([x[at - o] for o in range(window - 2, -1, -1)], axis=1)
         mean, std = models.standardizer(flat(train))
         center, _, axes = principal_axes((flat(train) - mean) / std)
         code = lambda at: ((flat(at) - mean) / std - center) @ axes[:latent_dim].T
         z_train, z_test, ahead_train, ahead_test = code(train), code(test), code(train + 1), code(test + 1)
-        converged = True
-        if first["transition"] == "linear":
-            w, c = models.ridge(z_train, ahead_train - z_train, alpha)
-            moved = z_test + z_test @ w + c
-        else:
-            net = models.SmallNetwork(hidden, seed, rounds).fit(z_train, ahead_train - z_train)
-            moved, converged = z_test + net.predict(z_test), net.converged
         head = lambda y: (lambda m: z_test @ m[0] + m[1])(models.ridge(z_train, y[train + shift], alpha))
         bout = (vigor >= np.quantile(vigor[train + shift], bout_quantile)).astype(int)
         model = models.balanced_logistic(z_train, bout[train + shift])
@@ -194,16 +194,25 @@ def latent_states(variants: DataFrame, targets: DataFrame, window: int = 10, lat
         with_history = lambda at, z: np.concatenate([z, (flat(at) - mean) / std], axis=1)
         both = models.ridge(with_history(train, z_train), np.stack([vigor, angle], axis=1)[train + shift], alpha)
         of_history = with_history(test, z_test) @ both[0] + both[1]
-        out = {k: [first[k]] * len(test) for k in CAUSAL}
-        return pd.DataFrame(
-            out | {
-                "time_index": own["time_index"].to_numpy()[test], "z": list(z_test), "z_next": list(ahead_test), "z_predicted": list(moved), "z_mean": [ahead_train.mean(axis=0)] * len(test),
-                "angle": angle[test + shift], "angle_pred": head(angle), "vigor": vigor[test + shift], "vigor_pred": head(vigor), "bout_state": bout[test + shift], "bout_pred": state, "bout_score": score,
-                "vigor_from_z": head(vigor), "vigor_from_history": of_history[:, 0], "angle_from_z": head(angle), "angle_from_history": of_history[:, 1], "converged": converged,
-            }
-        )
-
-    return jobs.groupBy(*CAUSAL).applyInPandas(run, schema).withColumn("bout_score", F.nanvl("bout_score", F.lit(None)))
+        of_angle, of_vigor = head(angle), head(vigor)
+        for transition in transitions:
+            converged = True
+            if transition == "linear":
+                w, c = models.ridge(z_train, ahead_train - z_train, alpha)
+                moved = z_test + z_test @ w + c
+            else:
+                net = models.SmallNetwork(hidden, seed, rounds).fit(z_train, ahead_train - z_train)
+                moved, converged = z_test + net.predict(z_test), net.converged
+            yield pd.DataFrame(
+                {k: [first[k]] * len(test) for k in ("recording", "variant", "fold")} | {
+                    "transition": transition, "target_shift": shift,
+                    "time_index": own["time_index"].to_numpy()[test], "z": list(z_test), "z_next": list(ahead_test), "z_predicted": list(moved), "z_mean": [ahead_train.mean(axis=0)] * len(test),
+                    "angle": angle[test + shift], "angle_pred": of_angle, "vigor": vigor[test + shift], "vigor_pred": of_vigor, "bout_state": bout[test + shift], "bout_pred": state, "bout_score": score,
+                    "vigor_from_z": of_vigor, "vigor_from_history": of_history[:, 0], "angle_from_z": of_angle, "angle_from_history": of_history[:, 1], "converged": converged,
+                }
+            )
+
+    return jobs.groupBy("recording", "variant", "fold").applyInPandas(run, schema).withColumn("bout_score", F.nanvl("bout_score", F.lit(None)))
 
 
 def _mean_square(a: str, b: str):

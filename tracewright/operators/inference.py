@@ -15,9 +15,10 @@ MOST_UNITS = 20
 
 
 def exact_sign_flip(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Two-sided p of the mean under all sign flips of up to MOST_UNITS differences: the share of flips at least as far from 0. Null beyond."""
+    """Two-sided p of the mean under all sign flips of up to MOST_UNITS differences: the share of flips at least as far from 0. More raise an error."""
     held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_d"))
-    held = held.withColumn("_n", F.size("_d")).filter(F.col("_n") <= MOST_UNITS)
+    too_many = F.raise_error(F.lit(f"exact sign flips take {MOST_UNITS} differences at most"))
+    held = held.withColumn("_n", F.when(F.size("_d") > MOST_UNITS, too_many).otherwise(F.size("_d")))
     flips = held.withColumn("_f", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("_n")).cast("long") - 1)))
     bits = F.transform("_d", lambda x, i: F.when(F.pmod(F.floor(F.col("_f") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1, -x).otherwise(x))
     total = F.aggregate(bits, F.lit(0.0), lambda a, x: a + x)

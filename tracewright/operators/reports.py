@@ -104,8 +104,9 @@ def separated_top(scores: DataFrame, n: int, separation: int, edge: int = 0, key
 
 
 def html_report(table: DataFrame, title: str, most_rows: int = 1000) -> str:
-    """A table of at most most_rows rows as HTML, each row classed by its recommendation."""
-    rows = table.limit(most_rows).collect()
+    """A table as HTML in the order of its columns, each row classed by its recommendation; beyond most_rows it says how many rows are left out."""
+    rows = table.orderBy(*(f"`{c}`" for c in table.columns)).limit(most_rows).collect()
+    left = table.count() - len(rows) if len(rows) == most_rows else 0
     cells = lambda r, tag: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in r)
     body = "".join(f'<tr class="{html.escape(str(r["recommendation"])) if "recommendation" in table.columns else "row"}">{cells(r, "td")}</tr>' for r in rows)
-    return f"<!DOCTYPE html><html><head><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{cells(table.columns, 'th')}</tr>{body}</table></body></html>"
+    return f"<!DOCTYPE html><html><head><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{cells(table.columns, 'th')}</tr>{body}</table>{f"<p>{left} more rows</p>" if left else ""}</body></html>"

@@ -291,8 +291,8 @@ def _latent(variants: DataFrame, targets: DataFrame, edges: DataFrame, config: E
     own = variants.select(unit, "variant", "time_index", "x")
     t = targets.join(edges.select("recording", "fold"), "recording").select(unit, "time_index", "angle", "vigor")
     c = config.latent
-    rows = decoding.latent_states(own, t, c.window, c.latent_dim, c.target_shifts, config.n_splits, config.gap, c.ridge_alpha, c.bout_quantile, config.transitions, c.random_state, c.mlp_hidden_units, c.mlp_max_iter)
-    return rows.filter(F.col("fold") == F.element_at(F.split("recording", "#"), -1).cast("int"))
+    options = {"alpha": c.ridge_alpha, "bout_quantile": c.bout_quantile, "transitions": config.transitions, "seed": c.random_state, "hidden": c.mlp_hidden_units, "rounds": c.mlp_max_iter}
+    return decoding.latent_states(own, t, c.window, c.latent_dim, c.target_shifts, gap=config.gap, edges=edges.select(unit, "fold", "start", "stop", "gap"), **options)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
