@@ -62,9 +62,14 @@ def lagged_covariances(z: np.ndarray, lags: Sequence[int], segments: Sequence[in
 
 def fourth_cumulants(z: np.ndarray, most: int = 200) -> np.ndarray:
     """Cumulant matrices cum(z_a, z_b, z_c, z_d) over (c, d) of white data, one for each pair a <= b of coordinates, `most` at most."""
-    n, k = z.shape
-    pairs = np.stack(np.triu_indices(k), axis=1)[:most]
-    moments = np.einsum("nm,nc,nd->mcd", z[:, pairs[:, 0]] * z[:, pairs[:, 1]], z, z, optimize=True) / n
+    pairs = np.stack(np.triu_indices(z.shape[1]), axis=1)[:most]
+    return cumulants_of(np.einsum("nm,nc,nd->mcd", z[:, pairs[:, 0]] * z[:, pairs[:, 1]], z, z, optimize=True) / len(z))
+
+
+def cumulants_of(moments: np.ndarray) -> np.ndarray:
+    """The same from the fourth moments E[z_a z_b z_c z_d] of the first pairs a <= b."""
+    k = moments.shape[1]
+    pairs = np.stack(np.triu_indices(k), axis=1)[: len(moments)]
     unit = np.eye(k)
     of_a, of_b = unit[pairs[:, 0]], unit[pairs[:, 1]]
     gaussian = (of_a * of_b).sum(axis=1)[:, None, None] * unit + of_a[:, :, None] * of_b[:, None, :] + of_b[:, :, None] * of_a[:, None, :]

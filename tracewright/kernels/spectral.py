@@ -52,19 +52,54 @@ def butterworth_sections(cutoff: float, rate: float, order: int = 4) -> np.ndarr
     return np.array(out)
 
 
+class Lowpass:
+    """The low-pass as a linear system: state' = a state + b v, y = c state + d v, for all channels alike; blocks of frames are products of matrices."""
+
+    def __init__(self, cutoff: float, rate: float, order: int = 4, block: int = 64):
+        sections = butterworth_sections(cutoff, rate, order)
+        self.order, self.block = order, block
+
+        def moved(state: np.ndarray, v: float) -> np.ndarray:
+            after = np.empty(order)
+            for i, (b0, b1, b2, a1, a2) in enumerate(sections):
+                out = b0 * v + state[2 * i]
+                after[2 * i], after[2 * i + 1] = b1 * v - a1 * out + state[2 * i + 1], b2 * v - a2 * out
+                v = out
+            return np.append(after, v)
+
+        steps = np.stack([moved(e, 0.0) for e in np.eye(order)] + [moved(np.zeros(order), 1.0)], axis=1)
+        self.a, self.b, self.c, self.d = steps[:-1, :-1], steps[:-1, -1], steps[-1, :-1], steps[-1, -1]
+        powers = [np.eye(order)]
+        for _ in range(block):
+            powers.append(self.a @ powers[-1])
+        response = np.array([self.d, *(self.c @ p @ self.b for p in powers[:-1])])
+        back = np.arange(block)[:, None] - np.arange(block)[None, :]
+        self.of_input = np.where(back >= 0, response[np.maximum(back, 0)], 0.0)
+        self.of_state = np.stack([self.c @ p for p in powers[:-1]])
+        self.into_state = np.stack([p @ self.b for p in powers[:-1]], axis=1)  # of an input so many frames before the last
+        self.powers = powers
+
+    def power(self, n: int) -> np.ndarray:
+        """What n frames make of a state."""
+        return np.linalg.matrix_power(self.a, int(n))
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The filtered frames (time x channels) and the state after them."""
+        y, s = np.empty(x.shape), np.zeros((self.order, x.shape[1])) if state is None else state
+        for at in range(0, len(x), self.block):
+            v = x[at : at + self.block]
+            n = len(v)
+            y[at : at + n] = self.of_state[:n] @ s + self.of_input[:n, :n] @ v
+            s = self.powers[n] @ s + self.into_state[:, n - 1 :: -1][:, :n] @ v if n else s
+        return y, s
+
+
 def causal_lowpass(x: np.ndarray, cutoff: float, rate: float, segments: Sequence[int] | None = None, order: int = 4) -> np.ndarray:
     """Forward filtering that starts from rest in every segment, along the first axis."""
-    y = np.asarray(x, float).copy()
-    edges = np.concatenate([[0], np.cumsum(segments if segments is not None else [len(y)])]).astype(int)
-    for b0, b1, b2, a1, a2 in butterworth_sections(cutoff, rate, order):
-        for start, stop in zip(edges[:-1], edges[1:], strict=True):
-            s1 = s2 = np.zeros(y.shape[1:])
-            for t in range(start, stop):
-                v = y[t]
-                out = b0 * v + s1
-                s1, s2 = b1 * v - a1 * out + s2, b2 * v - a2 * out
-                y[t] = out
-    return y
+    x = np.asarray(x, float)
+    flat, low = x.reshape(len(x), -1), Lowpass(cutoff, rate, order)
+    edges = np.concatenate([[0], np.cumsum(segments if segments is not None else [len(x)])]).astype(int)
+    return np.concatenate([flat[:0], *(low.run(flat[a:b])[0] for a, b in zip(edges[:-1], edges[1:], strict=True))]).reshape(x.shape)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, tries: int = 10, rounds: int = 300) -> np.ndarray:

@@ -349,18 +349,3 @@ def project_by_fold(frames: DataFrame, kinds: Sequence[tuple[str, int, int]], ke
         return own.assign(x=list(run[kind]()))
 
     return jobs.groupBy(*keys, "variant").applyInPandas(project, f"{_types(frames, keys)}, time_index int, role string, x {_VECTOR}, variant string")
-
-
-def lowpass_by_fold(frames: DataFrame, cutoffs: Sequence[float], rate: float, keys: Sequence[str] = ("recording", "fold")) -> DataFrame:
-    """Causal low-pass variants; the state starts anew in every run of frames of one side (train or not)."""
-    names = {f"causal_lowpass/{c:g}hz": c for c in cutoffs}
-    jobs = frames.select(*keys, "time_index", "role", "x").withColumn("variant", F.explode(F.array(*map(F.lit, names))))
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("time_index", kind="stable")
-        t, side = own["time_index"].to_numpy(), (own["role"] == "train").to_numpy()
-        cut = np.flatnonzero((np.diff(t) != 1) | (side[1:] != side[:-1])) + 1
-        segments = np.diff(np.concatenate([[0], cut, [len(t)]]))
-        return own.assign(x=list(spectral.causal_lowpass(np.stack(own["x"].to_list()), names[own["variant"].iloc[0]], rate, segments)))
-
-    return jobs.groupBy(*keys, "variant").applyInPandas(run, f"{_types(frames, keys)}, time_index int, role string, x {_VECTOR}, variant string")

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bss, decoding, folds, graphs, inference, lagged, metrics, preprocess, quality
+from ..operators import bss, chunked, decoding, folds, graphs, inference, lagged, metrics, preprocess, quality
 from ..scratch import saved
 from ..sources.panels import long_form
 
@@ -199,7 +199,7 @@ def fold_variants(frames: DataFrame, roles: DataFrame, config: EvaluationConfig)
         if wanted:
             parts.append(bss.project_by_fold(rows, wanted, KEYS).withColumn("family", F.lit(family)).select(*pick))
     if config.lowpass_cutoffs_hz:
-        parts.append(bss.lowpass_by_fold(rows, config.lowpass_cutoffs_hz, config.sample_rate_hz, KEYS).withColumn("family", F.lit("baseline")).select(*pick))
+        parts.append(chunked.lowpass(rows, config.lowpass_cutoffs_hz, config.sample_rate_hz, KEYS).withColumn("family", F.lit("baseline")).select(*pick))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pearson, rounded as r6
-from ..operators import bss, folds, graphs, quality
+from ..operators import bss, chunked, folds, graphs, quality
 from ..scratch import saved
 from ..sources.panels import frames, table, traces
 from .metrics import _rounded
@@ -349,18 +349,74 @@ def baseline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = folds.strict_folds(w, 2, 6).select("recording", "fold", "time_index", "role")
     rows = w.join(roles, ["recording", "time_index"])
     kinds = [("pca", 8, 0), ("random_subspace", 8, 0), ("factor_analysis", 8, 0), ("sparse_pca", 8, 0), ("nmf", 8, 0)]
-    both = bss.project_by_fold(rows, kinds).unionByName(bss.lowpass_by_fold(rows, (0.2, 0.4), 4.0))
+    both = bss.project_by_fold(rows, kinds).unionByName(chunked.lowpass(rows, (0.2, 0.4), 4.0))
     return both.groupBy("recording", "fold", "variant", "role").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), 4).alias("energy"))
 
 
+def lowpass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 32 frames; the side changes at frame 100 and frame 180 is missing, so the state starts anew there."""
+    rows = frames(spark, sf_dir).filter("time_index <> 180").select("recording", "time_index", "x", F.when(F.col("time_index") < 100, "train").otherwise("test").alias("role"))
+    low = chunked.lowpass(rows, (0.3,), 4.0, ("recording",), chunk=32)
+    return _rounded(low.select("recording", "time_index", F.posexplode("x").alias("neuron", "value")), "recording", "time_index", "neuron")
+
+
+#: The filter step by step: two sections of second order with the states p and q.
+LOWPASS = f"""WITH RECURSIVE {LONG},
+f AS (SELECT recording, neuron, time_index, value AS v, CASE WHEN time_index < 100 THEN 0 WHEN time_index < 180 THEN 1 ELSE 2 END AS run FROM traces WHERE time_index <> 180),
+g AS (SELECT *, row_number() OVER (PARTITION BY recording, neuron, run ORDER BY time_index) AS n FROM f),
+w AS (SELECT 8.0 AS k, 8 * tan(pi() * 0.3 / 4) AS w, -2 * cos(pi() * 5 / 8) AS d0, -2 * cos(pi() * 7 / 8) AS d1),
+c AS (
+ SELECT w * w / (k * k + d0 * w * k + w * w) AS b, (2 * w * w - 2 * k * k) / (k * k + d0 * w * k + w * w) AS a1, (k * k - d0 * w * k + w * w) / (k * k + d0 * w * k + w * w) AS a2,
+  w * w / (k * k + d1 * w * k + w * w) AS e, (2 * w * w - 2 * k * k) / (k * k + d1 * w * k + w * w) AS h1, (k * k - d1 * w * k + w * w) / (k * k + d1 * w * k + w * w) AS h2
+ FROM w),
+s AS (
+ SELECT DISTINCT recording, neuron, run, CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS time_index, CAST(0 AS DOUBLE) AS p1, CAST(0 AS DOUBLE) AS p2, CAST(0 AS DOUBLE) AS q1, CAST(0 AS DOUBLE) AS q2, CAST(0 AS DOUBLE) AS y FROM g
+ UNION ALL
+ SELECT g.recording, g.neuron, g.run, g.n, g.time_index, 2 * b * v - a1 * (b * v + p1) + p2, b * v - a2 * (b * v + p1),
+  2 * e * (b * v + p1) - h1 * (e * (b * v + p1) + q1) + q2, e * (b * v + p1) - h2 * (e * (b * v + p1) + q1), e * (b * v + p1) + q1
+ FROM s JOIN g ON g.recording = s.recording AND g.neuron = s.neuron AND g.run = s.run AND g.n = s.n + 1, c)
+SELECT recording, time_index, neuron, round(y, 6) + 0.0 AS value FROM s WHERE n > 0"""
+
+
+def whitening_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariance that the whitening of all coordinates stands for: the inverse of its map's square."""
+    import numpy as np
+    import pandas as pd
+
+    white = chunked.whitening(chunked.blocks(frames(spark, sf_dir), chunk=64), 64)
+
+    def squared(batches):
+        for batch in batches:
+            for own in batch.to_dict("records"):
+                w = np.frombuffer(own["white"]).reshape(64, 64)
+                c = np.linalg.inv(w.T @ w)
+                i, j = np.triu_indices(64)
+                yield pd.DataFrame({"recording": own["recording"], "i": i, "j": j, "covariance": c[i, j]})
+
+    return _rounded(white.mapInPandas(squared, "recording int, i int, j int, covariance double"), "recording", "i", "j")
+
+
+WHITENING = f"WITH {LONG} SELECT a.recording, a.neuron AS i, b.neuron AS j, round(covar_samp(a.value, b.value), 6) + 0.0 AS covariance FROM traces a JOIN traces b USING (recording, time_index) WHERE a.neuron <= b.neuron GROUP BY 1, 2, 3"
+
+
+def fits_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method with 6 components over chunks of 64 frames: whether it converged, and each component's share of the energy mixed in."""
+    parts = [chunked.fit_by_chunks(frames(spark, sf_dir), m, 6, tol=1e-3, rounds=200, chunk=64).withColumn("method", F.lit(m)) for m in ("fastica", "infomax", "sobi", "jade")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    mixed = F.aggregate("mixing", F.lit(0.0), lambda a, v: a + v * v)
+    return _rounded(out.select("recording", "method", "component", mixed.alias("mixed_energy"), "converged"), "recording", "method", "component", "converged")
+
+
 QUERIES = {
     "reconstruct": reconstruction, "cluster_ranking": cluster_ranking, "component_selection": component_selection, "temporal_features": temporal_features, "loading_features": loading_features,
     "behavior_features": behavior_features, "component_scores": component_scores, "removal_validation": removal_validation, "graph_edge_counts": graph_edge_counts, "graph_instability": graph_instability,
     "graph_recovery": graph_recovery, "graph_significance": graph_significance, "explained_variance": explained_variance, "bss_round_trip": bss_round_trip, "component_spectra": component_spectra,
     "spectral_clusters": spectral_clusters, "cluster_stability": cluster_stability, "labeling_stability": labeling_stability, "energy_shares": energy_shares, "baseline_variants": baseline_variants,
+    "lowpass_scan": lowpass_scan, "whitening_by_chunks": whitening_by_chunks, "fits_by_chunks": fits_by_chunks,
 }
 ORACLES = {
     "reconstruct": RECONSTRUCTION, "cluster_ranking": CLUSTER_RANKING, "component_selection": COMPONENT_SELECTION, "temporal_features": TEMPORAL, "loading_features": LOADING, "behavior_features": BEHAVIOR,
     "component_scores": SCORES, "removal_validation": REMOVAL, "graph_edge_counts": EDGE_COUNTS, "graph_instability": INSTABILITY, "graph_recovery": RECOVERY, "graph_significance": SIGNIFICANCE,
     "explained_variance": EXPLAINED, "bss_round_trip": ROUND_TRIP, "labeling_stability": LABELINGS, "energy_shares": ENERGY_SHARES,
+    "lowpass_scan": LOWPASS, "whitening_by_chunks": WHITENING,
 }
