@@ -18,7 +18,8 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, weight: str, spread: st
     values = [c for c in groups.columns if c != key]
     hot = groups.orderBy(F.col(weight).desc(), F.col(key)).limit(most_hot)
     near = F.broadcast(hot.select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values)))
-    cold = groups.join(F.broadcast(hot.select(key)), key, "left_anti").select(F.concat(F.lit("="), key).alias("_meet"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    # a heavy key's own row stays among these, where none of its rows goes
+    cold = groups.select(F.concat(F.lit("="), key).alias("_meet"), *(F.col(c).alias(f"_cold_{c}") for c in values))
     dealt = F.when(F.col("_hot"), F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))).otherwise(F.concat(F.lit("="), key))
     met = rows.join(near, key, "left").withColumn("_meet", dealt).join(cold, "_meet", "left")
     return met.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))

@@ -307,15 +307,18 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
 
     with_sets = saved(found.select("c", "copies", "large", "text").mapInArrow(sets, "c long, copies long, first array<long>, set binary"), "sets")
 
-    in_shingles = members.filter(F.col("size") > block_classes).join(with_sets.select("c", "first").hint("merge"), "c").select("c", "root", "size", F.explode("first").alias("shingle"))
-    shared_by = saved(in_shingles.groupBy("root", "size", "shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-shingles")
-    apart = shared_by.groupBy("root", "size").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1)).alias("pairs")).filter(F.col("pairs") * 2 < F.col("size").cast("double") * (F.col("size") - 1))
-    apart = saved(apart.select("root", "size", F.lit(True).alias("apart")), "apart")
-    flagged = lambda rows, spread: lookup(rows, apart.select("root", "apart", F.col("size").alias("_size")), "root", "_size", spread).drop("_size")
-    whole = flagged(members, "c").filter("apart IS NULL").select("c", "root", F.lit(None).cast("long").alias("shingle"), "size")
-    both = F.concat_ws(":", "root", "shingle").alias("_both")
-    each = lookup(flagged(in_shingles, "c").filter("apart").select("c", "root", "shingle", both), shared_by.select(both, "m"), "_both", "m", "c")
-    units = whole.unionByName(each.filter("m > 1").select("c", "root", "shingle", F.col("m").alias("size")))
+    units = members.select("c", "root", F.lit(None).cast("long").alias("shingle"), "size")
+    if not sizes.filter(F.col("size") > block_classes).isEmpty():
+        in_shingles = members.filter(F.col("size") > block_classes).join(with_sets.select("c", "first").hint("merge"), "c").select("c", "root", "size", F.explode("first").alias("shingle"))
+        shared_by = in_shingles.groupBy("root", "size", "shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        shared_by = saved(shared_by, "shared-shingles")
+        apart = shared_by.groupBy("root", "size").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1)).alias("pairs")).filter(F.col("pairs") * 2 < F.col("size").cast("double") * (F.col("size") - 1))
+        apart = saved(apart.select("root", "size", F.lit(True).alias("apart")), "apart")
+        if not apart.isEmpty():
+            flagged = lambda rows: lookup(rows, apart.select("root", "apart", F.col("size").alias("_size")), "root", "_size", "c").drop("_size")
+            both = F.concat_ws(":", "root", "shingle").alias("_both")
+            each = lookup(flagged(in_shingles).filter("apart").select("c", "root", "shingle", both), shared_by.select(both, "m"), "_both", "m", "c")
+            units = flagged(units).filter("apart IS NULL").drop("apart").unionByName(each.filter("m > 1").select("c", "root", "shingle", F.col("m").alias("size")))
     blocks = F.when(F.col("size") <= block_classes, 1).otherwise(F.greatest(F.least(F.ceil(F.col("size") / block_classes), F.lit(24)), F.ceil(F.col("size") / widest_block))).cast("int")
     units = units.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c", "root", "shingle"), F.col("blocks")).cast("int"))
 
