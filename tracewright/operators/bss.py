@@ -6,7 +6,7 @@ length. Training rows are chosen by the caller below the fit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,16 @@ def _types(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
 
+def _nothing(columns: Iterable[str]) -> pd.DataFrame:
+    """No rows, in columns that convert to any type."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
+def _names(schema: str) -> list[str]:
+    """The columns of a schema of simple types."""
+    return [c.split()[0].strip("`") for c in schema.split(", ")]
+
+
 #: The methods that a PCA rank or share of variance reduces.
 REDUCED = ("sobi", "jade")
 

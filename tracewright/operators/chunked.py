@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import bss, spectral
 from ..scratch import forget, saved, written
-from .bss import _types
+from .bss import _nothing, _types
 from .lagged import CHUNK, REC, lagged_products, square, with_halo
 
 _MODEL = "component int, unmixing array<double>, mixing array<double>, mean array<double>, energy double, rounds int, converged boolean"
@@ -292,7 +292,7 @@ def lowpass(frames: DataFrame, cutoffs: Sequence[float], rate: float, keys: Sequ
     def ends(own: pd.DataFrame) -> pd.DataFrame:
         kept, starts, goes_on = parts(own)
         if not len(kept):
-            return pd.DataFrame({c: [] for c in (*keys, "_chunk", "filter", "through", "goes_on", "n", "state")})
+            return _nothing([*keys, "_chunk", "filter", "through", "goes_on", "n", "state"])
         x = np.stack(kept["x"].to_list()[starts[-1] :]).astype(float)
         states = [spectral.Lowpass(c, rate).run(x)[1].tobytes() for c in cutoffs]
         same = {k: [own[k].iloc[0]] * len(states) for k in (*keys, "_chunk")}
@@ -324,7 +324,7 @@ def lowpass(frames: DataFrame, cutoffs: Sequence[float], rate: float, keys: Sequ
                 first = np.frombuffer(r.state).reshape(low.order, -1)
                 y = np.concatenate([low.run(x[a:b], first if a == 0 else None)[0] for a, b in zip(edges, edges[1:], strict=False)])
                 out.append(kept.assign(x=list(y), variant=names[r.filter])[[*keys, "time_index", side, "x", "variant"]])
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*keys, "time_index", side, "x", "variant")})
+        return pd.concat(out) if out else _nothing([*keys, "time_index", side, "x", "variant"])
 
     both = rows.groupBy(*keys, "_chunk").cogroup(entries.groupBy(*keys, "_chunk"))
     return both.applyInPandas(final, f"{_types(frames, [*keys, 'time_index', side])}, x array<double>, variant string")

@@ -16,7 +16,7 @@ from ..functions.numeric import pearson, r_squared, rmse, safe_divide
 from ..kernels import models
 from ..kernels.bss import principal_axes
 from ..kernels.draws import null_order
-from .bss import _types
+from .bss import _names, _nothing, _types
 from .folds import fold_edges
 from .metrics import classification_metrics, regression_metrics
 
@@ -167,7 +167,7 @@ def latent_states(
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("time_index", kind="stable")
         parts = [part for shift in shifts for part in of_shift(own, shift)]
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
+        return pd.concat(parts) if parts else _nothing(_names(schema))
 
     def of_shift(own: pd.DataFrame, shift: int) -> Iterator[pd.DataFrame]:
         first = own.iloc[0]

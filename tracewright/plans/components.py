@@ -284,6 +284,31 @@ def component_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(f, "recording", "component")
 
 
+def welch_sql(source: str, keys: str, rate: float, nperseg: int, step: int) -> str:
+    """CTEs ending in spectra(keys, bin, power, frequency) of source(keys, time_index, value): Hann windows of nperseg frames, each step frames apart,
+    less their mean, as sums of products with cosines and sines; series of one run of nperseg frames or more.
+    """
+    return f"""windows AS (
+ SELECT {keys}, w.start, time_index - w.start AS i, value FROM {source}, (SELECT CAST(unnest(range(0, 100000, {step})) AS INTEGER) AS start) w
+ WHERE time_index >= w.start AND time_index < w.start + {nperseg}
+ QUALIFY count(*) OVER (PARTITION BY {keys}, w.start) = {nperseg}),
+tapered AS (SELECT {keys}, start, i, (value - avg(value) OVER (PARTITION BY {keys}, start)) * (0.5 - 0.5 * cos(2 * pi() * i / {nperseg})) AS v FROM windows),
+waves AS (SELECT i, k, cos(2 * pi() * ((i * k) % {nperseg}) / {nperseg}) AS c, sin(2 * pi() * ((i * k) % {nperseg}) / {nperseg}) AS s FROM (SELECT unnest(range({nperseg})) AS i), (SELECT unnest(range({nperseg // 2 + 1})) AS k)),
+parts AS (SELECT {keys}, start, k AS bin, sum(v * c) ** 2 + sum(v * s) ** 2 AS p FROM tapered JOIN waves USING (i) GROUP BY {keys}, start, k),
+spectra AS (
+ SELECT {keys}, bin, bin * {rate} / {nperseg} AS frequency, avg(p) / ({rate} * {nperseg} * 0.375) * CASE WHEN bin IN (0, {nperseg // 2}) THEN 1 ELSE 2 END AS power
+ FROM parts GROUP BY {keys}, bin)"""
+
+
+SPECTRA = f"""WITH {LONG}, {welch_sql("traces", "recording, neuron", 4.0, 64, 32)},
+t AS (SELECT recording, neuron, CASE WHEN sum(power) > 0 THEN sum(power) ELSE 2.220446049250313e-16 END AS total, count(*) AS n FROM spectra GROUP BY 1, 2)
+SELECT recording, neuron AS component, round(any_value(total), 6) + 0.0 AS spectral_total_power, round(max_by(frequency, struct_pack(p := power, i := -bin)), 6) + 0.0 AS peak_freq_hz,
+ round(coalesce(sum(power / total) FILTER (frequency <= 0.5), 0), 6) + 0.0 AS low_freq_power_ratio, round(coalesce(sum(power / total) FILTER (frequency >= 1.5), 0), 6) + 0.0 AS high_freq_power_ratio,
+ round(-sum(power / total * log2(greatest(power / total, 2.220446049250313e-16))) / log2(greatest(any_value(n), 2)), 6) + 0.0 AS spectral_entropy,
+ round(max(power) / greatest(median(power), 2.220446049250313e-16), 6) + 0.0 AS narrowband_ratio
+FROM spectra JOIN t USING (recording, neuron) GROUP BY 1, 2"""
+
+
 def spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bss.welch_spectra(_series(spark, sf_dir), 4.0, 64, 32)
     return bss.rank_clusters(bss.cluster_components(s, 5), 4.0, 0.0, 0.5, "peak")
@@ -418,5 +443,5 @@ ORACLES = {
     "reconstruct": RECONSTRUCTION, "cluster_ranking": CLUSTER_RANKING, "component_selection": COMPONENT_SELECTION, "temporal_features": TEMPORAL, "loading_features": LOADING, "behavior_features": BEHAVIOR,
     "component_scores": SCORES, "removal_validation": REMOVAL, "graph_edge_counts": EDGE_COUNTS, "graph_instability": INSTABILITY, "graph_recovery": RECOVERY, "graph_significance": SIGNIFICANCE,
     "explained_variance": EXPLAINED, "bss_round_trip": ROUND_TRIP, "labeling_stability": LABELINGS, "energy_shares": ENERGY_SHARES,
-    "lowpass_scan": LOWPASS, "whitening_by_chunks": WHITENING,
+    "component_spectra": SPECTRA, "lowpass_scan": LOWPASS, "whitening_by_chunks": WHITENING,
 }

@@ -69,6 +69,18 @@ def probe_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.separated_top(_rounded(reports.probe_scores(frames(spark, sf_dir)), "recording", "time_index"), 5, 20, 6)
 
 
+#: The highest frame that keeps its distance, time after time.
+CENTERS = f"""{PROBES.replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT recording, time_index", 1)[0].rstrip()},
+scores AS (SELECT recording, time_index{PROBES.rsplit("SELECT recording, time_index", 1)[1]}),
+inner_frames AS (SELECT *, max(time_index) OVER (PARTITION BY recording) AS last FROM scores QUALIFY time_index BETWEEN 6 AND last - 6),
+picked AS (
+ SELECT DISTINCT recording, 0 AS k, CAST([] AS INTEGER[]) AS chosen FROM scores
+ UNION ALL
+ SELECT p.recording, p.k + 1, list_append(p.chosen, max_by(f.time_index, struct_pack(s := f.score, t := -f.time_index)))
+ FROM picked p JOIN inner_frames f ON f.recording = p.recording AND len(list_filter(p.chosen, lambda c: abs(c - f.time_index) < 20)) = 0 WHERE p.k < 5 GROUP BY p.recording, p.k, p.chosen)
+SELECT recording, time_index, score FROM scores SEMI JOIN (SELECT recording, unnest(chosen) AS time_index FROM picked) USING (recording, time_index)"""
+
+
 def edge_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge marks by order priority: directed ones only, over all lags."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -87,4 +99,4 @@ def variant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANT_ORDER = "SELECT DISTINCT p_type AS variant, CAST(CASE WHEN p_type = 'ECONOMY' THEN -1 WHEN contains(p_type, 'PROMO') THEN 0 WHEN contains(p_type, 'STANDARD') THEN 1 ELSE 2 END AS INTEGER) AS variant_order FROM part"
 
 QUERIES = {"bpi_component_scores": bpi_components, "preservation_scorecard": scorecard, "primary_unit_effects": unit_effects, "probe_scores": probe_scores, "probe_centers": probe_centers, "edge_marks": edge_marks, "variant_order": variant_order}
-ORACLES = {"bpi_component_scores": COMPONENTS, "preservation_scorecard": SCORECARD, "primary_unit_effects": UNIT_EFFECTS, "probe_scores": PROBES, "edge_marks": EDGE_MARKS, "variant_order": VARIANT_ORDER}
+ORACLES = {"bpi_component_scores": COMPONENTS, "preservation_scorecard": SCORECARD, "primary_unit_effects": UNIT_EFFECTS, "probe_scores": PROBES, "probe_centers": CENTERS, "edge_marks": EDGE_MARKS, "variant_order": VARIANT_ORDER}
