@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pearson, rounded as r6
 from ..operators import bss, chunked, folds, graphs, quality
-from ..scratch import saved
+from ..scratch import new_path, saved
+from ..sources import runs
 from ..sources.panels import frames, table, traces
 from .metrics import _rounded
 from .preprocess import LONG, WIDE
@@ -432,16 +433,27 @@ def fits_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("recording", "method", "component", mixed.alias("mixed_energy"), "converged"), "recording", "method", "component", "converged")
 
 
+def reloaded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decomposition with known mixing, saved as a run, loaded again and put together from what was loaded."""
+    comps, mixing, means = _mixed(spark, sf_dir)
+    root = new_path(spark, "runs")
+    runs.save_run({"components": comps, "mixing": mixing.filter("component < 8"), "means": means}, root, "known", {"components": 8})
+    back = runs.load_run(spark, root, "known", ["components", "mixing", "means"])
+    return _rounded(bss.reconstruct(back["components"], back["mixing"], back["means"]), "recording", "time_index", "neuron")
+
+
+RELOADED = RECONSTRUCTION.replace("component NOT IN (2, 5)", "component < 8")
+
 QUERIES = {
     "reconstruct": reconstruction, "cluster_ranking": cluster_ranking, "component_selection": component_selection, "temporal_features": temporal_features, "loading_features": loading_features,
     "behavior_features": behavior_features, "component_scores": component_scores, "removal_validation": removal_validation, "graph_edge_counts": graph_edge_counts, "graph_instability": graph_instability,
     "graph_recovery": graph_recovery, "graph_significance": graph_significance, "explained_variance": explained_variance, "bss_round_trip": bss_round_trip, "component_spectra": component_spectra,
     "spectral_clusters": spectral_clusters, "cluster_stability": cluster_stability, "labeling_stability": labeling_stability, "energy_shares": energy_shares, "baseline_variants": baseline_variants,
-    "lowpass_scan": lowpass_scan, "whitening_by_chunks": whitening_by_chunks, "fits_by_chunks": fits_by_chunks,
+    "lowpass_scan": lowpass_scan, "whitening_by_chunks": whitening_by_chunks, "fits_by_chunks": fits_by_chunks, "reloaded_run": reloaded_run,
 }
 ORACLES = {
     "reconstruct": RECONSTRUCTION, "cluster_ranking": CLUSTER_RANKING, "component_selection": COMPONENT_SELECTION, "temporal_features": TEMPORAL, "loading_features": LOADING, "behavior_features": BEHAVIOR,
     "component_scores": SCORES, "removal_validation": REMOVAL, "graph_edge_counts": EDGE_COUNTS, "graph_instability": INSTABILITY, "graph_recovery": RECOVERY, "graph_significance": SIGNIFICANCE,
     "explained_variance": EXPLAINED, "bss_round_trip": ROUND_TRIP, "labeling_stability": LABELINGS, "energy_shares": ENERGY_SHARES,
-    "component_spectra": SPECTRA, "lowpass_scan": LOWPASS, "whitening_by_chunks": WHITENING,
+    "component_spectra": SPECTRA, "lowpass_scan": LOWPASS, "reloaded_run": RELOADED, "whitening_by_chunks": WHITENING,
 }

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import read_frames
+
 SAFE = re.compile(r"[^A-Za-z0-9_.-]+")
 
 
@@ -47,26 +47,11 @@ def variant_name(path: Column, root: str) -> Column:
     return F.array_join(F.filter(F.split(below, "/"), lambda p: ~p.isin("cleaned", "cleaned_variants")), "/")
 
 
-def npy_array(content: bytes) -> np.ndarray:
-    """A .npy array of numbers; object arrays are refused."""
-    from io import BytesIO
-
-    return np.load(BytesIO(content), allow_pickle=False)
-
-
 def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
-    """2-D arrays (neurons by frames) of all files as path, time_index, x."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                a = npy_array(content)
-                if a.ndim != 2:
-                    raise ValueError(f"{path}: an array of {a.ndim} dimensions")
-                yield pd.DataFrame({"path": path, "time_index": np.arange(a.shape[1], dtype=np.int32), "x": list(a.T.astype(float))})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return files.mapInPandas(rows, "path string, time_index int, x array<double>")
+    """2-D arrays (neurons by frames) of all files below path as path, time_index, x; files of any size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path")
+    found = read_frames(spark, sorted(r["path"] for r in files.collect()), "neurons_by_frames")  # a row for each file
+    return found.withColumn("time_index", F.col("time_index").cast("int"))
 
 
 #: Fixed value: the key under which analysis-info files hold their sample rate.
