@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import median, pearson, positive_ratio, quantile, r_squared, rmse, safe_divide
-from .preprocess import moving_average, require_columns
+from .preprocess import interpolate_window, moving_average, require_columns
 
 REC = ("recording",)
 
@@ -207,6 +207,17 @@ def artifact_distortion(paired: DataFrame, centers: DataFrame, half_width: int,
     return met.groupBy(*keys, "variant", "center", "neuron").agg(F.avg(F.when(t <= half_width, F.col("_d"))).alias("near"), F.avg(F.when(t > guard, F.col("_d"))).alias("far")).withColumn("near_far_ratio", safe_divide("near", "far"))
 
 
+def pseudo_artifact_error(paired: DataFrame, centers: DataFrame, half_width: int, reference: str = "raw", keys: Sequence[str] = REC) -> DataFrame:
+    """RMSE to the reference over all neurons within half_width of each center(keys, center), of each variant and of `interpolation`, a line through
+    the frames just outside; that has no row for a center without both of them.
+    """
+    near = paired.join(centers, list(keys)).filter(F.abs(F.col("time_index") - F.col("center")) <= half_width).select(*keys, "center", "variant", "value", "raw")
+    own = paired.filter(F.col("variant") == reference).select(*keys, "time_index", "neuron", F.col("raw").alias("value"))
+    line = interpolate_window(own, centers, half_width, keys).filter("interpolated IS NOT NULL")
+    rows = near.unionByName(line.select(*keys, "center", F.lit("interpolation").alias("variant"), F.col("interpolated").alias("value"), F.col("value").alias("raw")))
+    return rows.groupBy(*keys, "center", "variant").agg(rmse("raw", "value").alias("rmse"))
+
+
 def representative_neurons(paired: DataFrame, n: int = 12, reference: str = "raw", keys: Sequence[str] = REC) -> DataFrame:
     """The n neurons of each recording with the largest z(reference deviation) + z(mean absolute change); ties to the smaller number."""
     per = paired.groupBy(*keys, "neuron").agg(F.stddev_pop(F.when(F.col("variant") == reference, F.col("raw"))).alias("_s"), F.avg(F.when(F.col("variant") != reference, F.abs(F.col("value") - F.col("raw")))).alias("_d"))

@@ -281,7 +281,8 @@ def run_evaluation(frames: DataFrame, targets: DataFrame, config: EvaluationConf
     if config.artifact_probe_centers:
         centers = edges.withColumn("center", F.explode(F.array(*map(F.lit, config.artifact_probe_centers))))
         inside = centers.filter((F.col("center") >= F.col("start") + config.artifact_probe_half_width + 1) & (F.col("center") < F.col("stop") - config.artifact_probe_half_width - 1)).select(*KEYS, "center")
-        out["artifact_probes"] = metrics.artifact_distortion(paired, inside, config.artifact_probe_half_width, 3 * config.artifact_probe_half_width, KEYS)
+        out["artifact_probes"] = metrics.pseudo_artifact_error(paired, inside, config.artifact_probe_half_width, keys=KEYS)
+        out["artifact_distortion"] = metrics.artifact_distortion(paired, inside, config.artifact_probe_half_width, 3 * config.artifact_probe_half_width, KEYS)
     return out
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded as r6
 from ..operators import inference, metrics as m, setops
-from ..operators.preprocess import interpolate_window
 from ..sources.panels import frames, table, traces
 from .preprocess import LONG, WIDE, moving_average_sql
 
@@ -238,10 +237,7 @@ SELECT recording, variant, center, neuron, round(near, 6) + 0.0 AS near, round(f
 def pseudo_artifact_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RMSE to raw, about made-up artifacts, of each variant and of plain interpolation."""
     centers = frames(spark, sf_dir).select("recording").distinct().withColumn("center", F.explode(F.array(F.lit(40), F.lit(150))))
-    by_line = interpolate_window(traces(spark, sf_dir), centers, 2).select("recording", "center", F.lit("interpolation").alias("variant"), F.col("interpolated").alias("v"), F.col("value").alias("raw"))
-    near = _paired(spark, sf_dir).join(centers, ["recording"]).filter(F.abs(F.col("time_index") - F.col("center")) <= 2)
-    rows = near.select("recording", "center", "variant", F.col("value").alias("v"), "raw").unionByName(by_line)
-    return rows.groupBy("recording", "center", "variant").agg(r6(F.sqrt(F.avg((F.col("v") - F.col("raw")) * (F.col("v") - F.col("raw"))))).alias("rmse"))
+    return _rounded(m.pseudo_artifact_error(_paired(spark, sf_dir), centers, 2), "recording", "center", "variant")
 
 
 PSEUDO = f"""WITH {VARIANTS}, c AS (SELECT * FROM (VALUES (40), (150)) c(center)), n AS (SELECT recording, center, variant, value AS v, raw FROM paired, c WHERE abs(time_index - center) <= 2),
