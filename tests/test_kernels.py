@@ -143,3 +143,20 @@ def test_null_orders_keep_blocks_and_shifts():
     draws = hashed(400, 50, 7)
     assert abs((draws & np.uint64(1)).mean() - 0.5) < 0.02 and abs((draws % np.uint64(50)).mean() - 24.5) < 0.5
     assert len(np.unique(draws)) > 19_990
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 8])
+def test_every_pair_meets_once_and_rounds_are_disjoint(k):
+    met = [tuple(pair) for p, q in bss.pairings(k) for pair in zip(p.tolist(), q.tolist(), strict=True)]
+    assert sorted(met) == [(a, b) for a in range(k) for b in range(a + 1, k)]
+    assert all(len(set(p) | set(q)) == 2 * len(p) for p, q in bss.pairings(k))
+
+
+def test_matrices_of_one_basis_become_diagonal():
+    r = np.random.default_rng(3)
+    basis = np.linalg.qr(r.normal(size=(7, 7)))[0]
+    matrices = np.stack([basis @ np.diag(r.normal(size=7)) @ basis.T for _ in range(5)])
+    turn, _, ok = bss.joint_rotation(matrices, 1e-10, 100)
+    assert ok and np.allclose(turn.T @ turn, np.eye(7))
+    left = turn.T @ matrices @ turn
+    assert np.abs(left - np.stack([np.diag(np.diag(m)) for m in left])).max() < 1e-8
