@@ -40,10 +40,11 @@ def main(args: list[str] | None = None) -> int:
     if a.recording and a.all_datasets:
         raise ValueError("give --recording or --all-datasets, not both")
     if a.recording:
-        frames = frames.filter(F.col("recording").cast("string").isin(a.recording))
-        known = {r[0] for r in frames.select(F.col("recording").cast("string")).distinct().collect()}
-        if unknown := sorted(set(a.recording) - known):
-            raise KeyError(f"unknown recordings: {unknown}")
+        all_frames, frames = frames, frames.filter(F.col("recording").cast("string").isin(a.recording))
+        found = {r[0] for r in frames.select(F.col("recording").cast("string")).distinct().collect()}
+        if unknown := sorted(set(a.recording) - found):
+            known = [r[0] for r in all_frames.select(F.col("recording").cast("string").alias("r")).distinct().orderBy("r").limit(100).collect()]
+            raise KeyError(f"unknown recordings: {unknown}; there are {known}")
     rate = {"sample_rate_hz": a.sample_rate} if a.sample_rate else {}
     config = EvaluationConfig.from_json(a.config, **rate) if a.config else EvaluationConfig(**rate)
     tables = run_evaluation(frames, targets, config)
