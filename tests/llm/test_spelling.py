@@ -91,3 +91,11 @@ def test_pairs_of_random_words_come_once(spark):
 def test_mask_holds_letters_of_odd_counts(spark, word):
     mask = spark.range(1).select(parity_mask(F.lit(word))).first()[0]
     assert bin(mask).count("1") == sum(n % 2 for n in Counter(word).values())
+
+
+def test_joins_are_never_broadcast(spark):
+    words = spark.createDataFrame([("winter", 9), ("winters", 5)], "word string, n long")
+    docs = spark.createDataFrame([(i, "winter winters") for i in range(9)], "doc_id long, text string")
+    for df in (near_pairs(words), spelling_variants(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -11,7 +11,8 @@ comes from the first band and half that it shares, so no pair comes twice and no
 
 Words are counted over whole texts by one aggregation. Bits are dealt to the bands in turns by how common letters are (`LETTERS`), which only
 evens out the bands. Roots follow by doubling: every word's chain of forms grows by a factor of `ratio` in n at each step, so its length is at
-most the logarithm of the largest n, and half as many joins as its bits are enough, each written to the shared folder.
+most the logarithm of the largest n, and half as many joins as its bits are enough, each written to the shared folder. Every join is by shuffle:
+words are small as files but many as rows, so a broadcast of them would go through the driver.
 
 Null texts have no words, empty ones neither; repeated rows count as often as they come in; a null id counts as an empty one. Ties of n go to the word that
 comes first by code points. An empty table gives an empty result; other columns play no part.
@@ -81,7 +82,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     met = equal[0]
     for c in (*equal[1:], once, flips, first_band, first_half, F.levenshtein("a", "b_word", 1) == 1):
         met = met & c
-    return short.alias("s").join(long.alias("l"), met).select("a", F.col("b_word").alias("b"), "a_n", "b_n")
+    return short.alias("s").hint("merge").join(long.alias("l"), met).select("a", F.col("b_word").alias("b"), "a_n", "b_n")
 
 
 def spelling_variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 6, least: int = 5, damage: int = 199, ratio: int = 5) -> DataFrame:
@@ -90,7 +91,7 @@ def spelling_variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     pairs = saved(near_pairs(words), "near-words")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), F.col("near")))
-    near = words.join(both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best")), "word", "left")
+    near = words.hint("merge").join(both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best")), "word", "left")
     found = F.col("best.near_n") >= ratio * F.col("n")
     table = saved(near.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(found, F.col("best.near")).alias("form"), F.when(found, F.col("best.near_n")).alias("form_n")), "forms")
     largest = table.agg(F.max("n")).first()[0] or 1
@@ -98,8 +99,8 @@ def spelling_variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     roots = table.filter(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        roots = saved(roots.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
-    return table.join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+        roots = saved(roots.hint("merge").join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+    return table.hint("merge").join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
