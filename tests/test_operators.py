@@ -274,6 +274,13 @@ def test_more_units_than_exact_flips_take_raise(spark):
         inference.exact_sign_flip(df, "d", ["method"]).collect()
 
 
+def test_effects_of_many_units_have_no_exact_p(spark):
+    rows = [(u, m, float(u)) for m, n in (("raw", 21), ("few", 20), ("many", 21)) for u in range(n)]
+    got = {r["method"]: r for r in metrics.recording_effects(spark.createDataFrame(rows, "recording int, method string, value double"), "value", "raw").collect()}
+    assert got["few"]["n_units"] == 20 and got["few"]["p_sign_flip"] == 1.0
+    assert got["many"]["n_units"] == 21 and got["many"]["p_sign_flip"] is None
+
+
 def test_latent_states_of_given_edges_are_those_of_their_fold(spark):
     r = np.random.default_rng(3)
     x = np.cumsum(r.normal(size=(160, 4)), axis=0)
