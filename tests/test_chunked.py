@@ -30,6 +30,15 @@ def test_chunks_give_the_rotation_of_the_whole(spark, method):
         assert np.allclose([r["energy"] for r in rows], (want.sources**2).mean(axis=0))
 
 
+@pytest.mark.parametrize("method", ["fastica", "infomax"])
+def test_rounds_as_jobs_are_those_in_one_task(spark, method):
+    both = frames(spark, recording(300)).unionByName(frames(spark, recording(100, 9), recording=1)).unionByName(frames(spark, recording(1), recording=2))
+    model = lambda held: chunked.fit_by_chunks(both, method, 4, tol=1e-3, rounds=8, chunk=64, held=held).orderBy("recording", "component").collect()
+    in_task, mixed = model(1 << 20), model(100 * 6 * 8)
+    assert [(r["recording"], r["component"], r["rounds"], r["converged"]) for r in in_task] == [(r["recording"], r["component"], r["rounds"], r["converged"]) for r in mixed] and len(mixed) == 8
+    assert np.allclose([r["mixing"] for r in in_task], [r["mixing"] for r in mixed], atol=1e-6)
+
+
 def test_number_of_components_is_checked(spark):
     with pytest.raises(Exception, match="between 1 and 6"):
         chunked.fit_by_chunks(frames(spark, recording(50)), "fastica", 7).collect()
