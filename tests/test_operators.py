@@ -274,6 +274,15 @@ def test_more_units_than_exact_flips_take_raise(spark):
         inference.exact_sign_flip(df, "d", ["method"]).collect()
 
 
+def test_wide_pairs_are_those_of_long_rows(spark):
+    rows = [(r, v, t, [float(r + t + k), None if t == 1 else 2.0 * k]) for r in range(2) for k, v in enumerate(("raw", "low")) for t in range(3) if (r, v, t) != (1, "raw", 2)]
+    wide = spark.createDataFrame(rows, "recording int, variant string, time_index int, x array<double>")
+    long = wide.select("recording", "variant", "time_index", F.posexplode("x").alias("neuron", "value"))
+    columns = ["recording", "variant", "time_index", "neuron", "value", "raw"]
+    got = metrics.long_pairs(metrics.wide_against(wide)).select(columns).collect()
+    assert len(got) == 20 and sorted(map(str, got)) == sorted(map(str, metrics.against(long).select(columns).collect()))
+
+
 def test_effects_of_many_units_have_no_exact_p(spark):
     rows = [(u, m, float(u)) for m, n in (("raw", 21), ("few", 20), ("many", 21)) for u in range(n)]
     got = {r["method"]: r for r in metrics.recording_effects(spark.createDataFrame(rows, "recording int, method string, value double"), "value", "raw").collect()}
