@@ -160,3 +160,33 @@ def test_matrices_of_one_basis_become_diagonal():
     assert ok and np.allclose(turn.T @ turn, np.eye(7))
     left = turn.T @ matrices @ turn
     assert np.abs(left - np.stack([np.diag(np.diag(m)) for m in left])).max() < 1e-8
+
+
+@pytest.mark.parametrize(("method", "seed", "rounds"), [("infomax", 959, 500), ("infomax", 670, 500), ("sobi", 1018, 200), ("jade", 392, 150)])
+def test_fits_of_nearly_normal_data_end(method, seed, rounds):
+    x = np.random.default_rng(seed).normal(size=(250, 16))
+    d = bss.decompose(x, 8, method, rounds=rounds)
+    assert d.converged and d.rounds < rounds
+    assert np.allclose(np.cov(d.sources.T), np.eye(8), atol=1e-9)
+    if method == "infomax":
+        moment = np.tanh(d.sources / 2).T @ d.sources / len(x)
+        assert np.abs(moment - moment.T).max() < 1.01e-4
+    elif method == "sobi":
+        m = bss.lagged_covariances(d.sources, (1, 2, 3, 5))
+        p, q = np.triu_indices(8, 1)
+        off = m[:, p, q] + m[:, q, p]
+        own = m[:, p, p] - m[:, q, q]
+        a, b = (own**2 - off**2).sum(axis=0), (2 * own * off).sum(axis=0)
+        assert np.abs(np.arctan2(b, a + np.hypot(a, b))).max() / 2 < 1.01e-4
+
+
+def test_all_pairs_turned_at_once_reach_the_diagonal():
+    r = np.random.default_rng(4)
+    turn = np.linalg.qr(r.normal(size=(6, 6)))[0]
+    near = np.linalg.qr(np.eye(6) + 0.05 * r.normal(size=(6, 6)))[0]
+    m = np.stack([near.T @ np.diag(r.normal(size=6)) @ near for _ in range(5)], axis=2)
+    found, n = bss._turned_at_once(m, 1e-9, 100)
+    assert n < 100 and np.allclose(found.T @ found, np.eye(6))
+    seen = bss._seen(m, found)
+    assert np.abs(seen - np.einsum("iim,ij->ijm", seen, np.eye(6))).max() < 1e-8
+    assert np.allclose(bss._seen(m, turn)[:, :, 2], turn.T @ m[:, :, 2] @ turn)

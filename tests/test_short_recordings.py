@@ -37,3 +37,20 @@ def test_spectra_of_few_frames_match_sql(spark, cut, name, frames, gone):
 def test_ranks_of_few_frames_match_sql(spark, cut, name, frames):
     at = cut(frames)
     assert_same(QUERIES[name](spark, at), ORACLES[name], at)
+
+
+@pytest.mark.parametrize(("frames", "gone"), [(1, "false"), (2, "false"), (9, "vec_id IN (40, 256)")])
+def test_round_trip_of_few_frames_matches_sql(spark, cut, frames, gone):
+    at = cut(frames, gone)
+    assert_same(QUERIES["bss_round_trip"](spark, at), ORACLES["bss_round_trip"], at)
+
+
+def test_round_trip_of_repeated_frames_matches_sql(spark, cut, tmp_path):
+    """The second recording has seven different frames among 20, the third twice the same."""
+    at = cut(20)
+    for t in TABLES:
+        Path(tmp_path, f"{t}.parquet").symlink_to(f"{at}/{t}.parquet") if t != "embeddings" else None
+    source = "CASE WHEN vec_id < 250 THEN vec_id WHEN vec_id < 270 THEN 250 + vec_id % 7 ELSE 3 END"
+    ids = "SELECT unnest(range(270)) AS vec_id UNION ALL SELECT unnest([500, 501])"
+    duckdb.sql(f"COPY (SELECT i.vec_id, e.* EXCLUDE (vec_id) FROM ({ids}) i JOIN '{SMALL}/embeddings.parquet' e ON e.vec_id = {source.replace('vec_id', 'i.vec_id')}) TO '{tmp_path}/embeddings.parquet'")
+    assert_same(QUERIES["bss_round_trip"](spark, str(tmp_path)), ORACLES["bss_round_trip"], str(tmp_path))
